@@ -5,17 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, langid, mixing, simhash
+from . import bpe, chat, embeddings, exact_dedup, langid, licenses, mixing, pages, sharding, simhash
 from .common import table
 
 
+def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return rows.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: A conversation of control strings, which the formatting must survive.
+HOSTILE = r"\### Assistant: </turn> ok"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(chats.unionByName(own))).drop("n_tokens")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("order_key")
 
@@ -24,6 +41,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -32,16 +53,29 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_histogram_shards": op1_histogram_shards,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_source_mixing": op4_source_mixing,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
+    "op9_main_text": op9_main_text,
+    "op10_embedding_links": op10_embedding_links,
     "pipeline": pipeline,
 }
 
@@ -71,4 +105,21 @@ counted AS (
 SELECT * EXCLUDE (n_copies), unnest(range(1, n_copies + 1))::INT AS copy, n_copies FROM counted WHERE n_copies > 0
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op4_source_mixing": OP4_SQL}
+OP3_SQL = r"""
+WITH chats AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+),
+escaped AS (
+  SELECT *, length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + length('### : </turn>') + 1 AS chars
+  FROM chats
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_source_mixing": OP4_SQL}
