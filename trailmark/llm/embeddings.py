@@ -27,6 +27,8 @@ from .graph import connected_components
 MIN_COSINE = 0.93
 #: Number of product codes, code vectors of a half, threshold in standard deviations of an inner product with a random direction.
 CODES, BOOK, TAU = 3, 256, 3.4
+#: A code's list has at least its best so many filters: vectors that lie badly to a code must meet their neighbours too.
+LEAST_FILTERS = 6
 #: A threshold above this would leave the caps of few dimensions empty.
 MAX_THRESHOLD = 0.6
 BUCKET_ROWS = 1024
@@ -47,18 +49,19 @@ def _directions(dim: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def exceeded(vector: np.ndarray) -> np.ndarray:
-    """The ids, ascending, of all filters that a vector of length one exceeds; of its best one if it exceeds none."""
+    """The ids, ascending, of all filters that a vector of length one exceeds, and of the best LEAST_FILTERS of each code."""
     codes, threshold = _directions(vector.size)
-    found, best = [], (-np.inf, 0)
+    found = []
     for k, (rotation, left, right) in enumerate(codes):
         x = rotation @ vector
         a, b = left @ x[: left.shape[1]], right @ x[left.shape[1] :]
-        rows, cols = np.flatnonzero(a >= threshold - b.max()), np.flatnonzero(b >= threshold - a.max())
-        i, j = np.nonzero(a[rows, None] + b[None, cols] >= threshold)
+        rows, cols = (np.argsort(-v, kind="stable")[:LEAST_FILTERS] for v in (a, b))
+        top = np.sort((a[rows, None] + b[None, cols]).ravel())[-LEAST_FILTERS:][0]
+        least = min(threshold, top)
+        rows, cols = np.flatnonzero(a >= least - b.max()), np.flatnonzero(b >= least - a.max())
+        i, j = np.nonzero(a[rows, None] + b[None, cols] >= least)
         found.append(k * BOOK * BOOK + rows[i] * BOOK + cols[j])
-        best = max(best, (a.max() + b.max(), int(k * BOOK * BOOK + a.argmax() * BOOK + b.argmax())))
-    ids = np.concatenate(found)
-    return np.sort(ids).astype(np.int32) if ids.size else np.array([best[1]], np.int32)
+    return np.sort(np.concatenate(found)).astype(np.int32)
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
