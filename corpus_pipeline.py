@@ -31,9 +31,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, input_ids and whether they decode to the text."""
-    rows = bpe.encode_documents(docs.select("doc_id", "source", "lang", "text"))
-    whole = bpe.decoded(F.col("input_ids")) == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return rows.select("doc_id", "source", "lang", F.size("input_ids").cast("long").alias("n_tokens"), "input_ids", whole.alias("round_trip"))
+    rows = docs.select("doc_id", "source", "lang", bpe.checked(F.col("text")).alias("t"))
+    return rows.select("doc_id", "source", "lang", F.size("t.input_ids").cast("long").alias("n_tokens"), "t.input_ids", "t.round_trip")
 
 
 STAGES = [

@@ -1,16 +1,16 @@
 """Byte-level BPE: the tokenizers library over Arrow batches, and its inverse through the byte table.
 
 Texts are cut where a boundary of the split pattern is certain (before a space between two letters or signs that no pattern joins
-across it); each distinct piece is encoded by the library once and kept in a bounded table, so that frequent words cost one look-up.
+across it); each distinct piece is encoded by the library once and kept, as the bytes of its ids, in a bounded table, so that frequent words cost one look-up.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -20,9 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from tokenizers import Tokenizer
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces that are kept; past that the table starts anew. Longer pieces are not kept.
-KEPT_PIECES, KEPT_CHARS = 300_000, 40
+KEPT_PIECES, KEPT_CHARS = 150_000, 40
+#: Characters whose pieces are looked up together.
+CHARS_AT_ONCE = 1 << 19
 
 #: Plain printable signs and Latin letters: none of them is white space, and a space between two of them starts a match.
 _SOLID = r"[!-~À-ɏ]"
@@ -30,17 +34,37 @@ _CUT = re.compile(f"(?<={_SOLID})(?= {_SOLID})")
 
 
 class _Pieces(dict):
+    """piece -> its ids as bytes, four an id."""
+
     def __init__(self, tokenizer: Tokenizer) -> None:
         super().__init__()
         self.tokenizer = tokenizer
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_CUT.split(t) if t else [] for t in texts]
+        new = [p for p in set().union(*cut) if p not in self]
+        if len(self) + len(new) > KEPT_PIECES:
+            self.clear()
+            new = list(set().union(*cut))
+        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        self.update((p, np.array(e.ids, np.int32).tobytes()) for p, e in zip(new, found, strict=True))
+        out = [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
+        for p in new:
+            if len(p) > KEPT_CHARS:
+                del self[p]
+        return out
+
+
+def _some(texts: Iterator[str | None]) -> Iterator[list[str]]:
+    """Lists of texts of CHARS_AT_ONCE characters or a little more; null is empty."""
+    held, chars = [], 0
+    for text in texts:
+        held.append(text or "")
+        chars += len(held[-1])
+        if chars >= CHARS_AT_ONCE:
+            yield held
+            held, chars = [], 0
+    yield held
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -63,8 +87,7 @@ def _loaded(vocabulary: str) -> tuple[Tokenizer, _Pieces, list[bytes]]:
 
 def encode_text(text: str | None, vocabulary: str = VOCABULARY) -> list[int]:
     """Null is empty; strings of special tokens are ordinary text."""
-    pieces = _loaded(vocabulary)[1]
-    return list(chain.from_iterable(pieces[p] for p in _CUT.split(text))) if text else []
+    return np.frombuffer(_loaded(vocabulary)[1].encode([text or ""])[0], np.int32).tolist()
 
 
 def decode_bytes(ids: list[int], vocabulary: str = VOCABULARY) -> bytes:
@@ -80,6 +103,11 @@ def token_offsets(text: str, ids: list[int], vocabulary: str = VOCABULARY) -> li
     return [(int(char[e - n]), int(char[e - 1]) + 1) for e, n in zip(ends, sizes, strict=True)]
 
 
+def _lists(rows: list[bytes]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
 def encoded(text: Column, vocabulary: str = VOCABULARY) -> Column:
     """array<int> of token ids of each whole text."""
 
@@ -87,17 +115,32 @@ def encoded(text: Column, vocabulary: str = VOCABULARY) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _loaded(vocabulary)[1]
         for batch in batches:
-            ids, ends = array("i"), np.zeros(len(batch) + 1, np.int32)
-            for k, text in enumerate(batch):
-                if value := text.as_py():
-                    for piece in _CUT.split(value):
-                        ids.extend(pieces[piece])
-                ends[k + 1] = len(ids)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+            yield _lists([r for texts in _some(x.as_py() for x in batch) for r in pieces.encode(texts)])
 
     return encode(text)
 
 
+def checked(text: Column, vocabulary: str = VOCABULARY) -> Column:
+    """struct(input_ids, round_trip): the ids of each whole text, and whether they decode to it."""
+
+    @F.arrow_udf("input_ids array<int>, round_trip boolean")
+    def check(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _, pieces, table = _loaded(vocabulary)
+        for batch in batches:
+            ids, same = [], []
+            for texts in _some(x.as_py() for x in batch):
+                rows = pieces.encode(texts)
+                ids += rows
+                same += (_joined(table, r) == t.encode("utf-8", "surrogatepass") for r, t in zip(rows, texts, strict=True))
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array(same, pa.bool_())], ["input_ids", "round_trip"])
+
+    return check(text)
+
+
+def _joined(table: list[bytes], ids: bytes, between: bytes = b"") -> bytes:
+    return between.join(map(table.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+
+
 def decoded(ids: Column, vocabulary: str = VOCABULARY) -> Column:
     """binary: the bytes that the ids stand for. A character that tokens split is whole again here."""
 
@@ -129,11 +172,16 @@ def encode_documents(docs: DataFrame, text_col: str = "text", vocabulary: str =
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256 (of the decimal ids, one space between), decoded_sha256 (of the decoded bytes)."""
-    ids = encode_documents(docs.select(id_col, text_col), text_col, vocabulary).select(id_col, "input_ids", decoded(F.col("input_ids"), vocabulary).alias("data"))
-    return ids.select(
-        id_col,
-        F.size("input_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.encode(F.array_join("input_ids", " "), "UTF-8"), 256).alias("ids_sha256"),
-        F.sha2("data", 256).alias("decoded_sha256"),
-    )
+    """One row per document: id, n_tokens, ids_sha256 (of the decimal ids, one space between), decoded_sha256 (of the decoded bytes). The ids are encoded, decoded and digested in one pass and do not leave the task."""
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        _, pieces, table = _loaded(vocabulary)
+        decimal = [str(k).encode() for k in range(len(table))]
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        for batch in batches:
+            rows = [(len(r) // 4, sha(_joined(decimal, r, b" ")), sha(_joined(table, r))) for texts in _some(x.as_py() for x in batch) for r in pieces.encode(texts)]
+            count, ids, data = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.StructArray.from_arrays([pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(id_col, digest(F.col(text_col)).alias("d")).select(id_col, "d.*")
