@@ -65,6 +65,10 @@ def governed_anonymize(events: DataFrame, links: DataFrame, work_items: DataFram
     return free.withColumns(cleared | {"User": F.lit(canonical.ANONYMIZED), "EventType": F.lit("Audit.Anonymized")})
 
 
+#: JSON times with all their digits.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def _month(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM")
 
@@ -84,14 +88,14 @@ def archive_manifest(events: DataFrame) -> DataFrame:
 def write_archive(events: DataFrame, path: str) -> DataFrame:
     """Compressed JSON lines by month below ``path``/events, the manifest beside them; returns the manifest as written."""
     kept = events.where("InsertedDate IS NOT NULL").withColumn("archive", _month(F.col("InsertedDate")))
-    kept.write.mode("errorifexists").partitionBy("archive").option("compression", "gzip").json(f"{path}/events")
+    kept.write.mode("errorifexists").partitionBy("archive").option("compression", "gzip").option("timestampFormat", TIME_FORMAT).json(f"{path}/events")
     archive_manifest(events).write.mode("errorifexists").parquet(f"{path}/manifest")
     return events.sparkSession.read.parquet(f"{path}/manifest")
 
 
 def restore_archive(spark, path: str, like: DataFrame) -> tuple[DataFrame, DataFrame]:  # noqa: ANN001
     """(events, verdicts). Months whose digest differs from the manifest are Corrupted and not restored."""
-    stored = spark.read.schema(like.withColumn("archive", F.lit("")).schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{path}/events")
+    stored = spark.read.schema(like.withColumn("archive", F.lit("")).schema).option("timestampFormat", TIME_FORMAT).json(f"{path}/events")
     verdict = validate_archives(spark.read.parquet(f"{path}/manifest"), archive_manifest(stored))
     good = verdict.where("status = 'Completed'").select("archive")
     return stored.join(good, "archive", "left_semi").select(like.columns), verdict
