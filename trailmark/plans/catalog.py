@@ -13,3 +13,8 @@ for _part in ("search", "reports", "integrity", "governance", "streaming"):
     _module = import_module(f"trailmark.plans.q_{_part}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
+
+#: Rows of the survey that another row's query answers too.
+SAME_QUERY = {"q_D2": "q_D1", "q_D3b": "q_D3", "q_D4": "q_D3", "q_L5": "q_P16_total"}
+for _name, _other in SAME_QUERY.items():
+    QUERIES[_name], ORACLE_SQL[_name] = QUERIES[_other], ORACLE_SQL[_other]

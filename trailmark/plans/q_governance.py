@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from trailmark.operators import capture as cap
@@ -143,3 +146,23 @@ q("G9", lambda k, d: cap.operation_pairs(a.audit_events(k, d).where("InsertedDat
   SELECT coalesce(ST.operation, EN.operation) AS operation, kind AS outcome, floor((epoch_us(z) - epoch_us(s)) / 1000)::BIGINT AS ms, CASE WHEN s IS NULL THEN 'end without start' END AS warning FROM ST FULL JOIN EN ON ST.operation = EN.operation""")
 q("G10", lambda k, d: cap.user_fields(k.read.parquet(f"{d}/customer.parquet").select(F.col("c_name").alias("UserName"), F.when(F.col("c_custkey") % 3 > 0, F.lit("e@x.org")).alias("Email"), F.when(F.col("c_custkey") % 2 == 0, F.lit("Ada")).alias("FirstName"), F.when(F.col("c_custkey") % 4 == 0, F.lit("King")).alias("LastName"), F.when(F.col("c_custkey") % 5 == 0, F.lit("t")).alias("RefreshToken"))),
   """SELECT c_name AS UserName, '{' || concat_ws(',', '"UserName":"' || c_name || '"', CASE WHEN c_custkey % 3 > 0 THEN '"Email":"e@x.org"' END, CASE WHEN c_custkey % 4 = 0 THEN '"FullName":"Ada King"' WHEN c_custkey % 2 = 0 THEN '"FullName":"Ada"' END, '"HasRefreshToken":"' || (c_custkey % 5 = 0)::VARCHAR || '"') || '}' AS custom_fields FROM customer""")
+
+
+def _restored(k, d):  # noqa: ANN001, ANN202
+    """Writes an archive and reads it again."""
+    base = k.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/archive-{uuid4().hex}"
+    events = a.audit_events(k, d).where("id % 5 = 1")
+    lc.write_archive(events, path)
+    return lc.restore_archive(k, path, events)[0].select("EventId", "InsertedDate", "EventType", "Duration")
+
+
+def _tracked(k, d):  # noqa: ANN001, ANN202
+    base = k.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/meta-{uuid4().hex}"
+    cap.tracked(a.audit_events(k, d).where("EventType = 'PHI.Access'"), path, "Search", "patient", "treatment review")
+    return k.read.parquet(path)
+
+
+q("S6", _restored, "SELECT EventId, InsertedDate, EventType, Duration FROM E WHERE id % 5 = 1 AND InsertedDate IS NOT NULL")
+q("G8", _tracked, "SELECT 'Search' AS query_type, 'patient' AS params, 'treatment review' AS purpose, count(*) AS n_rows, true AS sensitive FROM E WHERE EventType = 'PHI.Access'")

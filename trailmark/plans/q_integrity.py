@@ -62,7 +62,7 @@ ei("T13", lambda e, i: g.reconciliation(e, i, a.NOW), f"""SELECT EventId, CASE W
 q("T12", lambda k, d: g.append_batch(a.audit_events(k, d).where("IntegrityStatus = 1 AND id < 200").join(a.audit_integrity(k, d).where("SequenceNumber < 50"), "EventId", "left_anti").select("EventId", F.sha2(F.encode("EventId", "UTF-8"), 256).alias("EventHash")), 50, None), "SELECT EventId, sha256(EventId) AS EventHash, 50 + row_number() OVER (ORDER BY EventId) AS SequenceNumber, lag(sha256(EventId)) OVER (ORDER BY EventId) AS PreviousEventHash FROM E WHERE IntegrityStatus = 1 AND id < 200 AND EventId NOT IN (SELECT EventId FROM I WHERE SequenceNumber < 50)")
 q("S11", lambda k, d: a.audit_integrity(k, d).where("SequenceNumber = 42").select(F.to_json(F.struct("EventId", "EventHash", "SequenceNumber")).alias("json")), """SELECT '{"EventId":"' || EventId || '","EventHash":"' || EventHash || '","SequenceNumber":' || SequenceNumber || '}' AS json FROM I WHERE SequenceNumber = 42""")
 
-EVENT = (F.col("EventId"), F.col("EventType"), F.col("User"), F.col("InsertedDate"))
+EVENT = ("EventId", "EventType", "User", "InsertedDate")
 ISO = "coalesce(strftime(InsertedDate, '%Y-%m-%dT%H:%M:%S.%f') || '0Z', '')"
 # the views' JSON is flat, so its canonical form can be put together in SQL
 CANON = """('{"Action":"' || json_extract_string(JsonData, '$.Action') || '","UserName":"' || json_extract_string(JsonData, '$.UserName') || '","k":' || json_extract_string(JsonData, '$.k') || '}')"""
