@@ -58,8 +58,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, source_col:
 
 def with_copies(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """``docs`` and n_copies, the count that each document draws."""
-    one = lambda j: F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(F.lit(seed), F.col(id_col), j))).cast("long")
-    count = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0).cast("long"), lambda acc, j: acc + one(j))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.lit(seed), F.col(id_col), j))
+    count = F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, u: acc + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     rates = rates.select(F.col("source").alias(OWN + "source"), "draws", "cdf")
     return docs.join(rates, F.col(source_col).eqNullSafe(F.col(OWN + "source"))).withColumn(OWN + "n", count).drop(OWN + "source", "draws", "cdf")
 
