@@ -1,8 +1,8 @@
 """Idempotent ingest with Structured Streaming.
 
 A stream of envelope files is written by ``foreachBatch``: the checkpoint owns the offsets, and a batch that is written again after a failure
-overwrites its own folder, so each envelope is stored once. What was stored by earlier batches is kept out by an anti join on the key, within the batches' watermark-free
-ledger, which holds keys alone.
+overwrites its own folder, so each envelope is stored once. What earlier batches have stored is kept out by an anti join with the ledger, which holds
+keys alone.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from trailmark.operators.integrity import first_per_key
+
 ENVELOPE = "envelope_id string, kind int, entity_name string, action int, occurred_at timestamp, changes array<struct<name:string,old:string,new:string>>, subjects array<struct<id:string,relationship:string>>, payload string"
 
 
@@ -42,12 +44,15 @@ def _stored(spark: SparkSession, path: str, schema: str, before: int) -> DataFra
 
 
 def write_batch(batch: DataFrame, number: int, out: str) -> None:
-    """New envelopes of a batch into four tables; ledger last, so that a failed batch is written whole again."""
+    """New envelopes of a batch into four tables; ledger last, so that a failed batch is written whole again. Of an envelope's versions in one batch the earliest is stored, whichever order they come in."""
     spark = batch.sparkSession
     ledger = _stored(spark, f"{out}/ledger", "envelope_id string", number)
-    new = batch.dropDuplicates(["envelope_id"]).join(ledger.select("envelope_id"), "envelope_id", "left_anti")
+    version = batch.withColumn("version", F.to_json(F.struct("kind", "entity_name", "action", "changes", "subjects", "payload")))
+    first = first_per_key(version, ["envelope_id"], "occurred_at", "version").drop("version")
+    new = first.join(ledger.select("envelope_id"), "envelope_id", "left_anti").persist()  # read once for four tables
     for name, rows in (("logs", entity_rows(new)), ("links", subject_rows(new)), ("events", event_rows(new)), ("ledger", new.select("envelope_id"))):
         rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+    new.unpersist()
 
 
 def drain(spark: SparkSession, source: str, out: str, checkpoint: str, files_a_batch: int = 100, schema: str | StructType = ENVELOPE) -> StreamingQuery:
