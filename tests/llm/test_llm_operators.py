@@ -340,6 +340,20 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
+def _texts(spark, *found):
+    df = spark.createDataFrame([(k, f"http://s.org/n/{k}", page) for k, page in enumerate(found)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in pages.main_text(df).collect()}
+
+
+def test_partner_decides_plain_lines_outside_an_article(spark):
+    page = "<div>Site</div><h1>Title {0}</h1><p>Lead {0}</p><article><p>Body {0}</p></article><div>Contact</div><footer>f {0}</footer>"
+    text = "Title {0}\nLead {0}\nBody {0}"
+    found = _texts(spark, *(page.format(k) for k in (0, 1, 2, 2, 4)))
+    assert found == {k: text.format(min(k, 2) if k < 4 else k) for k in range(5)}
+    assert _texts(spark, page.format(7)) == {0: "Body 7"}  # no partner: the marked article alone
+    assert _texts(spark, page.format(7), page.format(7)) == {0: "Body 7", 1: "Body 7"}
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
