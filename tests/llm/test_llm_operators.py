@@ -354,6 +354,24 @@ def test_partner_decides_plain_lines_outside_an_article(spark):
     assert _texts(spark, page.format(7), page.format(7)) == {0: "Body 7", 1: "Body 7"}
 
 
+def test_long_shared_boilerplate_is_deleted(spark):
+    menu = "<nav>" + "".join(f"<a href='/{k}'>Menu entry number {k}</a>" for k in range(40)) + "</nav>"
+    site = menu + "<div>Site of things</div><div>" + "A long notice to all readers of this site. " * 5 + "</div><p>{0}</p><div>Contact us</div><footer>" + "legal " * 50 + "</footer>"
+    assert _texts(spark, *(site.format(f"Short {k}") for k in range(4))) == {k: f"Short {k}" for k in range(4)}
+    assert _texts(spark, *(site.format(f"Short {k}") for k in range(2))) == {k: f"Short {k}" for k in range(2)}
+
+
+def test_copies_are_told_from_siblings_by_the_other_neighbour():
+    def goes(own, partner, other, chrome=()):
+        return [k for k, gone in zip(own, pages.shared_lines(own, [0 if k in chrome else 10 for k in own], partner, other, False), strict=True) if gone]
+
+    assert goes([1, 5, 6, 7, 2], [1, 5, 6, 7, 2], [1, 8, 9, 2]) == [1, 2]  # a copy beside a sibling
+    assert goes([1, 5, 6, 7, 2], [1, 5, 6, 77, 2], [1, 8, 9, 2]) == [1, 2]  # a copy with an edit
+    assert goes([1, 5, 6], [1, 5, 6], [1, 5, 6]) == goes([1, 5, 6], [1, 5, 6], None) == []
+    assert goes([1, 3, 5, 2], [1, 3, 8, 2], None) == [1, 3, 2]
+    assert goes([1, 3, 4, 5, 6], [1, 3, 4, 5, 6], None, chrome=(1, 3, 4)) == []
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
