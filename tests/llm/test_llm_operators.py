@@ -389,6 +389,16 @@ def test_lines_of_markup(spark, page, text):
     assert pages.main_text(df).first().text == text
 
 
+def test_chrome_is_told_by_whole_names_and_tokens():
+    kinds = lambda page: [k for _, k in pages.lines(page)]
+    for attrs in ("style='overflow:hidden'", 'aria-hidden="false"', "href=/x?id=share", 'href="/x?id=share"', "data-id=share", 'class="no-sidebar"', "class='post-header x'", 'title="class=ad"'):
+        assert kinds(f"<div {attrs}><p>a</div>") == [pages.PLAIN], attrs
+        assert kinds(f"<article {attrs}><p>a</article>") == kinds(f"<body {attrs}><main><p>a</main>") == [pages.IN_ARTICLE], attrs
+    for attrs in ("hidden", "HIDDEN=''", "class='x ad'", "id=comments", "ROLE=banner", 'class="cookie-notice"', "class=ad_2", "data-x='>' class=\"ad\""):
+        assert kinds(f"<div {attrs}><p>a</div>") == [pages.IN_CHROME], attrs
+        assert kinds(f"<body {attrs}><article {attrs}><p>a</article>") == kinds(f"<main {attrs}><p>a</main>") == [pages.IN_ARTICLE], attrs
+
+
 def test_common_subsequence_is_longest():
     rng = np.random.default_rng(8)
     for _ in range(200):
