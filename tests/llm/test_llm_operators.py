@@ -308,6 +308,14 @@ def test_simhash_edge_cases(edge, empty):
     assert simhash.near_duplicates(empty).count() == simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_near_dedup_keeps_one_of_each_component_whatever_its_ids(spark, tmp_path):
+    texts = {k: " ".join(f"{k}word{j}" for j in range(40)) for k in "abcde"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (7, texts["c"]), (7, texts["d"]), (7, texts["d"]), (8, texts["e"]), (None, texts["e"])]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    kept = simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert sorted((r.text[0], r.doc_id) for r in kept) == [("a", None), ("b", None), ("c", 7), ("d", 7), ("e", 8)]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = np.random.default_rng(4)
     edges = [(k, k + 1) for k in range(120)] + [(1000, 1000 + k) for k in range(1, 200)] + [(int(a), int(b)) for a, b in rng.integers(3000, 3400, (250, 2))]

@@ -77,12 +77,12 @@ def near_pairs(fps: DataFrame, name: str = FP) -> DataFrame:
 
 
 def components(fps: DataFrame, id_col: str, name: str = FP) -> DataFrame:
-    """(id, fingerprint) rows -> (fingerprint, oid): the least id, as an order id, that links lead to from each fingerprint."""
+    """(id, fingerprint) rows -> (fingerprint, component, oid): the least fingerprint and the least id, as an order id, that links lead to from each fingerprint. Only the fingerprint names a component: ids may be null or repeat."""
     groups = written(fps.groupBy(name).agg(F.min(order_id(id_col)).alias("oid")), "fingerprints")
     linked = connected_components(near_pairs(groups, name))
     joined = groups.join(linked.withColumnRenamed("node", name), name, "left").withColumn("component", F.coalesce("component", name))
     least = joined.groupBy("component").agg(F.min("oid").alias("least"))
-    return joined.join(least, "component").select(name, F.col("least").alias("oid"))
+    return joined.join(least, "component").select(name, "component", F.col("least").alias("oid"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,9 +96,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays, with all its columns: the one with the least id, of rows with that id the first."""
+    """One document of each component stays, with all its columns: the one with the least id (null comes last), of rows with that id the first."""
     fps = written(with_fingerprint(docs.select(id_col, text_col), text_col).select(id_col, F.monotonically_increasing_id().alias("rid"), FP), "simhash")
-    stay = fps.join(components(fps, id_col), FP).where(order_id(id_col) == F.col("oid")).groupBy("oid").agg(F.min("rid").alias(OWN + "rid"))
+    stay = fps.join(components(fps, id_col), FP).where(order_id(id_col) == F.col("oid")).groupBy("component").agg(F.min("rid").alias(OWN + "rid"))
     dropped = fps.join(stay, fps["rid"] == stay[OWN + "rid"], "left_anti").select(F.col("rid").alias(OWN + "rid"))
     rows = docs.withColumn(OWN + "rid", F.monotonically_increasing_id())
     return rows.join(written(dropped, "near-copies"), OWN + "rid", "left_anti").select(docs.columns)
