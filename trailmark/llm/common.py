@@ -2,34 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.storage import shared_dir, written  # noqa: F401
+
 #: Prefix of the columns that operators add while they work; they are dropped from every result.
 OWN = "__tm_"
 LAST_ID = 9223372036854775807
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset, one made for this session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="trailmark-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it again: the lineage ends here, and a lost executor loses nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

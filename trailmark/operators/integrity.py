@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators.search import between, ordered
+from trailmark.storage import written
 
 EVENT_COLUMNS = ("InsertedDate", "EventType", "User")
 
@@ -63,9 +64,11 @@ def with_predecessor(links: DataFrame) -> DataFrame:
     """Each link and prev_hash, prev_number of the link before it, whatever its number.
 
     Links are sorted by range; within a partition the predecessor is the row before. Only the first link of a partition looks for its predecessor
-    among the partitions' last links, of which there is one a partition.
+    among the partitions' last links, of which there is one a partition. The links are written with their partition before both are read: a second
+    exchange would draw its own ranges.
     """
-    keys = links.select("SequenceNumber", "EventHash", "PreviousEventHash", "EventId").repartitionByRange("SequenceNumber", "EventId").withColumn("part", F.spark_partition_id())
+    placed = links.select("SequenceNumber", "EventHash", "PreviousEventHash", "EventId").repartitionByRange("SequenceNumber", "EventId").withColumn("part", F.spark_partition_id())
+    keys = written(placed, "links-in-order")
     w = Window.partitionBy("part").orderBy("SequenceNumber", "EventId")
     rows = keys.withColumns({"prev_hash": F.lag("EventHash").over(w), "prev_number": F.lag("SequenceNumber").over(w), "rank": F.row_number().over(w)})
     inner = rows.where("rank > 1").drop("rank")
