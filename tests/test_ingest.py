@@ -2,6 +2,9 @@
 
 import json
 
+from pyspark.sql import functions as F
+
+from trailmark.plans import q_streaming
 from trailmark.streaming import ingest
 
 
@@ -34,3 +37,11 @@ def test_a_batch_written_again_changes_nothing(spark, tmp_path):
     for number in (0, 0, 1):
         ingest.write_batch(rows, number, out)
     assert spark.read.parquet(f"{out}/ledger").count() == spark.read.parquet(f"{out}/logs").count() == 5
+
+
+def test_the_whole_table_is_ingested(spark, tmp_path):
+    n = F.col("id")
+    events = spark.range(2500).select(n.alias("event_id"), F.timestamp_seconds(n).alias("ts"), (n % 7).alias("user_id"), F.lit("{}").alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    ledger = q_streaming.drained("ledger")(spark, str(tmp_path)).collect()
+    assert sorted(int(r.envelope_id[-12:]) for r in ledger) == [k for k in range(2500) if k % 40 != 39]
