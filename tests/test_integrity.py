@@ -24,3 +24,17 @@ def test_predecessors_do_not_depend_on_partitions(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {k: k - 1 if k else None for k in range(LINKS)}
     assert unlinked == found == list(BROKEN)
+
+
+def test_batch_is_numbered_over_partitions(spark, tmp_path):
+    n = F.col("id")
+    rows = spark.range(LINKS).select(F.lpad(n.cast("string"), 6, "0").alias("EventId"), F.concat(F.lit("h"), n.cast("string")).alias("EventHash"))
+    rows.write.parquet(str(tmp_path / "batch"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = integrity.append_batch(spark.read.parquet(str(tmp_path / "batch")), 100, "last").collect()
+        none = integrity.append_batch(spark.read.parquet(str(tmp_path / "batch")).limit(0), 100, "last").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((int(r.EventId), r.SequenceNumber, r.PreviousEventHash) for r in got) == [(k, 101 + k, f"h{k - 1}" if k else "last") for k in range(LINKS)]
+    assert none == []

@@ -111,9 +111,17 @@ def latest_link(links: DataFrame) -> DataFrame:
 
 
 def append_batch(batch: DataFrame, last_number: int, last_hash: str | None) -> DataFrame:
-    """Numbers and previous hashes for a batch (EventId, EventHash) in order of EventId. Hashes do not depend on their predecessors. A batch is one flush, a few hundred rows."""
-    w = Window.orderBy("EventId")
-    return batch.select("EventId", "EventHash", (F.row_number().over(w) + last_number).cast("long").alias("SequenceNumber"), F.coalesce(F.lag("EventHash").over(w), F.lit(last_hash)).alias("PreviousEventHash"))
+    """Numbers and previous hashes for a batch (EventId, EventHash) in order of EventId, of any size. Hashes do not depend on their predecessors.
+
+    Rows are numbered within range partitions; what comes before a partition, its count and its last hash, is one row a partition.
+    """
+    rows = written(batch.select("EventId", "EventHash").repartitionByRange("EventId", "EventHash").withColumn("part", F.spark_partition_id()), "batch-in-order")
+    w = Window.partitionBy("part").orderBy("EventId", "EventHash")
+    ends = rows.groupBy("part").agg(F.count("*").alias("n"), F.max_by("EventHash", F.struct("EventId", "EventHash")).alias("last"))
+    over = Window.orderBy("part")
+    before = ends.select("part", (F.sum("n").over(over) - F.col("n") + last_number).alias("below"), F.coalesce(F.lag("last").over(over), F.lit(last_hash)).alias("end_hash"))
+    placed = rows.withColumns({"rank": F.row_number().over(w), "prev": F.lag("EventHash").over(w)}).join(before, "part")
+    return placed.select("EventId", "EventHash", (F.col("rank") + F.col("below")).cast("long").alias("SequenceNumber"), F.when(F.col("rank") == 1, F.col("end_hash")).otherwise(F.col("prev")).alias("PreviousEventHash"))
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

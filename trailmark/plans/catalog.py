@@ -15,6 +15,6 @@ for _part in ("search", "reports", "integrity", "governance", "streaming"):
     ORACLE_SQL |= _module.ORACLE_SQL
 
 #: Rows of the survey that another row's query answers too.
-SAME_QUERY = {"q_D2": "q_D1", "q_D3b": "q_D3", "q_D4": "q_D3", "q_L5": "q_P16_total"}
+SAME_QUERY = {"q_D2": "q_D1", "q_D3b": "q_D3", "q_D4": "q_D3", "q_L5": "q_P16_total", "q_U7": "q_C91"}
 for _name, _other in SAME_QUERY.items():
     QUERIES[_name], ORACLE_SQL[_name] = QUERIES[_other], ORACLE_SQL[_other]

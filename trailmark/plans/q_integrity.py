@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.functions import canonical as c
+from trailmark.functions import crypto
 from trailmark.functions import text as t
 from trailmark.operators import integrity as g
 from trailmark.operators import search as s
 from trailmark.plans import q_search
 from trailmark.sources import audit as a
 from trailmark.sources.audit import BASE_SQL as B
+from trailmark.sources.files import table_sizes
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -29,13 +31,13 @@ JOINED = "EventId, SequenceNumber, EventType, InsertedDate"
 shown = lambda df: df.select(*JOINED.split(", "))
 J = f"SELECT {JOINED} FROM I LEFT JOIN E USING (EventId)"
 ei("J1", lambda e, i: shown(g.with_integrity(e.where("Duration > 40"), i)), f"SELECT {JOINED} FROM E LEFT JOIN I USING (EventId) WHERE Duration > 40")
-ei("J2", lambda e, i: shown(g.with_events(i, e.where("id % 43 <> 0"), "2024-01-05", "2024-01-20")), f"SELECT {JOINED} FROM I LEFT JOIN (SELECT * FROM E WHERE id % 43 <> 0) USING (EventId) WHERE TrustedTimestamp BETWEEN '2024-01-05' AND '2024-01-20'")
+ei("J2", lambda e, i: shown(g.with_events(i, e.where("InsertedDate IS NOT NULL"), "2024-01-05", "2024-01-20")), f"SELECT {JOINED} FROM I LEFT JOIN (SELECT * FROM E WHERE InsertedDate IS NOT NULL) USING (EventId) WHERE TrustedTimestamp BETWEEN '2024-01-05' AND '2024-01-20'")
 ei("J3", lambda e, i: shown(g.with_events(s.page(i, 100, 300, "SequenceNumber"), e)), f"SELECT {JOINED} FROM (SELECT * FROM I ORDER BY SequenceNumber LIMIT 100 OFFSET 300) LEFT JOIN E USING (EventId)")
 ei("J4", lambda e, i: shown(g.with_events(s.keyset_page(i, "SequenceNumber", 2000, 150), e)), f"SELECT {JOINED} FROM (SELECT * FROM I WHERE SequenceNumber > 2000 ORDER BY SequenceNumber LIMIT 150) LEFT JOIN E USING (EventId)")
 q("J5", lambda k, d: g.with_related(a.security_events(k, d), a.audit_events(k, d)).select("Id", "RelatedAuditEventId", "RelatedType", "RelatedDate"), "SELECT SE.Id, RelatedAuditEventId, E.EventType AS RelatedType, InsertedDate AS RelatedDate FROM SE LEFT JOIN E ON RelatedAuditEventId = E.EventId")
 ei("J6", lambda e, i: g.unprotected(e, i).select("EventId"), "SELECT EventId FROM E WHERE EventId NOT IN (SELECT EventId FROM I)")
-ei("J7", lambda e, i: s.by_ids(e, i.where("SequenceNumber <= 500")).select("EventId", "EventType"), "SELECT EventId, EventType FROM E SEMI JOIN (SELECT * FROM I WHERE SequenceNumber <= 500) USING (EventId)")
-q("J8", lambda k, d: a.outbox(k, d).where("Id % 2 = 0").join(a.outbox(k, d).where("Id % 3 = 0").select("IdempotencyKey"), "IdempotencyKey", "left_anti").select("Id", "IdempotencyKey"), "SELECT Id, IdempotencyKey FROM O WHERE Id % 2 = 0 AND IdempotencyKey NOT IN (SELECT IdempotencyKey FROM O WHERE Id % 3 = 0)")
+ei("J7", lambda e, i: s.by_ids(e, i).select("EventId", "EventType"), "SELECT EventId, EventType FROM E SEMI JOIN I USING (EventId)")
+q("J8", lambda k, d: a.outbox(k, d).join(a.outbox(k, d).where("Status = 2").select("IdempotencyKey"), "IdempotencyKey", "left_anti").select("Id", "IdempotencyKey"), "SELECT Id, IdempotencyKey FROM O WHERE IdempotencyKey NOT IN (SELECT IdempotencyKey FROM O WHERE Status = 2)")
 QUERIES["q_J10"], ORACLE_SQL["q_J10"] = q_search.QUERIES["q_P32"], q_search.ORACLE_SQL["q_P32"]
 ei("A17", g.coverage, "SELECT count(*) AS total, count(*) - count(I.EventId) AS unprotected FROM E LEFT JOIN I USING (EventId)")
 SUMMARY = "count(SequenceNumber) AS n, count(DISTINCT SequenceNumber) AS n_distinct, min(SequenceNumber) AS first, max(SequenceNumber) AS last, coalesce(count(SequenceNumber) = count(DISTINCT SequenceNumber) AND max(SequenceNumber)::HUGEINT - min(SequenceNumber) + 1 = count(SequenceNumber), count(*) = 0) AS valid"
@@ -51,15 +53,15 @@ ei("W2", lambda e, i: g.boundary_check(i, 100, 850), """, Y AS (SELECT *, lag(Ev
   Z AS (SELECT *, pn IS NULL OR coalesce(PreviousEventHash = ph AND SequenceNumber = pn + 1, false) AS linked FROM Y)
   SELECT count(*) = 0 AS is_empty, coalesce(count(*) > 0 AND min(SequenceNumber) = 100 AND max(SequenceNumber) = 850 AND count_if(NOT linked) = 0, false) AS valid, min(SequenceNumber) FILTER (WHERE NOT linked) AS first_failure FROM Z""")
 FINDINGS = LAG + """SELECT EventId, SequenceNumber, 'ChainBroken' AS finding FROM X WHERE coalesce(PreviousEventHash <> prev_hash, false) OR (prev_number IS NOT NULL AND PreviousEventHash IS NULL)
-  UNION ALL SELECT EventId, SequenceNumber, 'EventMissing' FROM X WHERE EventId NOT IN (SELECT EventId FROM E WHERE id % 500 <> 7)"""
-ei("W3", lambda e, i: g.chain_findings(i, e.where("id % 500 <> 7")), FINDINGS)
+  UNION ALL SELECT EventId, SequenceNumber, 'EventMissing' FROM X WHERE EventId NOT IN (SELECT EventId FROM E WHERE InsertedDate IS NOT NULL)"""
+ei("W3", lambda e, i: g.chain_findings(i, e.where("InsertedDate IS NOT NULL")), FINDINGS)
 ei("W3_report", lambda e, i: g.tamper_report(i, e), LAG + "SELECT 'ChainBroken' AS alert, 'Critical' AS severity, EventId FROM X WHERE coalesce(PreviousEventHash <> prev_hash, false) OR (prev_number IS NOT NULL AND PreviousEventHash IS NULL) UNION ALL SELECT 'SequenceGap', 'High', NULL")
 ei("W4", lambda e, i: g.latest_link(i), "SELECT SequenceNumber, EventHash, EventId FROM I ORDER BY SequenceNumber DESC LIMIT 1")
-ei("W5", lambda e, i: g.append_batch(i.where("SequenceNumber BETWEEN 50 AND 90").select("EventId", "EventHash"), 5000, "last"), "SELECT EventId, EventHash, 5000 + row_number() OVER (ORDER BY EventId) AS SequenceNumber, coalesce(lag(EventHash) OVER (ORDER BY EventId), 'last') AS PreviousEventHash FROM I WHERE SequenceNumber BETWEEN 50 AND 90")
+ei("W5", lambda e, i: g.append_batch(i.select("EventId", "EventHash"), 5000, "last"), "SELECT EventId, EventHash, 5000 + row_number() OVER (ORDER BY EventId) AS SequenceNumber, coalesce(lag(EventHash) OVER (ORDER BY EventId), 'last') AS PreviousEventHash FROM I")
 q("W6", lambda k, d: a.archive_records(k, d).agg(F.max_by("ArchiveId", F.struct("CreatedAt", "ArchiveId")).alias("ArchiveId")), "SELECT ArchiveId FROM AR ORDER BY CreatedAt DESC, ArchiveId DESC LIMIT 1")
 q("W7", lambda k, d: g.first_per_key(a.subject_links(k, d), ["SubjectId", "Relationship"], "OccurredAt", "AuditLogId"), "SELECT * FROM LK QUALIFY row_number() OVER (PARTITION BY SubjectId, Relationship ORDER BY OccurredAt, AuditLogId) = 1")
 ei("T13", lambda e, i: g.reconciliation(e, i, a.NOW), f"""SELECT EventId, CASE WHEN I.EventId IS NULL THEN 'Failed' ELSE 'Reconciled' END AS outcome FROM (SELECT * FROM E WHERE IntegrityStatus = 1 AND InsertedDate < TIMESTAMP '{a.NOW}' - INTERVAL 5 MINUTE ORDER BY InsertedDate, EventId LIMIT 100) LEFT JOIN I USING (EventId)""")
-q("T12", lambda k, d: g.append_batch(a.audit_events(k, d).where("IntegrityStatus = 1 AND id < 200").join(a.audit_integrity(k, d).where("SequenceNumber < 50"), "EventId", "left_anti").select("EventId", F.sha2(F.encode("EventId", "UTF-8"), 256).alias("EventHash")), 50, None), "SELECT EventId, sha256(EventId) AS EventHash, 50 + row_number() OVER (ORDER BY EventId) AS SequenceNumber, lag(sha256(EventId)) OVER (ORDER BY EventId) AS PreviousEventHash FROM E WHERE IntegrityStatus = 1 AND id < 200 AND EventId NOT IN (SELECT EventId FROM I WHERE SequenceNumber < 50)")
+q("T12", lambda k, d: g.append_batch(a.audit_events(k, d).where("IntegrityStatus = 1").join(a.audit_integrity(k, d), "EventId", "left_anti").select("EventId", F.sha2(F.encode("EventId", "UTF-8"), 256).alias("EventHash")), 50, None), "SELECT EventId, sha256(EventId) AS EventHash, 50 + row_number() OVER (ORDER BY EventId) AS SequenceNumber, lag(sha256(EventId)) OVER (ORDER BY EventId) AS PreviousEventHash FROM E WHERE IntegrityStatus = 1 AND EventId NOT IN (SELECT EventId FROM I)")
 q("S11", lambda k, d: a.audit_integrity(k, d).where("SequenceNumber = 42").select(F.to_json(F.struct("EventId", "EventHash", "SequenceNumber")).alias("json")), """SELECT '{"EventId":"' || EventId || '","EventHash":"' || EventHash || '","SequenceNumber":' || SequenceNumber || '}' AS json FROM I WHERE SequenceNumber = 42""")
 
 EVENT = ("EventId", "EventType", "User", "InsertedDate")
@@ -86,3 +88,15 @@ e("F20", lambda x: x.select("EventId", t.masked(F.col("User"), F.col("id") % 4 =
 e("F21", lambda x: x.where(t.query_is_sensitive(F.col("EventType"), F.col("EntityType"), F.col("Action"))).select("EventId"), "SELECT EventId FROM E WHERE coalesce(regexp_matches(EventType, '(?i)(phi|patient|medical|ssn|financial|legal|investigation|breach)'), false) OR coalesce(regexp_matches(EntityType, '(?i)(phi|patient|medical|ssn|financial|legal|investigation|breach)'), false)")
 e("F22", lambda x: x.select("EventId", t.governance_name(F.when(F.col("id") % 3 > 0, F.concat(F.lit('{"identity":"g'), F.col("id").cast("string"), F.lit('"}')))).alias("identity")), "SELECT EventId, CASE WHEN id % 3 > 0 THEN 'g' || id END AS identity FROM E")
 e("F24", lambda x: x.select("EventId", t.composite_key(F.col("id"), F.col("EntityId")).alias("key")), """SELECT EventId, '["' || id || '","' || EntityId || '"]' AS key FROM E""")
+q("J9", lambda k, d: table_sizes(k, d))
+KEYS = F.create_map(*(F.lit(x) for x in ("k1", b"0123456789abcdef0123456789abcdef", "k2", b"fedcba9876543210fedcba9876543210")))
+
+
+def _sealed(x):  # noqa: ANN001, ANN202
+    """A field encrypted, encrypted anew with the next key, and read back; under the name of another field it does not open."""
+    once = x.select("EventId", F.col("User").alias("plain"), crypto.encrypted(F.col("User"), "User", KEYS, "k1").alias("first"))
+    twice = once.withColumn("second", crypto.rotated(F.col("first"), "User", KEYS, "k2"))
+    return twice.select("EventId", crypto.decrypted(F.col("second"), "User", KEYS).alias("text"), crypto.is_encrypted(F.col("second")).alias("sealed"), (crypto.is_encrypted(F.col("first")) & (F.col("first") != F.col("second"))).alias("rotated"), crypto.decrypted(F.col("second"), "Other", KEYS).alias("misread"))
+
+
+e("F23", _sealed, """SELECT EventId, "User" AS text, coalesce("User" <> '', false) AS sealed, CASE WHEN "User" IS NULL THEN false ELSE "User" <> '' END AS rotated, CASE WHEN "User" = '' THEN '' END AS misread FROM E""")
