@@ -89,14 +89,15 @@ e("F21", lambda x: x.where(t.query_is_sensitive(F.col("EventType"), F.col("Entit
 e("F22", lambda x: x.select("EventId", t.governance_name(F.when(F.col("id") % 3 > 0, F.concat(F.lit('{"identity":"g'), F.col("id").cast("string"), F.lit('"}')))).alias("identity")), "SELECT EventId, CASE WHEN id % 3 > 0 THEN 'g' || id END AS identity FROM E")
 e("F24", lambda x: x.select("EventId", t.composite_key(F.col("id"), F.col("EntityId")).alias("key")), """SELECT EventId, '["' || id || '","' || EntityId || '"]' AS key FROM E""")
 q("J9", lambda k, d: table_sizes(k, d))
-KEYS = F.create_map(*(F.lit(x) for x in ("k1", b"0123456789abcdef0123456789abcdef", "k2", b"fedcba9876543210fedcba9876543210")))
+KEYS = ("k1", b"0123456789abcdef0123456789abcdef", "k2", b"fedcba9876543210fedcba9876543210")
 
 
 def _sealed(x):  # noqa: ANN001, ANN202
     """A field encrypted, encrypted anew with the next key, and read back; under the name of another field it does not open."""
-    once = x.select("EventId", F.col("User").alias("plain"), crypto.encrypted(F.col("User"), "User", KEYS, "k1").alias("first"))
-    twice = once.withColumn("second", crypto.rotated(F.col("first"), "User", KEYS, "k2"))
-    return twice.select("EventId", crypto.decrypted(F.col("second"), "User", KEYS).alias("text"), crypto.is_encrypted(F.col("second")).alias("sealed"), (crypto.is_encrypted(F.col("first")) & (F.col("first") != F.col("second"))).alias("rotated"), crypto.decrypted(F.col("second"), "Other", KEYS).alias("misread"))
+    keys = F.create_map(*map(F.lit, KEYS))
+    once = x.select("EventId", F.col("User").alias("plain"), crypto.encrypted(F.col("User"), "User", keys, "k1").alias("first"))
+    twice = once.withColumn("second", crypto.rotated(F.col("first"), "User", keys, "k2"))
+    return twice.select("EventId", crypto.decrypted(F.col("second"), "User", keys).alias("text"), crypto.is_encrypted(F.col("second")).alias("sealed"), (crypto.is_encrypted(F.col("first")) & (F.col("first") != F.col("second"))).alias("rotated"), crypto.decrypted(F.col("second"), "Other", keys).alias("misread"))
 
 
 e("F23", _sealed, """SELECT EventId, "User" AS text, coalesce("User" <> '', false) AS sealed, CASE WHEN "User" IS NULL THEN false ELSE "User" <> '' END AS rotated, CASE WHEN "User" = '' THEN '' END AS misread FROM E""")
