@@ -3,11 +3,13 @@
 Each step sees only what the step before left in groups of two rows or more:
 
 1. one narrow row a document: length and prefix hash of the normalised text, written as a table;
-2. lengths that occur twice, then (length, prefix hash) pairs that occur twice;
-3. the surviving pairs become a bitmap of fixed size (at most ``BITMAP_BYTES``), which is what makes its broadcast safe.
-   Rows whose bit is unset cannot have a copy: their content is not hashed and their text is never shuffled;
+2. lengths that occur twice, then (length, prefix hash) pairs of such lengths that occur twice;
+3. the surviving pairs; rows of others cannot have a copy: their content is not hashed and their text is never shuffled;
 4. SHA-256 of the whole normalised text of the rest, grouped with partial aggregation.
 
+What a step leaves is a bitmap of fixed size (at most ``BITMAP_BYTES``), which is what makes its broadcast safe. A bit may stand for several
+keys; what passes by such a chance is settled by the steps after it. So no step deals rows by their length, which many may share.
+
 Texts never meet in one task: groups are counts and minima, so a group that holds a third of all rows is one row for each map task.
 """
 
@@ -44,28 +46,33 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     })
 
 
-def _slot() -> tuple[Column, Column]:
-    h = F.xxhash64(F.col(LEN), F.col(HEAD))
-    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(BITMAP_BUCKETS)).cast("int"), F.pmod(h, F.lit(BUCKET_BITS)).cast("int")
+def _slot(keys: tuple[str, ...]) -> dict[str, Column]:
+    h = F.xxhash64(*keys)
+    return {BUCKET: F.pmod(F.shiftrightunsigned(h, 20), F.lit(BITMAP_BUCKETS)).cast("int"), POS: F.pmod(h, F.lit(BUCKET_BITS)).cast("int")}
+
+
+def _bitmap(rows: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """The keys that two rows or more share, one bit each: a row a bucket."""
+    twice = rows.groupBy(*keys).count().where("count > 1").select(*(c.alias(n) for n, c in _slot(keys).items()))
+    return written(twice.groupBy(BUCKET).agg(F.bitmap_construct_agg(POS).alias(BITS)), name)
+
+
+def _marked(rows: DataFrame, keys: tuple[str, ...], bitmap: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows with their bucket's bits beside them, and the test of a row's bit."""
+    rows = rows.withColumns(_slot(keys)).join(F.broadcast(bitmap), BUCKET, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({BITS}, shiftright({POS}, 3) + 1, 1)")), 16, 10).cast("long")
+    return rows, F.coalesce(F.call_function("getbit", byte, F.pmod(F.col(POS), F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
 def survivors_bitmap(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Steps 1 to 3: the bitmap of (length, prefix hash) pairs that two rows or more share, one row a bucket."""
+    """Steps 1 to 3: the bitmap of (length, prefix hash) pairs that two rows or more share."""
     signed = written(_signed(docs, id_col, text_col).select(LEN, HEAD), "dedup-signatures")
-    lengths = signed.groupBy(LEN).count().where("count > 1").select(LEN)
-    pairs = signed.join(lengths, LEN, "left_semi").groupBy(LEN, HEAD).count().where("count > 1")
-    bucket, pos = _slot()
-    bits = pairs.select(bucket.alias(BUCKET), pos.alias(POS)).groupBy(BUCKET).agg(F.bitmap_construct_agg(POS).alias(BITS))
-    return written(bits, "dedup-bitmap")
+    rows, bit = _marked(signed, (LEN,), _bitmap(signed, (LEN,), "dedup-lengths"))
+    return _bitmap(rows.where(bit).select(LEN, HEAD), (LEN, HEAD), "dedup-pairs")
 
 
 def _may_survive(docs: DataFrame, bitmap: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
-    """The rows with their bucket's bits beside them, and the test of a row's bit."""
-    bucket, pos = _slot()
-    rows = _signed(docs, id_col, text_col).withColumns({BUCKET: bucket, POS: pos}).join(F.broadcast(bitmap), BUCKET, "left")
-    byte = F.conv(F.hex(F.expr(f"substring({BITS}, shiftright({POS}, 3) + 1, 1)")), 16, 10).cast("int")
-    bit = F.coalesce(F.call_function("getbit", byte.cast("long"), F.pmod(F.col(POS), F.lit(8)).cast("int")) == 1, F.lit(False))
-    return rows, bit
+    return _marked(_signed(docs, id_col, text_col), (LEN, HEAD), bitmap)
 
 
 def duplicate_groups(docs: DataFrame, bitmap: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
