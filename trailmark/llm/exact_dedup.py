@@ -7,25 +7,27 @@ Each step sees only what the step before left in groups of two rows or more:
 3. the surviving pairs; rows of others cannot have a copy: their content is not hashed and their text is never shuffled;
 4. SHA-256 of the whole normalised text of the rest, grouped with partial aggregation.
 
-What a step leaves is a bitmap of fixed size (at most ``BITMAP_BYTES``), which is what makes its broadcast safe. A bit may stand for several
-keys; what passes by such a chance is settled by the steps after it. So no step deals rows by their length, which many may share.
+What a step leaves is a bitmap of BITS_A_KEY bits a key, but never more than ``BITMAP_BYTES``, which is what makes its broadcast safe. A bit may
+stand for several keys; what passes by such a chance is settled by the steps after it. So no step deals rows by their length, which many may share.
 
 Texts never meet in one task: groups are counts and minima, so a group that holds a third of all rows is one row for each map task.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import OWN, order_id, plain_id, written
 
 PREFIX_CHARS = 256
-#: Bits of the survivor bitmap: 2048 buckets of 32768 bits, 8 MiB whatever the input.
-BITMAP_BUCKETS, BUCKET_BITS = 2048, 32768
-BITMAP_BYTES = BITMAP_BUCKETS * BUCKET_BITS // 8
+#: A bitmap has buckets of 32768 bits, 256 (1 MiB) to 65536 (256 MiB) of them. Past 2^27 keys it only gets fuller, and more rows pass.
+BITS_A_KEY, BUCKET_BITS, LEAST_BUCKETS, MOST_BUCKETS = 16, 32768, 256, 65536
+BITMAP_BYTES = MOST_BUCKETS * BUCKET_BITS // 8
 
-LEN, HEAD, SHA, RID, BUCKET, POS, BITS = (OWN + x for x in ("len", "head", "sha", "rid", "bucket", "pos", "bits"))
+LEN, HEAD, SHA, RID, HASH, BUCKET, POS, BITS = (OWN + x for x in ("len", "head", "sha", "rid", "hash", "bucket", "pos", "bits"))
 
 
 def normalised(text: Column) -> Column:
@@ -46,38 +48,47 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     })
 
 
-def _slot(keys: tuple[str, ...]) -> dict[str, Column]:
-    h = F.xxhash64(*keys)
-    return {BUCKET: F.pmod(F.shiftrightunsigned(h, 20), F.lit(BITMAP_BUCKETS)).cast("int"), POS: F.pmod(h, F.lit(BUCKET_BITS)).cast("int")}
-
+@dataclass
+class Bitmap:
+    """Which values of the key columns occur twice: a row of bits for each bucket that has any."""
 
-def _bitmap(rows: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
-    """The keys that two rows or more share, one bit each: a row a bucket."""
-    twice = rows.groupBy(*keys).count().where("count > 1").select(*(c.alias(n) for n, c in _slot(keys).items()))
-    return written(twice.groupBy(BUCKET).agg(F.bitmap_construct_agg(POS).alias(BITS)), name)
+    keys: tuple[str, ...]
+    buckets: int
+    bits: DataFrame
 
+    @classmethod
+    def of_repeated(cls, rows: DataFrame, *keys: str) -> Bitmap:
+        twice = written(rows.groupBy(*keys).count().where("count > 1").select(F.xxhash64(*keys).alias(HASH)), "dedup-repeated")
+        wanted = twice.count() * BITS_A_KEY // BUCKET_BITS
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << wanted.bit_length()))
+        placed = twice.select(cls._bucket(buckets), cls._place())
+        return cls(keys, buckets, written(placed.groupBy(BUCKET).agg(F.bitmap_construct_agg(POS).alias(BITS)), "dedup-bitmap"))
 
-def _marked(rows: DataFrame, keys: tuple[str, ...], bitmap: DataFrame) -> tuple[DataFrame, Column]:
-    """The rows with their bucket's bits beside them, and the test of a row's bit."""
-    rows = rows.withColumns(_slot(keys)).join(F.broadcast(bitmap), BUCKET, "left")
-    byte = F.conv(F.hex(F.expr(f"substring({BITS}, shiftright({POS}, 3) + 1, 1)")), 16, 10).cast("long")
-    return rows, F.coalesce(F.call_function("getbit", byte, F.pmod(F.col(POS), F.lit(8)).cast("int")) == 1, F.lit(False))
+    @staticmethod
+    def _bucket(buckets: int) -> Column:
+        return F.pmod(F.shiftrightunsigned(F.col(HASH), 20), F.lit(buckets)).cast("int").alias(BUCKET)
 
+    @staticmethod
+    def _place() -> Column:
+        return F.pmod(F.col(HASH), F.lit(BUCKET_BITS)).cast("int").alias(POS)
 
-def survivors_bitmap(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Steps 1 to 3: the bitmap of (length, prefix hash) pairs that two rows or more share."""
-    signed = written(_signed(docs, id_col, text_col).select(LEN, HEAD), "dedup-signatures")
-    rows, bit = _marked(signed, (LEN,), _bitmap(signed, (LEN,), "dedup-lengths"))
-    return _bitmap(rows.where(bit).select(LEN, HEAD), (LEN, HEAD), "dedup-pairs")
+    def beside(self, rows: DataFrame) -> tuple[DataFrame, Column]:
+        """The rows with their bucket's bits beside them, and the test of a row's bit."""
+        placed = rows.withColumn(HASH, F.xxhash64(*self.keys)).select("*", self._bucket(self.buckets), self._place()).join(F.broadcast(self.bits), BUCKET, "left")
+        byte = F.conv(F.hex(F.expr(f"substring({BITS}, shiftright({POS}, 3) + 1, 1)")), 16, 10).cast("long")
+        return placed, F.coalesce(F.call_function("getbit", byte, F.pmod(F.col(POS), F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
-def _may_survive(docs: DataFrame, bitmap: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
-    return _marked(_signed(docs, id_col, text_col), (LEN, HEAD), bitmap)
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Bitmap:
+    """Steps 1 to 3: the (length, prefix hash) pairs that two rows or more share."""
+    signed = written(_signed(docs, id_col, text_col).select(LEN, HEAD), "dedup-signatures")
+    rows, bit = Bitmap.of_repeated(signed, LEN).beside(signed)
+    return Bitmap.of_repeated(rows.where(bit), LEN, HEAD)
 
 
-def duplicate_groups(docs: DataFrame, bitmap: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_groups(docs: DataFrame, pairs: Bitmap, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Step 4: a row for each text that occurs twice or more: its SHA-256, the smallest id, the row that stays, the number of rows."""
-    rows, bit = _may_survive(docs, bitmap, id_col, text_col)
+    rows, bit = pairs.beside(_signed(docs, id_col, text_col))
     hashed = rows.where(bit).select(LEN, HEAD, sha256_of(F.col(text_col)).alias(SHA), order_id(id_col).alias("oid"), RID)
     by_id = hashed.groupBy(LEN, HEAD, SHA, "oid").agg(F.min(RID).alias("rid"), F.count("*").alias("n"))
     return (
@@ -102,7 +113,7 @@ def label_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty result. Other columns of ``docs``, whatever their names, are not looked at.
     """
     docs = docs.select(id_col, text_col)
-    groups = duplicate_groups(docs, survivors_bitmap(docs, id_col, text_col), id_col, text_col)
+    groups = duplicate_groups(docs, survivors(docs, id_col, text_col), id_col, text_col)
     rows = docs.select(id_col, F.monotonically_increasing_id().alias(RID), sha256_of(F.col(text_col)).alias(SHA))
     return rows.join(groups, SHA, "left").select(
         id_col,
@@ -115,9 +126,9 @@ def label_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. Only rows that may have a copy are shuffled; the others pass by."""
-    bitmap = survivors_bitmap(docs, id_col, text_col)
-    groups = duplicate_groups(docs, bitmap, id_col, text_col)
-    rows, bit = _may_survive(docs, bitmap, id_col, text_col)
+    pairs = survivors(docs, id_col, text_col)
+    groups = duplicate_groups(docs, pairs, id_col, text_col)
+    rows, bit = pairs.beside(_signed(docs, id_col, text_col))
     alone = rows.where(~bit)
     joined = rows.where(bit).withColumn(SHA, sha256_of(F.col(text_col))).join(groups, SHA, "left").where(_stays(id_col))
     return alone.select(docs.columns).unionByName(joined.select(docs.columns))
