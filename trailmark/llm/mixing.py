@@ -3,7 +3,7 @@
 A source's rate is the number of times its documents should occur on average: its share of the mixture over its share of the corpus,
 both in bytes. Each document draws its count from the Poisson distribution of that mean, by inverting the distribution at a number
 that a hash of seed and id gives: the draw needs no state, is the same after a retry, and does not depend on the partitioning. The
-document is repeated that often, and a hash of seed, id and copy deals the copies out in random order.
+document is repeated that often, and a hash of seed, id, copy and place in the table deals the copies out in random order, equal rows too.
 """
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, source_col:
     else:
         own = weights.groupBy(F.col("source").alias("w")).agg(F.sum("weight").cast("double").alias("weight"))
         sizes = sizes.join(own, F.col("source").eqNullSafe(F.col("w")), "left").select("source", "bytes", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    whole = sizes.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
-    rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_bytes") / F.col("bytes")).otherwise(0.0)
-    rates = sizes.crossJoin(F.broadcast(whole)).select("source", rate.alias("rate"))  # whole is one row
+    sizes = written(sizes, "source-sizes")
+    all_bytes, all_weight = sizes.agg(F.sum("bytes"), F.sum("weight")).first()
+    rate = F.col("weight") / all_weight * all_bytes / F.col("bytes") if all_weight else F.lit(0.0)
+    rates = sizes.select("source", rate.alias("rate"))
     rates = rates.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_AT_MOST)).cast("int")).withColumn("mean", F.col("rate") / F.col("draws"))
     last = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 20).cast("int")
     start = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf"))
@@ -56,9 +57,10 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, source_col:
     return rates.withColumn("cdf", F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])).drop("mean")
 
 
-def with_copies(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """``docs`` and n_copies, the count that each document draws."""
-    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.lit(seed), F.col(id_col), j))
+def with_copies(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """``docs`` and n_copies, the count that each document draws. A document without an id draws by its text."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("t"), F.md5(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"))))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.lit(seed), key, j))
     count = F.aggregate(numbers, F.lit(0).cast("long"), lambda acc, u: acc + F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
     rates = rates.select(F.col("source").alias(OWN + "source"), "draws", "cdf")
     return docs.join(rates, F.col(source_col).eqNullSafe(F.col(OWN + "source"))).withColumn(OWN + "n", count).drop(OWN + "source", "draws", "cdf")
@@ -67,19 +69,20 @@ def with_copies(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", sourc
 def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """All columns of ``docs`` and copy (from 1), n_copies, order_key: the mixture in random order, by partition and within each.
 
-    A null source is a source of its own; null and empty texts weigh one byte. Rows with equal ids, null ones too, draw equal counts.
+    A null source is a source of its own; null and empty texts weigh one byte. Rows with equal ids draw equal counts; a null id draws by the text instead.
     An empty table gives an empty result. Columns of ``docs`` named copy, n_copies or order_key are replaced. Documents that draw 0 are not in the mixture: that is
     what a target below the source's share asks for.
     """
     rates = written(source_rates(docs, weights, source_col, text_col), "rates")  # read again, its true size decides about a broadcast
     columns = [c for c in docs.columns if c not in ("copy", "n_copies", "order_key")]
-    inner = docs.select([F.col(c).alias(f"{OWN}{k}") for k, c in enumerate(columns)])
+    inner = docs.select(*(F.col(c).alias(f"{OWN}{k}") for k, c in enumerate(columns)), F.monotonically_increasing_id().alias(OWN + "rid"))
     name = {c: f"{OWN}{k}" for k, c in enumerate(columns)}
-    counted = with_copies(inner, rates, name[id_col], name[source_col], seed)
+    counted = with_copies(inner, rates, name[id_col], name[source_col], name[text_col], seed)
     copies = counted.where(F.col(OWN + "n") > 0).select(
         *(F.col(own).alias(c) for c, own in name.items()),
         F.explode(F.sequence(F.lit(1), F.col(OWN + "n").cast("int"))).alias("copy"),
         F.col(OWN + "n").alias("n_copies"),
+        OWN + "rid",
     )
-    keyed = copies.withColumn("order_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))
+    keyed = copies.withColumn("order_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"), F.col(OWN + "rid"))).drop(OWN + "rid")
     return keyed.repartition("order_key").sortWithinPartitions("order_key")

@@ -99,7 +99,7 @@ cdfs AS (
 ),
 counted AS (
   SELECT d.*, list_sum(list_transform(range(1, draws + 1), lambda j: len(list_filter(cdf, lambda c:
-    c <= (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || j::VARCHAR), 1, 13))::BIGINT + 0.5) / {1 << 52})))) ::BIGINT AS n_copies
+    c <= (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) || ':' || j::VARCHAR), 1, 13))::BIGINT + 0.5) / {1 << 52})))) ::BIGINT AS n_copies
   FROM documents d JOIN cdfs ON d.source IS NOT DISTINCT FROM cdfs.source
 )
 SELECT * EXCLUDE (n_copies), unnest(range(1, n_copies + 1))::INT AS copy, n_copies FROM counted WHERE n_copies > 0
