@@ -215,6 +215,24 @@ def test_licenses_survive_edits():
             assert (name in found) == (_contains(text, template) >= 0.8)
 
 
+def test_licenses_every_passage_and_what_it_lies_within():
+    index = licenses.Index(licenses.TEMPLATES)
+    notice, bsd2, bsd3 = (licenses.TEMPLATES[k] for k in ("MIT", "BSD-2-Clause", "BSD-3-Clause"))
+    filler = " alpha beta gamma delta epsilon" * 50
+    assert [(f[0], f[2]) for f in index.scan(f"{notice}{filler} {notice} {notice}") if f[0] == "MIT"] == [("MIT", 0), ("MIT", 255), ("MIT", 260)]
+    assert [f[0] for f in index.scan(bsd2)] == ["BSD-2-Clause"]
+    found = index.scan(filler + bsd3 + filler + " " + bsd2)
+    assert [(f[0], f[4]) for f in found] == [("BSD-2-Clause", "BSD-3-Clause"), ("BSD-2-Clause", None), ("BSD-3-Clause", None)]
+    gpl = index.scan(licenses.TEMPLATES["GPL-3.0"])
+    assert [(f[0], f[4]) for f in gpl] == [("GPL-2.0", "GPL-3.0"), ("GPL-3.0", None)]
+
+
+def test_licenses_each_template_is_its_own_best():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert [f[0] for f in index.scan(f"before it {text} after it") if f[4] is None] == [name]
+
+
 def test_licenses_edge_cases(edge, empty):
     assert [(r.doc_id, r.license) for r in licenses.scan(edge).collect()] == [(15, "MIT")]
     assert licenses.scan(empty).count() == 0
