@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trailmark import schema
 from trailmark.operators import reports
 from trailmark.operators.rules import CHANGES, EVENT_GROUPS, RULES, SEVERITIES, Rule
-from trailmark.operators.search import ordered, policy_matches
+from trailmark.operators.search import match_policies, ordered
 
 
 def _filled(col: str) -> Column:
@@ -147,11 +147,12 @@ def verdicts(results: DataFrame, standards: tuple[str, ...] = schema.COMPLIANCE_
 
 
 def policy_violations(events: DataFrame, policies: DataFrame, now: str, wildcards: bool = False) -> DataFrame:
-    """Events of each active policy's type that are too old. Types are compared exactly, or as patterns with ``wildcards``. Patterns have no key to join by, so the policies, a table of settings, go to every task."""
+    """Events of each active policy's type that are too old. Types are compared exactly, or as patterns with ``wildcards``; patterns are matched against the distinct types."""
     active = policies.where("IsActive").select(F.col("EventType").alias("policy"), "RetentionDays")
-    same = policy_matches(F.col("policy"), F.col("EventType")) if wildcards else F.col("policy") == F.col("EventType")
+    kinds = events.select(F.col("EventType").alias("kind")).distinct()
+    meant = match_policies(kinds, active, "kind") if wildcards else active.withColumn("kind", F.col("policy"))
     old = F.col("InsertedDate") < F.lit(now).cast("timestamp") - F.make_interval(days=F.col("RetentionDays"))
-    found = events.select("EventType", "InsertedDate").join(F.broadcast(active) if wildcards else active, same & old).groupBy("policy").agg(F.count("*").alias("n"))
+    found = events.select("EventType", "InsertedDate").join(meant, F.col("EventType").eqNullSafe(F.col("kind"))).where(old).groupBy("policy").agg(F.count("*").alias("n"))
     return active.join(found, "policy", "left").select("policy", F.coalesce("n", F.lit(0)).alias("violations"), F.col("n").isNull().alias("compliant"))
 
 

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from trailmark import schema
 from trailmark.functions import canonical, text
 from trailmark.functions.dates import cutoff
-from trailmark.operators.search import ordered, policy_matches
+from trailmark.operators.search import match_policies, ordered
 
 
 def retention_plan(events: DataFrame, policies: DataFrame, now: str) -> DataFrame:
     """EventId and the policy that deletes it: of the active policies that match its type, the one of highest priority, if the event is older than it allows.
 
-    Patterns are matched against the distinct types, not the events; the policies, a table of settings, go to every task for that.
+    Patterns are matched against the distinct types, not the events.
     """
     active = policies.where("IsActive").select(F.col("EventType").alias("policy"), "RetentionDays", "Priority")
     kinds = events.where("EventType IS NOT NULL").select("EventType").distinct()
-    matched = kinds.join(F.broadcast(active), policy_matches(F.col("policy"), F.col("EventType")))
+    matched = match_policies(kinds, active)
     w = Window.partitionBy("EventType").orderBy(F.desc("Priority"), "policy")
     best = matched.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
     old = F.col("InsertedDate") < F.lit(now).cast("timestamp") - F.make_interval(days=F.col("RetentionDays"))

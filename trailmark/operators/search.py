@@ -151,13 +151,20 @@ def archives_to_verify(archives: DataFrame, now: str, hours: int) -> DataFrame:
     return ordered(archives.where((F.col("Status") == 1) & due), "LastVerifiedAt", "ArchiveId")
 
 
-def policy_matches(policy: Column, kind: Column) -> Column:
-    """Equal in any case, ``*``, ``Prefix.*`` with the dot, ``*.Suffix`` with the dot."""
-    p, k = F.lower(policy), F.lower(kind)
-    return F.coalesce(
-        (p == k) | (p == "*") | (p.endswith(".*") & F.startswith(k, F.substring(p, F.lit(1), F.length(p) - 1))) | (p.startswith("*.") & F.endswith(k, F.substring(p, F.lit(2), F.length(p)))),
-        F.lit(False),
-    )
+def policy_keys(kind: Column) -> Column:
+    """All patterns that match a type, in lower case: itself, ``*``, ``Prefix.*`` for what is before each dot, ``*.Suffix`` for what is behind it. A null type has ``*`` alone."""
+    k = F.lower(kind)
+    parts = F.split(k, r"\.", -1)
+    n = F.size(parts)
+    before = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "."), F.lit(".*")))
+    behind = F.transform(F.sequence(F.lit(2), n), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(parts, i, n), ".")))
+    plain = F.array(k, F.lit("*"))
+    return F.array_distinct(F.when(n > 1, F.concat(plain, before, behind)).otherwise(plain))
+
+
+def match_policies(kinds: DataFrame, policies: DataFrame, kind: str = "EventType", policy: str = "policy") -> DataFrame:
+    """Each type beside each policy whose pattern matches it: an equal join on the patterns that a type has."""
+    return kinds.withColumn("pattern", F.explode(policy_keys(F.col(kind)))).join(policies.withColumn("pattern", F.lower(policy)), "pattern").drop("pattern")
 
 
 def log_view(events: DataFrame) -> DataFrame:

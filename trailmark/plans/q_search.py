@@ -70,7 +70,7 @@ q("P27", lambda k, d: s.ordered(a.archive_records(k, d).where((F.col("Status") =
 q("P28", lambda k, d: s.overlapping_archives(a.archive_records(k, d), "1995-02-10", "1996-08-20"), "SELECT * FROM AR WHERE Status = 1 AND DateRangeStart <= '1996-08-20' AND DateRangeEnd >= '1995-02-10'")
 q("P29", lambda k, d: s.archives_to_verify(a.archive_records(k, d), "1996-01-01", 24 * 365), "SELECT * FROM AR WHERE Status = 1 AND (LastVerifiedAt IS NULL OR LastVerifiedAt < TIMESTAMP '1996-01-01' - INTERVAL 8760 HOUR)")
 events("P30", lambda e: e.where((F.col("EventType") == "Data.Read") & (F.col("InsertedDate") < "2024-01-11")), f"SELECT {COLS} FROM E WHERE EventType = 'Data.Read' AND InsertedDate < '2024-01-11'")
-q("P32", lambda k, d: a.audit_events(k, d).where("EventType IS NOT NULL").select("EventType").distinct().withColumnRenamed("EventType", "kind").join(a.retention_policies(k), s.policy_matches(F.col("EventType"), F.col("kind"))).select("kind", F.col("EventType").alias("policy")),
+q("P32", lambda k, d: a.audit_events(k, d).where("EventType IS NOT NULL").select(F.col("EventType").alias("kind")).distinct().transform(s.match_policies, a.retention_policies(k), "kind", "EventType").select("kind", F.col("EventType").alias("policy")),
   """SELECT kind, RP.EventType AS policy FROM (SELECT DISTINCT EventType AS kind FROM E WHERE EventType IS NOT NULL) JOIN RP ON lower(RP.EventType) = lower(kind) OR RP.EventType = '*'
   OR (RP.EventType LIKE '%.*' AND starts_with(lower(kind), left(lower(RP.EventType), length(RP.EventType) - 1))) OR (RP.EventType LIKE '*.%' AND suffix(lower(kind), lower(RP.EventType)[2:]))""")
 q("P33", lambda k, d: s.exists(a.audit_events(k, d), F.col("Duration") > 99), "SELECT count(*) > 0 AS found FROM E WHERE Duration > 99")
