@@ -4,6 +4,8 @@ A filter is a direction; a vector is in it when their inner product reaches a th
 space is rotated and halved, each half has a random codebook, and a direction is a pair of code vectors. So 2 x BOOK inner products
 decode a vector to all of the BOOK x BOOK directions that it exceeds. Two vectors at cosine 0.93 share a filter with probability
 0.99 under the parameters here, closer ones more surely (measured; see the README). What shares a filter is verified in double precision.
+Where a label has so many vectors that a filter of random ones would hold more than BUCKET_ROWS, caps are narrower and directions more, so that a
+vector's list stays as long and a filter as full, however many vectors there are.
 
 Equal vectors are one class and travel once. A filter that holds more than BUCKET_ROWS classes is cut into chunks, and each pair of
 chunks is a task's work of its own, so no filter, however full, is gathered whole. A pair is counted in the first filter that its two
@@ -27,6 +29,8 @@ from .graph import connected_components
 MIN_COSINE = 0.93
 #: Number of product codes, code vectors of a half, threshold in standard deviations of an inner product with a random direction.
 CODES, BOOK, TAU = 3, 256, 3.4
+#: Filters are numbered in 32 bits.
+MOST_BOOK = 26_000
 #: A code's list has at least its best so many filters: vectors that lie badly to a code must meet their neighbours too.
 LEAST_FILTERS = 6
 #: A threshold above this would leave the caps of few dimensions empty.
@@ -34,25 +38,45 @@ MAX_THRESHOLD = 0.6
 BUCKET_ROWS = 1024
 
 
+def _cap(threshold: float, dim: int) -> float:
+    """The share of random vectors of length one whose inner product with a direction reaches the threshold."""
+    angles = np.linspace(0, np.pi / 2, 20_001)
+    density = np.sin(angles) ** (dim - 2)
+    return float(density[angles <= np.arccos(threshold)].sum() / density.sum() / 2)
+
+
+@lru_cache(maxsize=16)
+def filter_sizes(dim: int, vectors: int) -> tuple[int, float]:
+    """(code vectors of a half, threshold) for that many vectors of a label. Few dimensions need few code vectors."""
+    size, threshold = min(BOOK, 4 * dim), min(TAU / np.sqrt(dim), MAX_THRESHOLD)
+    if dim < 3 or (wide := _cap(threshold, dim)) * vectors <= BUCKET_ROWS:
+        return size, threshold
+    low, high = threshold, MAX_THRESHOLD
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _cap(middle, dim) * vectors > BUCKET_ROWS else (low, middle)
+    return min(MOST_BOOK, int(np.ceil(size * np.sqrt(wide / _cap(high, dim))))), high
+
+
 @lru_cache(maxsize=4)
-def _directions(dim: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], float]:
-    """(rotation, codebook, codebook) of each code, and the threshold. Few dimensions need few code vectors."""
+def _directions(dim: int, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rotation, codebook, codebook) of each code."""
     rng = np.random.default_rng(dim)
-    half, size = (dim + 1) // 2, min(BOOK, 4 * dim)
+    half = (dim + 1) // 2
     codes = []
     for _ in range(CODES):
         rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         books = [rng.standard_normal((size, n)) for n in (half, dim - half)]
         scale = np.sqrt([half / dim, 1 - half / dim])
         codes.append((rotation, *(s * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300) for s, b in zip(scale, books, strict=True))))
-    return codes, min(TAU / np.sqrt(dim), MAX_THRESHOLD)
+    return codes
 
 
-def exceeded(vector: np.ndarray) -> np.ndarray:
-    """The ids, ascending, of all filters that a vector of length one exceeds, and of the best LEAST_FILTERS of each code."""
-    codes, threshold = _directions(vector.size)
+def exceeded(vector: np.ndarray, vectors: int = 0) -> np.ndarray:
+    """The ids, ascending, of all filters that a vector of length one exceeds, and of the best LEAST_FILTERS of each code; vectors: how many a label has at most."""
+    size, threshold = filter_sizes(vector.size, vectors)
     found = []
-    for k, (rotation, left, right) in enumerate(codes):
+    for k, (rotation, left, right) in enumerate(_directions(vector.size, size)):
         x = rotation @ vector
         a, b = left @ x[: left.shape[1]], right @ x[left.shape[1] :]
         rows, cols = (np.argsort(-v, kind="stable")[:LEAST_FILTERS] for v in (a, b))
@@ -60,7 +84,7 @@ def exceeded(vector: np.ndarray) -> np.ndarray:
         least = min(threshold, top)
         rows, cols = np.flatnonzero(a >= least - b.max()), np.flatnonzero(b >= least - a.max())
         i, j = np.nonzero(a[rows, None] + b[None, cols] >= least)
-        found.append(k * BOOK * BOOK + rows[i] * BOOK + cols[j])
+        found.append(k * size * size + rows[i] * size + cols[j])
     return np.sort(np.concatenate(found)).astype(np.int32)
 
 
@@ -69,10 +93,13 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def _filters(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([exceeded(_unit(np.array(x.as_py(), np.float64)[None])[0]) for x in batch], pa.list_(pa.int32()))
+def _filters(vector: Column, vectors: int) -> Column:
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([exceeded(_unit(np.array(x.as_py(), np.float64)[None])[0], vectors) for x in batch], pa.list_(pa.int32()))
+
+    return listed(vector)
 
 
 def usable(vector: Column) -> Column:
@@ -138,8 +165,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """One row for each label and distinct usable vector: class (a number), oid (least order id), members, label, vector, dim, filters."""
     rows = vectors.where(F.col(label_col).isNotNull() & usable(F.col(vector_col)))
+    largest = rows.groupBy(F.col(label_col)).count().agg(F.max("count")).first()[0] or 0
     distinct = rows.groupBy(F.col(label_col).alias("label"), F.col(vector_col).alias("vector")).agg(F.count("*").alias("members"), F.min(order_id(id_col)).alias("oid"))
-    return written(distinct.select(F.monotonically_increasing_id().alias("class"), "*", F.size("vector").alias("dim"), _filters("vector").alias("filters")), "vector-classes")
+    return written(distinct.select(F.monotonically_increasing_id().alias("class"), "*", F.size("vector").alias("dim"), _filters(F.col("vector"), largest).alias("filters")), "vector-classes")
 
 
 def class_links(found: DataFrame) -> DataFrame:
