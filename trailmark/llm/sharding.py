@@ -21,8 +21,8 @@ from .common import OWN, written
 SHARDS = 8
 #: A splitter may miss its place by this share of a partition's bytes.
 TOLERANCE = 0.001
-#: Shards are sorted in partitions of about so many bytes.
-PARTITION_BYTES = 64 << 20
+#: Shards are sorted in partitions of about so many bytes, or larger ones where there would be more partitions than this: the driver holds a key for each.
+PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 1 << 14
 PROBES, PROBES_IN_ALL = 16, 1 << 16
 KEY, SIZE, PART = OWN + "key", OWN + "size", OWN + "part"
 _DIGITS = 32
@@ -104,7 +104,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_i
     total = keys.agg(F.sum(SIZE)).first()[0] or 0
     if not total:
         return docs.withColumns({"size": F.lit(1).cast("long"), "shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    each = max(1, -(-total // (n_shards * partition_bytes)))
+    each = max(1, min(-(-total // (n_shards * partition_bytes)), MOST_PARTITIONS // n_shards))
     parts = n_shards * each
     ends = splitters(keys, [total * k / parts for k in range(1, parts)], tolerance * total / parts)
     starts = [(0, 0, 0), *ends]
