@@ -417,10 +417,10 @@ def test_lines_of_markup(spark, page, text):
 
 def test_chrome_is_told_by_whole_names_and_tokens():
     kinds = lambda page: [k for _, k in pages.lines(page)]
-    for attrs in ("style='overflow:hidden'", 'aria-hidden="false"', "href=/x?id=share", 'href="/x?id=share"', "data-id=share", 'class="no-sidebar"', "class='post-header x'", 'title="class=ad"'):
+    for attrs in ("style='overflow:hidden'", 'aria-hidden="false"', "href=/x?id=share", 'href="/x?id=share"', "data-id=share", 'class="no-sidebar"', "class=main-content", "class='content text'", "class='post-header x'", 'title="class=ad"'):
         assert kinds(f"<div {attrs}><p>a</div>") == [pages.PLAIN], attrs
         assert kinds(f"<article {attrs}><p>a</article>") == kinds(f"<body {attrs}><main><p>a</main>") == [pages.IN_ARTICLE], attrs
-    for attrs in ("hidden", "HIDDEN=''", "class='x ad'", "id=comments", "ROLE=banner", 'class="cookie-notice"', "class=ad_2", "data-x='>' class=\"ad\""):
+    for attrs in ("hidden", "HIDDEN=''", "class='x ad'", "class=comment-list", "id=sidebar-left", "style='color:red; display: none'", "aria-hidden=true", "id=comments", "ROLE=banner", 'class="cookie-notice"', "class=ad_2", "data-x='>' class=\"ad\""):
         assert kinds(f"<div {attrs}><p>a</div>") == [pages.IN_CHROME], attrs
         assert kinds(f"<body {attrs}><article {attrs}><p>a</article>") == kinds(f"<main {attrs}><p>a</main>") == [pages.IN_ARTICLE], attrs
 
@@ -477,6 +477,22 @@ def test_embedding_chunks_lose_nothing(spark, monkeypatch):
     assert got == {k: (89, 0, k == 0) for k in range(90)}
 
 
+@pytest.mark.parametrize("vectors", [0, 10**7, 10**8, 10**9])
+def test_filters_keep_their_recall_as_labels_grow(vectors):
+    rng = np.random.default_rng(vectors)
+    size, threshold = embeddings.filter_sizes(64, vectors)
+    assert embeddings._cap(threshold, 64) * vectors <= embeddings.BUCKET_ROWS
+    met, lists = 0, []
+    for _ in range(200):
+        a, b = (x / np.linalg.norm(x) for x in rng.standard_normal((2, 64)))
+        b = b - (a @ b) * a
+        b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b)
+        found = [embeddings.exceeded(x, vectors) for x in (a, b)]
+        lists.append(found[0].size)
+        met += bool(np.intersect1d(*found).size)
+    assert met >= 195 and np.mean(lists) < 60 and all(f[-1] < 3 * size * size for f in found)
+
+
 def test_embedding_null_and_repeated_ids(spark):
     v = [1.0, 0.5, 0.25]
     df = spark.createDataFrame([(None, v, 1), (4, v, 1), (4, v, 1), (None, [0.0], 1)], "vec_id long, embedding array<float>, label int")

@@ -4,7 +4,8 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from test_llm_operators import COLUMNS, EDGE, _fingerprint, _least
+from pyspark.sql import functions as F
+from test_llm_operators import CLASHING, COLUMNS, EDGE, _fingerprint, _least
 
 import corpus_pipeline
 from trailmark.llm import bpe, exact_dedup, langid, mixing
@@ -40,7 +41,10 @@ def test_run_equals_plain_python(spark, sf_dir):
 
 def test_stages_keep_columns_and_survive_edge_cases(spark, sf_dir, tmp_path):
     spark.createDataFrame(EDGE, COLUMNS).write.parquet(str(tmp_path / "d"))
-    for docs in (spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "d")).limit(0)):
+    plain = spark.read.parquet(str(tmp_path / "d"))
+    own = set(mixing.mix(plain).columns) - set(plain.columns)
+    clashing = plain.withColumns({c: F.lit("clash") for c in CLASHING if c not in own})
+    for docs in (plain, plain.limit(0), clashing, clashing.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, sf_dir)
             assert out.columns == docs.columns, name

@@ -103,9 +103,9 @@ def token_offsets(text: str, ids: list[int], vocabulary: str = VOCABULARY) -> li
     return [(int(char[e - n]), int(char[e - 1]) + 1) for e, n in zip(ends, sizes, strict=True)]
 
 
-def _lists(rows: list[bytes]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+def _lists(rows: list[bytes], kind: type = np.int32) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(r) // np.dtype(kind).itemsize for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), kind)))
 
 
 def encoded(text: Column, vocabulary: str = VOCABULARY) -> Column:
