@@ -3,7 +3,7 @@
 A filter is a direction; a vector is in it when their inner product reaches a threshold. The directions are random product codes: the
 space is rotated and halved, each half has a random codebook, and a direction is a pair of code vectors. So 2 x BOOK inner products
 decode a vector to all of the BOOK x BOOK directions that it exceeds. Two vectors at cosine 0.93 share a filter with probability
-0.99 under the parameters here, closer ones more surely (measured; see the README). What shares a filter is verified in double precision.
+0.999 under the parameters here, closer ones more surely (measured; see the README). What shares a filter is verified in double precision.
 Where a label has so many vectors that a filter of random ones would hold more than BUCKET_ROWS, caps are narrower and directions more, so that a
 vector's list stays as long and a filter as full, however many vectors there are.
 
@@ -15,10 +15,13 @@ lists share. A block gives a row per class, its links and the least class they l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -28,11 +31,11 @@ from .graph import connected_components
 
 MIN_COSINE = 0.93
 #: Number of product codes, code vectors of a half, threshold in standard deviations of an inner product with a random direction.
-CODES, BOOK, TAU = 3, 256, 3.4
+CODES, BOOK, TAU = 3, 256, 3.8
 #: Filters are numbered in 32 bits.
 MOST_BOOK = 26_000
 #: A code's list has at least its best so many filters: vectors that lie badly to a code must meet their neighbours too.
-LEAST_FILTERS = 6
+LEAST_FILTERS = 8
 #: A threshold above this would leave the caps of few dimensions empty.
 MAX_THRESHOLD = 0.6
 BUCKET_ROWS = 1024
@@ -108,58 +111,95 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & F.forall(vector, number) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _linked(rows: list[tuple]) -> list[tuple[int, int, int]]:
-    """The rows (class, members, chunk, filters, vector) of a block -> (class, links that this filter owns, least class they lead to)."""
-    own, first, second, _, _ = rows[0][0]
-    rows = [r for _, r in rows]
-    unit = _unit(np.array([r[4] for r in rows], np.float64))
-    cosine = unit @ unit.T
-    a, b = np.nonzero(np.triu(cosine >= MIN_COSINE, 1))
-    chunk = np.array([r[2] for r in rows])
-    if first != second:
-        a, b = a[keep := chunk[a] != chunk[b]], b[keep]
-    lists: dict[int, set[int]] = {}
-    links, root = np.zeros(len(rows), np.int64), list(range(len(rows)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    below = lambda k: lists.setdefault(k, {f for f in rows[k][3] if f < own})
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if below(x).isdisjoint(below(y)):
-            links[x] += rows[y][1]
-            links[y] += rows[x][1]
-            root[max(find(x), find(y))] = min(find(x), find(y))
-    return [(rows[k][0], int(links[k]), rows[find(k)][0]) for k in np.flatnonzero(links).tolist()]
+@dataclass
+class _Rows:
+    """The rows of a batch as arrays: lists are flat, with the places where each begins; vectors have length one."""
+
+    classes: np.ndarray
+    members: np.ndarray
+    chunk: np.ndarray
+    filter: np.ndarray
+    filters: np.ndarray
+    filters_at: np.ndarray
+    units: np.ndarray
+    units_at: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Rows:
+        def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+            lists = batch.column(name)
+            at = lists.offsets.to_numpy()
+            return lists.flatten().to_numpy(zero_copy_only=False), at - at[0]
+
+        (filters, filters_at), (values, at) = flat("filters"), flat("vector")
+        values = values.astype(np.float64)
+        values /= np.repeat(np.maximum.reduceat(np.abs(values), at[:-1]), np.diff(at))
+        values /= np.repeat(np.sqrt(np.add.reduceat(values * values, at[:-1])), np.diff(at))
+        return cls(*(batch.column(c).to_numpy() for c in ("class", "members", "chunk", "filter")), filters, filters_at, values, at)
+
+    def linked(self, start: int, end: int, two_chunks: bool) -> list[tuple[int, int, int]]:
+        """The rows of a block -> (class, links that this filter owns, least class they lead to)."""
+        n = end - start
+        unit = self.units[self.units_at[start] : self.units_at[end]].reshape(n, -1)
+        a, b = np.nonzero(np.triu(unit @ unit.T >= MIN_COSINE, 1))
+        if two_chunks:
+            chunk = self.chunk[start:end]
+            a, b = a[keep := chunk[a] != chunk[b]], b[keep]
+        if not a.size:
+            return []
+        own, members, names = self.filter[start], self.members[start:end].tolist(), self.classes[start:end].tolist()
+        lists: dict[int, set[int]] = {}
+        links, root = [0] * n, list(range(n))
+
+        def below(k: int) -> set[int]:
+            if k not in lists:
+                own_list = self.filters[self.filters_at[start + k] : self.filters_at[start + k + 1]]
+                lists[k] = set(own_list[own_list < own].tolist())
+            return lists[k]
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            if below(x).isdisjoint(below(y)):
+                links[x] += members[y]
+                links[y] += members[x]
+                low, high = sorted((find(x), find(y)))
+                root[high] = low
+        return [(names[k], links[k], names[find(k)]) for k in range(n) if links[k]]
+
+
+BLOCK = ("filter", "label", "dim", "first", "second")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block; a block is held until the next begins."""
+    """Rows come sorted by block. The last block of a batch may go on in the next and waits for it."""
     names = ("class", "links", "leads_to")
-    held: list[tuple] = []
-    out: list[tuple] = []
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
-            out.clear()
+    def found(batch: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+        rows, two = _Rows.of(batch), (batch.column("first").to_numpy() != batch.column("second").to_numpy()).tolist()
+        out = [x for s, e in pairwise(starts) if e - s > 1 for x in rows.linked(s, e, two[s])]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))], names)
 
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        block = list(zip(*(batch.column(c).to_pylist() for c in ("filter", "first", "second", "label", "dim")), strict=True))
-        rows = zip(*(batch.column(c).to_pylist() for c in ("class", "members", "chunk", "filters", "vector")), strict=True)
-        for key, row in zip(block, rows, strict=True):
-            if held and held[0][0] != key:
-                if len(held) > 1:
-                    out += _linked(held)
-                held = []
-            held.append((key, row))
-        yield from flush()
-    if len(held) > 1:
-        out += _linked(held)
-    yield from flush()
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in BLOCK:
+            values = batch.column(c)
+            change |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        held = batch.slice(starts[-1])
+        if len(starts) > 1:
+            yield found(batch.slice(0, starts[-1]), starts)
+    if held is not None:
+        yield found(held, [0, held.num_rows])
 
 
 def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -172,18 +212,16 @@ def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
 
 def class_links(found: DataFrame) -> DataFrame:
     """(class, links, leads_to): partial sums of links to other classes' members, and edges that connect what links connect."""
-    narrow = found.select("label", "dim", F.explode("filters").alias("filter"))
+    narrow = found.select("class", "label", "dim", F.explode("filters").alias("filter"))
     shared = narrow.groupBy("label", "dim", "filter").count().where("count > 1")
-    chunks = F.ceil(F.col("count") / BUCKET_ROWS).cast("int")
-    rows = (
-        found.withColumn("filter", F.explode("filters"))
-        .join(shared.withColumn("chunks", chunks).drop("count"), ["label", "dim", "filter"])
+    placed = (
+        narrow.join(shared.select("label", "dim", "filter", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("chunks")), ["label", "dim", "filter"])
         .withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("label", "dim", "filter", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "chunk", "class", "members", "filters", "vector")
+        .select("label", "dim", "filter", F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"), "chunk", "class")
     )
-    block = ["filter", "label", "dim", "first", "second"]
-    return rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(_verified, "class long, links long, leads_to long")
+    rows = placed.join(found.select("class", "members", "filters", "vector"), "class")
+    return rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(_verified, "class long, links long, leads_to long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
