@@ -68,10 +68,11 @@ def test_canonical_json_is_stable(value):
 
 
 def test_hashes_equal_hashlib(spark):
-    r = one(spark, c=text.checksum(F.lit("id"), F.lit(None).cast("string"), F.lit("ü")), h=canonical.chain_hmac(b"k")(F.lit("a"), F.lit(None).cast("string"), F.lit("7"), F.lit("t")))
+    r = one(spark, c=text.checksum(F.lit("id"), F.lit(None).cast("string"), F.lit("ü")), h=text.chain_hmac(b"k", F.lit("a"), F.lit(None).cast("string"), F.lit("7"), F.lit("t")), long=text.chain_hmac(b"k" * 99, F.lit("a")))
     framed = lambda *p: b"".join(len(x.encode()).to_bytes(4, "big") + x.encode() for x in p)
     assert r.c == base64.b64encode(hashlib.sha256(framed("id", "", "ü")).digest()).decode()
     assert r.h == base64.b64encode(hmac.digest(b"k", framed("a", "", "7", "t"), "sha256")).decode()
+    assert r.long == base64.b64encode(hmac.digest(b"k" * 99, framed("a"), "sha256")).decode()
 
 
 @pytest.mark.parametrize(

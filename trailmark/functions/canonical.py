@@ -7,11 +7,9 @@ white space. The writer escapes what the audit format escapes: control character
 from __future__ import annotations
 
 import hashlib
-import hmac
 import json
 import re
 import unicodedata
-from base64 import b64encode
 from collections.abc import Callable
 from datetime import datetime, timezone
 from decimal import Decimal
@@ -121,16 +119,6 @@ def fingerprint(text: str | None) -> str:
 envelope_fingerprint = _mapped(lambda t: _or_none(fingerprint, t))
 
 
-def _length_prefixed(*parts: str | None) -> bytes:
-    data = [(p or "").encode() for p in parts]
-    return b"".join(len(d).to_bytes(4, "big") + d for d in data)
-
-
-def chain_hmac(key: bytes) -> Callable[..., Column]:
-    """base64 of HMAC-SHA-256 over the length-prefixed hash, previous hash, sequence number and time."""
-    return _mapped(lambda *parts: b64encode(hmac.digest(key, _length_prefixed(*parts), "sha256")).decode())
-
-
 ANONYMIZED = "ANONYMIZED"
 
 

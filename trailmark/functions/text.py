@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column
@@ -40,6 +41,18 @@ def checksum(event_id: Column, kind: Column, user_id: Column) -> Column:
     return sha256_base64(length_prefixed(event_id, kind, user_id))
 
 
+def hmac_sha256(key: bytes, data: Column) -> Column:
+    """Binary: two hashes, of the key with inner padding and the data, and of the key with outer padding and the first."""
+    padded = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in padded)) for pad in (0x36, 0x5C))
+    return F.unhex(F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, data), 256))), 256))
+
+
+def chain_hmac(key: bytes, *parts: Column) -> Column:
+    """base64 of HMAC-SHA-256 over the length-prefixed hash, previous hash, sequence number and time."""
+    return F.base64(hmac_sha256(key, length_prefixed(*parts)))
+
+
 def anonymize_ip(ip: Column) -> Column:
     """F10"""
     v4 = F.regexp_extract(ip, r"^(\d{1,3}\.\d{1,3})\.\d{1,3}\.\d{1,3}$", 1)

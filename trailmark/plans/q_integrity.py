@@ -73,12 +73,19 @@ e("F2", lambda x: x.select("EventId", c.canonical_json(F.concat(F.lit(' { "z" :
 e("F3", lambda x: x.select("EventId", t.iso_time(F.col("InsertedDate")).alias("at")), f"SELECT EventId, {ISO} AS at FROM E")
 e("F4", lambda x: x.select("EventId", t.event_hash(*EVENT, c.canonical_json("JsonData")).alias("hash")), f"""SELECT EventId, to_base64(unhex(sha256(EventId || '|' || coalesce(EventType, '') || '|' || coalesce("User", '') || '|' || {ISO} || '|' || {CANON}))) AS hash FROM E""")
 e("F5", lambda x: x.select("EventId", t.checksum(F.col("EventId"), F.col("EventType"), F.col("UserId")).alias("checksum")), """SELECT EventId, to_base64(unhex(sha256(unhex(lpad(to_hex(strlen(EventId)), 8, '0')) || EventId::BLOB || unhex(lpad(to_hex(strlen(coalesce(EventType, ''))), 8, '0')) || coalesce(EventType, '')::BLOB || unhex(lpad(to_hex(strlen(UserId)), 8, '0')) || UserId::BLOB))) AS checksum FROM E""")
-q("F6", lambda k, d: a.audit_integrity(k, d).select("EventId", c.chain_hmac(b"key")("EventHash", "PreviousEventHash", F.col("SequenceNumber").cast("string"), t.iso_time(F.col("TrustedTimestamp"))).alias("hmac")))
+_part = lambda x: f"unhex(lpad(to_hex(strlen({x})), 8, '0')) || ({x})::BLOB"
+_pad = lambda n: "unhex('" + bytes(x ^ n for x in b"key".ljust(64, b"\0")).hex() + "')"
+CHAINED = " || ".join(map(_part, ("EventHash", "coalesce(PreviousEventHash, '')", "SequenceNumber::VARCHAR", "coalesce(strftime(TrustedTimestamp, '%Y-%m-%dT%H:%M:%S.%f') || '0Z', '')")))
+q("F6", lambda k, d: a.audit_integrity(k, d).select("EventId", t.chain_hmac(b"key", F.col("EventHash"), F.col("PreviousEventHash"), F.col("SequenceNumber").cast("string"), t.iso_time(F.col("TrustedTimestamp"))).alias("hmac")),
+  f"SELECT EventId, to_base64(unhex(sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || {CHAINED}))))) AS hmac FROM I")
 e("F7", lambda x: g.verified(x.select("EventId", t.event_hash(*EVENT, F.col("JsonData")).alias("expected_hash"), t.event_hash(*EVENT, F.when(F.col("id") % 250 == 3, F.concat("JsonData", F.lit(" "))).otherwise(F.col("JsonData"))).alias("hash"), F.lit("m").alias("expected_hmac"), F.when(F.col("id") % 300 == 4, "x").otherwise("m").alias("hmac"), F.lit("c").alias("expected_checksum"), F.when(F.col("id") % 350 == 5, None).otherwise("c").alias("checksum"))).where("failed IS NOT NULL").select("EventId", "failed"), "SELECT EventId, CASE WHEN id % 250 = 3 THEN 'hash' WHEN id % 300 = 4 THEN 'hmac' ELSE 'checksum' END AS failed FROM E WHERE id % 250 = 3 OR id % 300 = 4 OR id % 350 = 5")
 e("F8", lambda x: x.select("EventId", c.envelope_fingerprint(F.concat(F.lit('{"subjects":["b","a","b"],'), F.substr("JsonData", F.lit(2)))).alias("fingerprint")), """SELECT EventId, sha256('{"Action":"' || json_extract_string(JsonData, '$.Action') || '","UserName":"' || json_extract_string(JsonData, '$.UserName') || '","k":' || json_extract_string(JsonData, '$.k') || ',"subjects":["a","b"]}') AS fingerprint FROM E""")
 e("F10", lambda x: x.select("EventId", t.anonymize_ip(F.col("IpAddress")).alias("ip")), r"""SELECT EventId, CASE WHEN IpAddress IS NULL THEN NULL WHEN regexp_matches(IpAddress, '^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$') THEN regexp_extract(IpAddress, '^(\d+\.\d+)', 1) || '.XXX.XXX' WHEN len(string_split(IpAddress, ':')) > 2 THEN string_split(IpAddress, ':')[1] || ':' || string_split(IpAddress, ':')[2] || ':XXXX:XXXX:XXXX:XXXX:XXXX:XXXX' ELSE 'ANONYMIZED' END AS ip FROM E""")
 e("F11", lambda x: x.select("EventId", c.anonymize_json("JsonData", F.lit("user7")).alias("json")), """SELECT EventId, '{"Action":"' || json_extract_string(JsonData, '$.Action') || '","UserName":"ANONYMIZED","k":' || json_extract_string(JsonData, '$.k') || '}' AS json FROM E""")
-q("F13", lambda k, d: k.read.parquet(f"{d}/documents.parquet").select("doc_id", t.sanitize(F.col("text")).alias("text")))
+SAFE = "text"
+for _pattern in t.SENSITIVE_PATTERNS:
+    SAFE = "regexp_replace(" + SAFE + ", '" + _pattern.replace("'", "''") + f"', '{t.SANITIZED}', 'g')"
+q("F13", lambda k, d: k.read.parquet(f"{d}/documents.parquet").select("doc_id", t.sanitize(F.col("text")).alias("text")), f"SELECT doc_id, CASE WHEN length(s) > 512 THEN left(s, 498) || '...[truncated]' ELSE s END AS text FROM (SELECT doc_id, {SAFE} AS s FROM documents)")
 e("F14", lambda x: x.select("EventId", F.explode(t.redact_fields(F.create_map(F.lit("action"), F.col("Action"), F.lit("UserName"), F.col("User"), F.lit("Note"), F.lit("n")), ("note",)))), """SELECT EventId, unnest(['action', 'UserName', 'Note']) AS key, unnest([Action, CASE WHEN "User" IS NOT NULL THEN '[REDACTED]' END, 'n']) AS value FROM E""")
 e("F15", lambda x: x.select("EventId", t.redact_key(F.col("EventId")).alias("id_key"), t.redact_key(F.col("EntityId")).alias("entity_key"), F.array_join(t.redact_names(F.array(F.lit("Total"), F.lit("UserPassword"), F.col("EntityType"))), ",").alias("names")), "SELECT EventId, EventId AS id_key, '[REDACTED]' AS entity_key, 'Total,[REDACTED_PROP],' || EntityType AS names FROM E")
 q("F16", lambda k, d: k.read.parquet(f"{d}/documents.parquet").select("doc_id", t.truncate(F.col("text"), 100, "...").alias("text")), "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END AS text FROM documents")
