@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,25 +34,25 @@ _SOLID = r"[!-~À-ɏ]"
 _CUT = re.compile(f"(?<={_SOLID})(?= {_SOLID})")
 
 
-class _Pieces(dict):
+class _Pieces:
     """piece -> its ids as bytes, four an id."""
 
     def __init__(self, tokenizer: Tokenizer) -> None:
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         self.tokenizer = tokenizer
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_CUT.split(t) if t else [] for t in texts]
-        new = [p for p in set().union(*cut) if p not in self]
-        if len(self) + len(new) > KEPT_PIECES:
-            self.clear()
-            new = list(set().union(*cut))
+        wanted = set().union(*cut)
+        new = list(wanted.difference(self.known))
+        if len(self.known) + len(new) > KEPT_PIECES:
+            self.known.clear()
+            new = list(wanted)
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.update((p, np.array(e.ids, np.int32).tobytes()) for p, e in zip(new, found, strict=True))
-        out = [b"".join(map(self.__getitem__, pieces)) for pieces in cut]
-        for p in new:
-            if len(p) > KEPT_CHARS:
-                del self[p]
+        self.known.update(zip(new, [array("i", e.ids).tobytes() for e in found], strict=True))
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        for p in [p for p in new if len(p) > KEPT_CHARS]:
+            del self.known[p]
         return out
 
 
@@ -103,9 +104,9 @@ def token_offsets(text: str, ids: list[int], vocabulary: str = VOCABULARY) -> li
     return [(int(char[e - n]), int(char[e - 1]) + 1) for e, n in zip(ends, sizes, strict=True)]
 
 
-def _lists(rows: list[bytes]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+def _lists(rows: list[bytes], kind: type = np.int32) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(r) // np.dtype(kind).itemsize for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), kind)))
 
 
 def encoded(text: Column, vocabulary: str = VOCABULARY) -> Column:
