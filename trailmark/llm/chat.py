@@ -12,13 +12,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import VOCABULARY, _loaded, decode_bytes, encode_text
+from .bpe import VOCABULARY, _lists, _loaded, _some, decode_bytes
 
 #: The marks, in the order of their reserved ids.
 MARKS = ("### ", ": ", "</turn>\n")
@@ -42,17 +43,29 @@ def reserved(vocabulary: str = VOCABULARY) -> tuple[int, int, int]:
     return n, n + 1, n + 2
 
 
+def assembled(roles: list[str | None], texts: list[str | None], vocabulary: str = VOCABULARY) -> tuple[list[bytes], list[bytes]]:
+    """Ids, four bytes each, and loss masks, one byte an id, of turns. The segments of some turns are encoded together."""
+    start, colon, end = (np.int32(k).tobytes() for k in reserved(vocabulary))
+    pieces, rest = _loaded(vocabulary)[1], iter(roles)
+    ids, masks = [], []
+    for said in _some(iter(texts)):
+        by = list(islice(rest, len(said)))
+        encoded = pieces.encode([escape(r or "", _IN_ROLE) for r in by] + [escape(t) for t in said])
+        for role, head, body in zip(by, encoded, encoded[len(by) :], strict=False):
+            ids.append(start + head + colon + body + end)
+            change = np.zeros(len(ids[-1]) // 4 + 1, np.int8)
+            if role == LEARNED_ROLE:
+                at = len(head) // 4 + 2
+                change[at] += 1
+                change[at + len(body) // 4] -= 1
+            masks.append(np.cumsum(change[:-1], dtype=np.int8).tobytes())
+    return ids, masks
+
+
 def assemble(role: str | None, text: str | None, vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """(ids, loss mask) of a turn."""
-    start, colon, end = reserved(vocabulary)
-    head, body = encode_text(escape(role or "", _IN_ROLE), vocabulary), encode_text(escape(text or ""), vocabulary)
-    ids = np.array([start, *head, colon, *body, end], np.int32)
-    change = np.zeros(ids.size + 1, np.int8)
-    if role == LEARNED_ROLE:
-        at = len(head) + 2
-        change[at] += 1
-        change[at + len(body)] -= 1
-    return ids, np.cumsum(change[:-1], dtype=np.int8)
+    ids, masks = assembled([role], [text], vocabulary)
+    return np.frombuffer(ids[0], np.int32), np.frombuffer(masks[0], np.int8)
 
 
 def take_apart(ids: np.ndarray, loss: np.ndarray, vocabulary: str = VOCABULARY) -> tuple[str, str, str, int]:
@@ -61,8 +74,9 @@ def take_apart(ids: np.ndarray, loss: np.ndarray, vocabulary: str = VOCABULARY)
     marks = np.flatnonzero(ids >= start)
     if ids[marks].tolist() != [start, colon, end] or marks[0] or marks[2] != ids.size - 1:
         raise ValueError("not a turn")
-    role, text = (decode_bytes(ids[a + 1 : b].tolist(), vocabulary).decode("utf-8", "surrogatepass") for a, b in ((marks[0], marks[1]), (marks[1], marks[2])))
-    learned = decode_bytes(ids[loss.astype(bool)].tolist(), vocabulary).decode("utf-8", "surrogatepass")
+    said = lambda k: decode_bytes(k.tolist(), vocabulary).decode("utf-8", "surrogatepass")
+    role, text = said(ids[1 : marks[1]]), said(ids[marks[1] + 1 : marks[2]])
+    learned = said(ids[loss.astype(bool)]) if loss.any() else ""
     return unescape(role), unescape(text), unescape(learned), len(role) + len(text) + sum(map(len, MARKS))
 
 
@@ -75,13 +89,12 @@ def format_turns(chats: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
 
     @F.arrow_udf("input_ids array<int>, loss_mask array<tinyint>")
-    def assembled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def formatted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for roles, texts in batches:
-            done = [assemble(r.as_py(), t.as_py(), vocabulary) for r, t in zip(roles, texts, strict=True)]
-            ids, masks = ([d[k] for d in done] for k in (0, 1))
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))], ["input_ids", "loss_mask"])
+            ids, masks = assembled(roles.to_pylist(), texts.to_pylist(), vocabulary)
+            yield pa.StructArray.from_arrays([_lists(ids), _lists(masks, np.int8)], ["input_ids", "loss_mask"])
 
-    turns = chats.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), assembled("role", "text").alias("t")).select("conv_id", "turn", "t.*")
+    turns = chats.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), formatted("role", "text").alias("t")).select("conv_id", "turn", "t.*")
     before = Window.partitionBy("conv_id").orderBy("turn", "input_ids").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.size("input_ids").cast("long")).over(before), F.lit(0)).cast("long")
     return turns.repartition("conv_id").withColumn("token_start", start).select("conv_id", "turn", "token_start", "input_ids", "loss_mask")
