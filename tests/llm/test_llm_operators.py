@@ -14,6 +14,7 @@ from comparing import same
 from pyspark.sql import functions as F
 
 from trailmark.llm import bpe, chat, embeddings, exact_dedup, graph, langid, licenses, mixing, pages, sharding, simhash
+from trailmark.llm.common import numbered
 from trailmark.llm.queries import ORACLE_SQL, QUERIES
 
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -57,6 +58,20 @@ def test_query_equals_oracle(spark, sf_dir, duck, name):
     assert got == want
 
 
+# shared
+def test_row_numbers_do_not_depend_on_live_cores(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "repeat(md5(string(id)), 9) AS text").repartition(3).write.parquet(str(tmp_path / "t"))
+    read = lambda: {r[0]: r[1] for r in numbered(spark.read.parquet(str(tmp_path / "t")), "place").select("id", "place").collect()}
+    spark.conf.set("spark.sql.files.openCostInBytes", "64k")
+    try:
+        first = read()
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "64")  # what more cores would make of it
+        assert read() == first
+    finally:
+        for name in ("spark.sql.files.openCostInBytes", "spark.sql.leafNodeDefaultParallelism"):
+            spark.conf.unset(name)
+
+
 # 1 sharding
 def test_shards_are_balanced_gapless_and_ordered(spark, sf_dir):
     rows = sorted(QUERIES["op1_histogram_shards"](spark, sf_dir).collect(), key=lambda r: (r["shard"], r["slot"]))

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, order_id, plain_id, written
+from .common import OWN, numbered, order_id, plain_id, written
 
 PREFIX_CHARS = 256
 #: A bitmap has buckets of 32768 bits, 256 (1 MiB) to 65536 (256 MiB) of them. Past 2^27 keys it only gets fuller, and more rows pass.
@@ -41,11 +41,7 @@ def sha256_of(text: Column) -> Column:
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     norm = normalised(F.col(text_col))
-    return docs.withColumns({
-        RID: F.monotonically_increasing_id(),
-        LEN: F.octet_length(norm),
-        HEAD: F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)),
-    })
+    return numbered(docs, RID).withColumns({LEN: F.octet_length(norm), HEAD: F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))})
 
 
 @dataclass
@@ -114,7 +110,7 @@ def label_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = docs.select(id_col, text_col)
     groups = duplicate_groups(docs, survivors(docs, id_col, text_col), id_col, text_col)
-    rows = docs.select(id_col, F.monotonically_increasing_id().alias(RID), sha256_of(F.col(text_col)).alias(SHA))
+    rows = numbered(docs, RID).select(id_col, RID, sha256_of(F.col(text_col)).alias(SHA))
     return rows.join(groups, SHA, "left").select(
         id_col,
         F.when(F.col(OWN + "size").isNull(), F.col(id_col)).otherwise(plain_id(OWN + "keep")).alias("keep_id"),

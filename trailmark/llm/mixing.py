@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, written
+from .common import OWN, numbered, written
 
 SEED = 17
 #: Share of the corpus to the power of this is the default weight: small sources are raised, large ones lowered.
@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id
     """
     rates = written(source_rates(docs, weights, source_col, text_col), "rates")  # read again, its true size decides about a broadcast
     columns = [c for c in docs.columns if c not in ("copy", "n_copies", "order_key")]
-    inner = docs.select(*(F.col(c).alias(f"{OWN}{k}") for k, c in enumerate(columns)), F.monotonically_increasing_id().alias(OWN + "rid"))
+    inner = numbered(docs.select([F.col(c).alias(f"{OWN}{k}") for k, c in enumerate(columns)]), OWN + "rid")
     name = {c: f"{OWN}{k}" for k, c in enumerate(columns)}
     counted = with_copies(inner, rates, name[id_col], name[source_col], name[text_col], seed)
     copies = counted.where(F.col(OWN + "n") > 0).select(

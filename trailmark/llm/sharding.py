@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, written
+from .common import OWN, numbered, written
 
 SHARDS = 8
 #: A splitter may miss its place by this share of a partition's bytes.
@@ -24,7 +24,7 @@ TOLERANCE = 0.001
 #: Shards are sorted in partitions of about so many bytes, or larger ones where there would be more partitions than this: the driver holds a key for each.
 PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 1 << 14
 PROBES, PROBES_IN_ALL = 16, 1 << 16
-KEY, SIZE, PART = OWN + "key", OWN + "size", OWN + "part"
+KEY, SIZE, PART, PLACE = (OWN + x for x in ("key", "size", "part", "place"))
 _DIGITS = 32
 
 
@@ -33,10 +33,10 @@ def sizes(text_col: str) -> Column:
     return (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
 
 
-def order_key(id_col: str, text_col: str) -> Column:
+def order_key(id_col: str, text_col: str, place: str) -> Column:
     """32 hexadecimal digits that sort as (id, hash); a null id comes first. The hash takes in the row's place in the table, so that any number of equal rows can be split between shards."""
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63)))
-    apart = F.xxhash64(F.col(id_col), F.col(text_col), F.monotonically_increasing_id())
+    apart = F.xxhash64(F.col(id_col), F.col(text_col), F.col(place))
     return F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (number, apart)))
 
 
@@ -99,7 +99,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_i
     shards empty; an empty table gives an empty result. ``docs`` must give its rows in the same order when read again, as tables do.
     """
     docs = docs.select([c for c in docs.columns if c not in ("size", "shard", "slot")])
-    rows = docs.withColumns({KEY: order_key(id_col, text_col), SIZE: sizes(text_col)})
+    rows = numbered(docs, PLACE).withColumns({KEY: order_key(id_col, text_col, PLACE), SIZE: sizes(text_col)}).drop(PLACE)
     keys = written(rows.select(KEY, SIZE), "shard-keys")
     total = keys.agg(F.sum(SIZE)).first()[0] or 0
     if not total:

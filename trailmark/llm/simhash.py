@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import OWN, order_id, plain_id, written
+from .common import OWN, numbered, order_id, plain_id, written
 from .graph import connected_components
 
 SEED, SHINGLE_WORDS, MAX_BITS = 42, 3, 3
 HASHES_AT_ONCE = 1 << 18
-FP = OWN + "fp"
+FP, RID = OWN + "fp", OWN + "rid"
 _EVERY_SECOND_BIT = 0x5555555555555555
 
 
@@ -97,8 +97,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, with all its columns: the one with the least id (null comes last), of rows with that id the first."""
-    fps = written(with_fingerprint(docs.select(id_col, text_col), text_col).select(id_col, F.monotonically_increasing_id().alias("rid"), FP), "simhash")
-    stay = fps.join(components(fps, id_col), FP).where(order_id(id_col) == F.col("oid")).groupBy("component").agg(F.min("rid").alias(OWN + "rid"))
-    dropped = fps.join(stay, fps["rid"] == stay[OWN + "rid"], "left_anti").select(F.col("rid").alias(OWN + "rid"))
-    rows = docs.withColumn(OWN + "rid", F.monotonically_increasing_id())
-    return rows.join(written(dropped, "near-copies"), OWN + "rid", "left_anti").select(docs.columns)
+    fps = written(with_fingerprint(numbered(docs.select(id_col, text_col), RID), text_col).select(id_col, RID, FP), "simhash")
+    stay = fps.join(components(fps, id_col), FP).where(order_id(id_col) == F.col("oid")).groupBy("component").agg(F.min(RID).alias("first"))
+    dropped = fps.join(stay, fps[RID] == stay["first"], "left_anti").select(RID)
+    return numbered(docs, RID).join(written(dropped, "near-copies"), RID, "left_anti").select(docs.columns)
