@@ -38,7 +38,7 @@ MOST_BOOK = 26_000
 LEAST_FILTERS = 8
 #: A threshold above this would leave the caps of few dimensions empty.
 MAX_THRESHOLD = 0.6
-BUCKET_ROWS = 512
+BUCKET_ROWS = 1024
 
 
 def _cap(threshold: float, dim: int) -> float:
