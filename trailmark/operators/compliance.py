@@ -120,8 +120,9 @@ def context(window: DataFrame, links: DataFrame, now: str) -> DataFrame:
 
 
 def evaluate(window: DataFrame, links: DataFrame, now: str, standards: tuple[str, ...] = schema.COMPLIANCE_STANDARD, config: dict[str, bool] | None = None, most: int | None = schema.SAMPLE_MAX) -> DataFrame:
-    """One row per rule of the enabled standards. Both inputs of the join are one row."""
-    known = facts(sampled(window, most), now).crossJoin(F.broadcast(context(window, links, now)))
+    """One row per rule of the enabled standards, from the one row of facts and the one of the context."""
+    whole = context(window, links, now).select(F.struct("*")).scalar()
+    known = facts(sampled(window, most), now).withColumn("whole", whole).select("*", "whole.*")
     chosen = [_result(r, config or {}) for r in RULES if r.standard in standards]
     return known.select(F.inline(F.array(*chosen)))
 

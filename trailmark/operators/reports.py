@@ -74,7 +74,6 @@ def user_types(events: DataFrame, n: int = 20) -> DataFrame:
 def chart(events: DataFrame, by: str, most: int | None = schema.CHART_MAX) -> DataFrame:
     """Label, n of each hour, day, week or month with rows; an unknown ``by`` is day. Only the newest ``most`` rows are counted; None counts all. truncated tells whether rows were left out."""
     at = events.where("InsertedDate IS NOT NULL").select("InsertedDate", "EventId")
-    total = at.agg(F.count("*").alias("total"))
     kept = at if most is None else ordered(at, "-InsertedDate", "-EventId").limit(most)
     d = F.col("InsertedDate")
     label = {
@@ -83,8 +82,8 @@ def chart(events: DataFrame, by: str, most: int | None = schema.CHART_MAX) -> Da
         "month": dates.month_label(d),
     }.get(by, dates.day_label(d))
     grouped = kept.groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.min(d).alias("first")).orderBy("first")
-    cut = F.lit(False) if most is None else F.col("total") > most
-    return grouped.crossJoin(F.broadcast(total)).select("label", "n", cut.alias("truncated"))  # total is one row
+    cut = F.lit(False) if most is None else at.agg(F.count("*")).scalar() > most
+    return grouped.select("label", "n", cut.alias("truncated"))
 
 
 def chart_from_daily(daily: DataFrame, by: str) -> DataFrame:
@@ -214,10 +213,9 @@ CSV_COLUMNS = ("EventId", "InsertedDate", "EventType", "User", "EntityType", "En
 
 def csv_lines(events: DataFrame, most: int = schema.EXPORT_MAX) -> DataFrame:
     """Line of each row, oldest first; total and whether rows were left out."""
-    total = events.agg(F.count("*").alias("total"))
     cell = lambda c: csv_field(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c == "InsertedDate" else F.col(c).cast("string"))
     lines = ordered(events, "InsertedDate", "EventId").limit(most).select(F.concat_ws(",", *(cell(c) for c in CSV_COLUMNS)).alias("line"))
-    return lines.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > most)
+    return lines.select("line", events.agg(F.count("*")).scalar().alias("total")).withColumn("truncated", F.col("total") > most)
 
 
 def write_csv(events: DataFrame, path: str, most: int = schema.EXPORT_MAX) -> None:
@@ -241,5 +239,5 @@ def user_export(events: DataFrame, user_id: str, most: int = schema.SUBJECT_MAX)
 def governed_export(events: DataFrame, tenant: str, user_id: str, most: int = schema.SUBJECT_MAX) -> DataFrame:
     """Five columns; more than ``most`` rows are an error when the result is read."""
     mine = events.where((F.col("TenantId") == tenant) & (F.col("UserId") == user_id)).select("EventId", "EventType", "InsertedDate", "EntityType", "EntityId")
-    over = mine.limit(most + 1).agg(F.count("*").alias("n")).select(F.assert_true(F.col("n") <= most, F.lit(f"more than {most} rows")).alias("ok"))
-    return ordered(mine.crossJoin(F.broadcast(over)).where(F.col("ok").isNull()).drop("ok"), "InsertedDate", "EventId")
+    over = mine.limit(most + 1).agg(F.count("*").alias("n")).select(F.assert_true(F.col("n") <= most, F.lit(f"more than {most} rows")))
+    return ordered(mine.where(over.scalar().isNull()), "InsertedDate", "EventId")

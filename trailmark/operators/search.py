@@ -200,5 +200,5 @@ def cursor_page(records: DataFrame, after: tuple[str, int, str] | None, take: in
         at, store, record = F.lit(after[0]).cast("timestamp"), F.lit(after[1]), F.lit(after[2])
         records = records.where((F.col("at") > at) | (F.col("at") == at) & ((F.col("store") > store) | (F.col("store") == store) & (F.col("record") > record)))
     more = ordered(records, "at", "store", "record").limit(take + 1)
-    count = more.agg(F.count("*").alias("n"))
-    return ordered(more, "at", "store", "record").limit(take).crossJoin(F.broadcast(count)).select("at", "store", "record", (F.col("n") > take).alias("has_more"))
+    has_more = more.agg(F.count("*")).scalar() > take
+    return ordered(more, "at", "store", "record").limit(take).select("at", "store", "record", has_more.alias("has_more"))
