@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat, embeddings, exact_dedup, langid, licenses, mixing, pages, sharding, simhash
+from . import bpe, chat, embeddings, exact_dedup, langid, licenses, mixing, pages, sharding, simhash, spelling, tokencount
 from .common import table
 
 
@@ -61,6 +61,14 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -76,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_main_text": op9_main_text,
     "op10_embedding_links": op10_embedding_links,
+    "op12_token_counts": op12_token_counts,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
 }
 
@@ -122,4 +132,38 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_source_mixing": OP4_SQL}
+#: crc32 byte by byte with its table; near words by leaving out each letter: equal remains at one place are a replaced letter, a remain that is a word a deleted one.
+OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_concat([k], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) r(k)
+),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS i, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS run FROM documents
+),
+lowered AS (SELECT i, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM runs),
+bytes AS (SELECT w, hex(encode(i || ':' || w)) AS x FROM lowered),
+hashed AS (
+  SELECT w, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM bytes, crc_table
+),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM hashed),
+words AS (SELECT word, count(*) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+remains AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS r FROM (SELECT word, n, unnest(range(length(word)::INT)) AS k FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM remains a JOIN remains b ON a.k = b.k AND a.r = b.r AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM remains a JOIN words b ON a.r = b.word
+  UNION SELECT b.word, a.word, a.n FROM remains a JOIN words b ON a.r = b.word
+),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM pairs),
+near AS (SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 10 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 10 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.place = 1),
+chain AS (
+  SELECT word, form AS at FROM near WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, n.form FROM chain c JOIN near n ON c.at = n.word WHERE n.form IS NOT NULL
+),
+ends AS (SELECT c.word, c.at AS root FROM chain c JOIN near n ON c.at = n.word WHERE n.form IS NULL)
+SELECT n.word, n.form, coalesce(e.root, n.word) AS root, n.n::BIGINT AS n, n.n_near::BIGINT AS n_near, n.form_n::BIGINT AS form_n FROM near n LEFT JOIN ends e ON n.word = e.word
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_source_mixing": OP4_SQL, "op13_spelling_variants": OP13_SQL}
