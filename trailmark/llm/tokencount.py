@@ -1,18 +1,18 @@
 """Token counts of a subword model, without the ids of any document.
 
-The model marks each space in its pieces and lets no piece reach over the boundary before a space (:func:`_model` checks both), so a text is
-the chain of its pre-tokens: what lies between spaces that follow something else than a space. The pieces of each distinct pre-token are counted
-once and joined to the pre-token frequencies of each document:
+The model marks each space in its pieces; none of its pieces reaches over the boundary before a space, or over one between a letter and another sign
+(:func:`_model` checks it), so a text is the chain of its pre-tokens: letters, or other signs, with the spaces before them. The pieces of each distinct
+pre-token are counted once and joined to the pre-token frequencies of each document:
 
 1. the distinct pre-tokens of all documents, with how often each occurs and its number of pieces, are written as a table;
-2. a pre-token with at least one in ``FREQUENT`` of all occurrences is frequent. There are at most ``FREQUENT`` of those, with keys of 66 bytes or
-   less, so they may go to every task; there a document's frequent pre-tokens are summed at once to one number;
-3. the other pre-tokens of each document are counted, joined to the table by a shuffle, and summed. None of them has a share of the rows that
-   could fill a task.
+2. the most frequent ones, as many as fit into ``SENT_BYTES``, go to every task; there a document's frequent pre-tokens are summed at once to one number;
+3. the other pre-tokens of each document are counted, joined to the table by a shuffle, and summed. With keys of at most 66 bytes some hundred thousand words
+   are more frequent than any of these, so none of them could fill a task.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,43 +22,49 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, numbered, written
+from .common import LAST_ID, OWN, numbered, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
-#: A pre-token is frequent with a share of one in so many; longer ones than so many bytes are named by their digest.
-FREQUENT, KEY_BYTES = 1 << 16, 64
-SPACE = "▁"
+#: Bytes of the frequent pre-tokens (the key and 16 for each). Keys longer than so many bytes are digests.
+SENT_BYTES, KEY_BYTES = 16 << 20, 64
+SPACE, LETTER = "▁", "A-Za-zÀ-ɏ"
+PRE_TOKEN = f"[ {SPACE}]*(?:[{LETTER}]+|[^{LETTER} {SPACE}]+)|[ {SPACE}]+"
 
 RID, ID, BYTES, WORD, KEY, RARE, N = (OWN + x for x in ("rid", "id", "bytes", "word", "key", "rare", "n"))
 
 
 @lru_cache(maxsize=2)
 def _model(path: str) -> sentencepiece.SentencePieceProcessor:
-    """The model, which must keep white space and signs as they are, put a space before a text, and have no piece with a space after another sign."""
+    """The model, which must keep white space and signs as they are, put a space before a text, and have no piece across a boundary of :data:`PRE_TOKEN`."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = (model.id_to_piece(k) for k in range(model.vocab_size()) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k)))
+    across = re.compile(f"[^{SPACE}]{SPACE}|[{LETTER}][^{LETTER}]|[^{LETTER}{SPACE}][{LETTER}]")
     probe = "  ﬁ ①  x "
-    across = any(SPACE in model.id_to_piece(k).lstrip(SPACE) for k in range(model.vocab_size()))
-    if across or model.normalize(probe) != SPACE + probe.replace(" ", SPACE):
-        raise ValueError(f"{path}: texts cannot be cut before spaces for this model")
+    if any(map(across.search, names)) or model.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+        raise ValueError(f"{path}: texts cannot be cut into pre-tokens for this model")
     return model
 
 
 def pre_tokens(text: Column) -> Column:
-    """array<string>: the pre-tokens, each without its first space; null for a null or empty text. The first one's space is the one that the model puts before a text."""
-    return F.when(F.length(text) > 0, F.split(text, f"(?<=[^ {SPACE}])[ {SPACE}]", -1))
+    """array<string>: the pre-tokens of a text and the space that the model puts before it; null for a null or empty text."""
+    return F.when(F.length(text) > 0, F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(PRE_TOKEN), 0))
 
 
 def pieces(pre_token: Column, model: str = MODEL) -> Column:
-    """long: the number of pieces of a pre-token of :func:`pre_tokens`."""
+    """long: the number of pieces of a pre-token of :func:`pre_tokens`. Its first space is the one that the model puts before it; without one it is counted behind a sign that no piece ties to it."""
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = _model(model)
+        signs = {sign: len(m.encode(sign)) for sign in (".", "a")}
         space = 1 if m.piece_to_id(SPACE) != m.unk_id() else len(SPACE.encode())  # a space alone, which cannot be had from a text
+        letter = re.compile(f"[{LETTER}]").match
         for batch in batches:
             words = batch.to_pylist()
-            yield pa.array([len(ids) if w else space for w, ids in zip(words, m.encode(words, num_threads=1), strict=True)], pa.int64())
+            before = ["" if w[0] in (" ", SPACE) else "." if letter(w) else "a" for w in words]
+            ids = m.encode([b + w if b else w[1:] for b, w in zip(before, words, strict=True)], num_threads=1)
+            yield pa.array([len(x) - signs[b] if b else len(x) or space for b, x in zip(before, ids, strict=True)], pa.int64())
 
     return count(pre_token)
 
@@ -74,6 +80,18 @@ def piece_table(words: DataFrame, model: str = MODEL) -> DataFrame:
     return written(counted.select(_key(F.col(WORD)).alias(KEY), "times", pieces(F.col(WORD), model).alias(N)), "token-pieces")
 
 
+def _frequent_from(table: DataFrame) -> int:
+    """The least power of two such that the pre-tokens that occur as often, or more often, fit into ``SENT_BYTES``."""
+    sizes = table.groupBy(F.floor(F.log2("times")).alias("power")).agg(F.sum(F.octet_length(KEY) + 16).alias("bytes")).collect()
+    least, held = 63, 0
+    for r in sorted(sizes, reverse=True):
+        held += r.bytes
+        if held > SENT_BYTES:
+            break
+        least = r.power
+    return 1 << least if least < 63 else LAST_ID
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TOKEN_LIMIT, model: str = MODEL) -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit (more tokens than ``limit``).
 
@@ -86,8 +104,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = numbered(docs.select(F.col(id_col).alias(ID), text.alias(WORD)), RID)
     words = rows.select(RID, ID, F.octet_length(WORD).cast("long").alias(BYTES), F.explode_outer(pre_tokens(F.col(WORD))).alias(WORD))
     table = piece_table(words, model)
-    total = table.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    frequent = table.where((F.col("times") * FREQUENT >= total) & (F.octet_length(KEY) <= KEY_BYTES + 2)).select(KEY, N)
+    frequent = table.where(F.col("times") >= _frequent_from(table)).select(KEY, N)
     known = words.select(RID, ID, BYTES, _key(F.col(WORD)).alias(KEY)).join(F.broadcast(frequent), KEY, "left")
     parts = written(
         known.groupBy(RID, ID, BYTES, F.when(F.col(N).isNull(), F.col(KEY)).alias(RARE)).agg(F.coalesce(F.sum(N), F.lit(0)).alias(N), F.count("*").alias("times")),
