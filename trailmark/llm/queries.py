@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat, embeddings, exact_dedup, langid, licenses, mixing, pages, sharding, simhash, spelling, tokencount
+from . import bpe, chat, embeddings, exact_dedup, langid, lexical, licenses, mixing, pages, sharding, simhash, spelling, tokencount
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_main_text": op9_main_text,
     "op10_embedding_links": op10_embedding_links,
+    "op11_lexical_search": op11_lexical_search,
     "op12_token_counts": op12_token_counts,
     "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
@@ -132,6 +137,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+),
+corpus AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS occurrences FROM docs WHERE len(terms) > 0),
+postings AS (SELECT place, doc_id, n, term, count(*) AS tf FROM (SELECT place, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, corpus GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+),
+scored AS (
+  SELECT item_id, place, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // occurrences))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term), corpus GROUP BY item_id, place, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS "rank", doc_id, score FROM scored WHERE score > 0 QUALIFY "rank" <= 10
+"""
+
 #: crc32 byte by byte with its table; near words by leaving out each letter: equal remains at one place are a replaced letter, a remain that is a word a deleted one.
 OP13_SQL = r"""
 WITH RECURSIVE crc_table AS (
@@ -166,4 +188,4 @@ ends AS (SELECT c.word, c.at AS root FROM chain c JOIN near n ON c.at = n.word W
 SELECT n.word, n.form, coalesce(e.root, n.word) AS root, n.n::BIGINT AS n, n.n_near::BIGINT AS n_near, n.form_n::BIGINT AS form_n FROM near n LEFT JOIN ends e ON n.word = e.word
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_source_mixing": OP4_SQL, "op13_spelling_variants": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_source_mixing": OP4_SQL, "op11_lexical_search": OP11_SQL, "op13_spelling_variants": OP13_SQL}
