@@ -157,9 +157,14 @@ def _sent(df: DataFrame, text: str) -> DataFrame:
     return F.broadcast(df) if size <= SENT_BYTES else df
 
 
+def rows_with_terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rid (the row's number), oid (its id as a sort key), found (its terms)"""
+    return numbered(docs.select(order_id(id_col).alias("oid"), F.col(text_col).alias("text")), "rid").select("rid", "oid", terms(F.col("text")).alias("found"))
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: DataFrame | None = None) -> Index:
     """The index of all documents; with ``wanted`` (term), a written table, postings of other terms are left out before anything is shuffled."""
-    rows = numbered(docs.select(order_id(id_col).alias("oid"), F.col(text_col).alias("text")), "rid").select("rid", "oid", terms(F.col("text")).alias("found"))
+    rows = rows_with_terms(docs, id_col, text_col)
     tree = fit_order(rows, "rid", "found")
     placed = rows.select("rid", "oid", "found", F.greatest(F.size("found"), F.lit(0)).cast("long").alias("n"), cluster_of(F.col("found"), tree).alias("cluster"))
     place = F.shiftleft(F.col("cluster").cast("long"), PLACE_BITS).bitwiseOR(F.col("rid"))

@@ -60,7 +60,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     """words (word, n) with distinct words -> (a, a_n, b, b_n), each pair of words that differ by one inserted, deleted or replaced code point once."""
     size, none = F.length("word"), F.lit(0)
     roles = F.array(*(F.struct(F.lit(p).alias("probe"), s.alias("size")) for p, s in ((False, size), (True, size), (True, size - 1))))
-    start = words.select("word", "n", F.explode(roles).alias("r")).select("word", "n", "r.*", none.alias("left"), none.alias("right"), none.alias("differ"))
+    start = words.select("word", "n", F.explode(roles).alias("r")).select("word", "n", "r.*", none.alias("left"), none.alias("right"), F.lit(-1).alias("differ"))
     rows, found = written(_cut(start.where("size > 0 OR NOT probe")), "spelling-keys"), None
     while True:
         counts = rows.groupBy("key").agg(
@@ -82,7 +82,7 @@ def _verified(rows: DataFrame) -> DataFrame:
     start = lambda w, n: F.substring(w, F.lit(1), F.col(n))
     once = (F.length("b") > F.col("size")) | (F.col("a") < F.col("b"))
     equal = (start("a", "left") == start("b", "left")) & (_end(F.col("a"), F.col("right")) == _end(F.col("b"), F.col("right")))
-    first = (F.col("differ") == 0) | (start("a", "differ") != start("b", "differ"))
+    first = (F.col("differ") < 0) | (start("a", "differ") != start("b", "differ"))
     pairs = listed.join(probes, "key").where(once & F.length("b").between(F.col("size"), F.col("size") + 1) & equal & first)
     return pairs.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n")
 
