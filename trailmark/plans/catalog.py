@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in ("search", "reports", "integrity", "governance", "streaming"):
+for _part in ("search", "reports", "integrity", "governance", "streaming", "stored"):
     _module = import_module(f"trailmark.plans.q_{_part}")
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -61,7 +61,6 @@ ei("W5", lambda e, i: g.append_batch(i.select("EventId", "EventHash"), 5000, "la
 q("W6", lambda k, d: a.archive_records(k, d).agg(F.max_by("ArchiveId", F.struct("CreatedAt", "ArchiveId")).alias("ArchiveId")), "SELECT ArchiveId FROM AR ORDER BY CreatedAt DESC, ArchiveId DESC LIMIT 1")
 q("W7", lambda k, d: g.first_per_key(a.subject_links(k, d), ["SubjectId", "Relationship"], "OccurredAt", "AuditLogId"), "SELECT * FROM LK QUALIFY row_number() OVER (PARTITION BY SubjectId, Relationship ORDER BY OccurredAt, AuditLogId) = 1")
 ei("T13", lambda e, i: g.reconciliation(e, i, a.NOW), f"""SELECT EventId, CASE WHEN I.EventId IS NULL THEN 'Failed' ELSE 'Reconciled' END AS outcome FROM (SELECT * FROM E WHERE IntegrityStatus = 1 AND InsertedDate < TIMESTAMP '{a.NOW}' - INTERVAL 5 MINUTE ORDER BY InsertedDate, EventId LIMIT 100) LEFT JOIN I USING (EventId)""")
-q("T12", lambda k, d: g.append_batch(a.audit_events(k, d).where("IntegrityStatus = 1").join(a.audit_integrity(k, d), "EventId", "left_anti").select("EventId", F.sha2(F.encode("EventId", "UTF-8"), 256).alias("EventHash")), 50, None), "SELECT EventId, sha256(EventId) AS EventHash, 50 + row_number() OVER (ORDER BY EventId) AS SequenceNumber, lag(sha256(EventId)) OVER (ORDER BY EventId) AS PreviousEventHash FROM E WHERE IntegrityStatus = 1 AND EventId NOT IN (SELECT EventId FROM I)")
 q("S11", lambda k, d: a.audit_integrity(k, d).where("SequenceNumber = 42").select(F.to_json(F.struct("EventId", "EventHash", "SequenceNumber")).alias("json")), """SELECT '{"EventId":"' || EventId || '","EventHash":"' || EventHash || '","SequenceNumber":' || SequenceNumber || '}' AS json FROM I WHERE SequenceNumber = 42""")
 
 EVENT = ("EventId", "EventType", "User", "InsertedDate")

@@ -54,10 +54,39 @@ def drained(table: str):  # noqa: ANN201
     return run
 
 
+def judged_twice(k, d):  # noqa: ANN001, ANN201
+    """The stream's verdicts in two runs: the envelopes of most actions; then all, some of them changed. Those of one action are stored before, without a receipt."""
+    top = f"{shared_dir(k)}/judged-{uuid4().hex}"
+    rows = envelopes(k, d)
+    sources = rows.where("action = 12").select(F.col("envelope_id").alias("id")).distinct()
+    changed = rows.withColumn("payload", F.when(F.col("action").isin(3, 4), "changed").otherwise(F.col("payload")))
+    for part in (rows.where("action < 10"), changed):
+        part.write.mode("append").json(f"{top}/in")
+        ingest.drain(k, f"{top}/in", f"{top}/out", f"{top}/offsets", 1000, sources=sources).awaitTermination()
+    return k.read.parquet(f"{top}/out/verdicts").groupBy("envelope_id", "verdict").count()
+
+
+JUDGED = f""", R AS (SELECT event_id AS n, '{a.GUID}' || lpad((event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END)::VARCHAR, 12, '0') AS id, event_id % 12 + 1 AS action, props, user_id, ts FROM events),
+  S AS (SELECT 1 AS run, *, props AS payload FROM R WHERE action < 10 UNION ALL SELECT 2, *, CASE WHEN action IN (3, 4) THEN 'changed' ELSE props END FROM R),
+  C AS (SELECT *, (n % 2) || '|' || action || '|' || CASE WHEN n % 6 = 0 THEN (n % 10) || ',' || (n % 8) ELSE '' END || '|' || user_id || '|' || payload AS content FROM S),
+  Q AS (SELECT id, CASE WHEN id IN (SELECT id FROM R WHERE action = 12) THEN 'Unverified' WHEN row_number() OVER w = 1 THEN 'New' WHEN content = first(content) OVER w THEN 'Replay' ELSE 'Conflict' END AS verdict FROM C WINDOW w AS (PARTITION BY id ORDER BY run, ts, n)) """
+
+
+def chained_stream(k, d):  # noqa: ANN001, ANN201
+    """Pending events into one chain a tenant, by the stream; those that have a link are passed by. Sent twice."""
+    top = f"{shared_dir(k)}/chained-{uuid4().hex}"
+    events = a.audit_events(k, d).select(F.col("TenantId").alias("chain"), "EventId", F.date_format("InsertedDate", "yyyyMMddHHmmssSSSSSS").alias("at"), F.sha2(F.encode("EventId", "UTF-8"), 256).alias("EventHash"), "IntegrityStatus")
+    links = events.join(a.audit_integrity(k, d).select("EventId"), "EventId", "left_semi").select("chain", "EventId", F.lit(None).cast("long").alias("number"), F.lit(None).cast("string").alias("hash"))
+    for _ in range(2):
+        events.where("IntegrityStatus = 1").drop("IntegrityStatus").write.mode("append").json(f"{top}/in")
+        ingest.until_idle(ingest.chain_events(k, f"{top}/in", f"{top}/out", f"{top}/offsets", size=10, interval_ms=1, files_a_batch=1000, links=links))
+    return k.read.parquet(f"{top}/out").drop("flush")
+
+
 ENV = f""", V AS (SELECT '{a.GUID}' || lpad((event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END)::VARCHAR, 12, '0') AS envelope_id, event_id AS n, ts, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END ORDER BY event_id) = 1) """
 q("T1", lambda k, d: ingest.event_rows(envelopes(k, d).where("kind = 1 AND action <> 4")).select("envelope_id", "action"), f"SELECT '{a.GUID}' || lpad((event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END)::VARCHAR, 12, '0') AS envelope_id, (event_id % 12 + 1)::INT AS action FROM events WHERE event_id % 2 = 1 AND event_id % 12 <> 3")
 box("T2", lambda x: o.stage(x.where("Status <> 2"), x.where("Status = 2")).select("Id", "IdempotencyKey"), "SELECT Id, IdempotencyKey FROM (SELECT * FROM O WHERE Status <> 2 QUALIFY row_number() OVER (PARTITION BY IdempotencyKey ORDER BY CreatedAt, Id) = 1) WHERE IdempotencyKey NOT IN (SELECT IdempotencyKey FROM O WHERE Status = 2)")
-q("T3", drained("ledger"), ENV + "SELECT envelope_id FROM V")
+q("T3", lambda k, d: drained("verdicts")(k, d).where("verdict = 'New'").select("envelope_id"), ENV + "SELECT envelope_id FROM V")
 box("T4", lambda x: o.claimable(x, NOW).select("Id"), f"SELECT Id FROM O WHERE Status = 0 AND (NextRetryAt IS NULL OR NextRetryAt <= {T}) AND (LeaseExpiresAt IS NULL OR LeaseExpiresAt <= {T}) ORDER BY CreatedAt, Id LIMIT 128")
 box("T5", lambda x: o.apply_outcomes(x, x.where("FailureCycleId IS NOT NULL").select("Id", F.col("NextRetryAt").isNull().alias("ok")), NOW), f"""SELECT Id, CASE WHEN Status = 1 AND FailureCycleId IS NOT NULL AND NextRetryAt IS NULL THEN 2 WHEN Status = 1 AND FailureCycleId IS NOT NULL THEN CASE WHEN AttemptCount + 1 < 5 THEN 0 ELSE 3 END ELSE Status END::INT AS Status,
   CASE WHEN Status = 1 AND FailureCycleId IS NOT NULL THEN AttemptCount + 1 ELSE AttemptCount END::INT AS AttemptCount,
@@ -66,6 +95,9 @@ box("T6", lambda x: x.select("Id", o.retry_delay(F.col("AttemptCount")).alias("s
 box("T7", lambda x: o.recover_leases(x, NOW).select("Id", "Status", "LeaseExpiresAt"), f"SELECT Id, CASE WHEN Status = 1 AND LeaseExpiresAt < {T} THEN 0 ELSE Status END::INT AS Status, CASE WHEN NOT coalesce(Status = 1 AND LeaseExpiresAt < {T}, false) THEN LeaseExpiresAt END AS LeaseExpiresAt FROM O")
 _id = lambda x: x.select(F.col("Id").alias("id"), F.col("Content").alias("fingerprint"))
 box("T8", lambda x: o.classify(_id(x), x.where("Status = 2").select(F.col("Id").alias("id"), F.when(F.col("AttemptCount") < 4, F.col("Content")).otherwise("other").alias("fingerprint")), _id(x.where("NextRetryAt IS NULL"))), "SELECT Id AS id, Content AS fingerprint, CASE WHEN Status = 2 AND AttemptCount < 4 THEN 'Replay' WHEN Status = 2 THEN 'Conflict' WHEN NextRetryAt IS NULL THEN 'Unverified' ELSE 'New' END AS verdict FROM O")
+q("T8_stream", judged_twice, JUDGED + "SELECT id AS envelope_id, verdict, count(*) AS count FROM Q GROUP BY ALL")
+q("T12", chained_stream, """, P AS (SELECT TenantId AS chain, EventId, sha256(EventId) AS EventHash, row_number() OVER w AS rn, lag(sha256(EventId)) OVER w AS prev, count(*) OVER (PARTITION BY TenantId) AS n FROM E WHERE IntegrityStatus = 1 AND EventId NOT IN (SELECT EventId FROM I) WINDOW w AS (PARTITION BY TenantId ORDER BY InsertedDate NULLS LAST, EventId))
+  SELECT chain, EventId, EventHash, rn AS SequenceNumber, prev AS PreviousEventHash, CASE WHEN rn <= n - n % 10 THEN 'count' ELSE 'time' END AS cause FROM P""")
 q("T9", lambda k, d: ingest.entity_rows(envelopes(k, d)).select("envelope_id", "property", "action"), ENV + "SELECT envelope_id, p AS property, (n % 12 + 1)::INT AS action FROM (SELECT *, unnest(CASE WHEN n % 6 = 0 THEN ['Field1', 'Field2'] ELSE [NULL] END) AS p FROM V WHERE n % 2 = 0)")
 box("T10", lambda x: o.fan_in(x.select(F.col("Id").alias("id"), F.col("IdempotencyKey").alias("key"), F.when(F.col("Id") % 100 < 50, "same").otherwise(F.col("Content")).alias("content"), F.col("CreatedAt").alias("created"))),
     """SELECT Id AS id, IdempotencyKey AS key, CASE WHEN row_number() OVER w = 1 THEN 'First' WHEN c IS NOT DISTINCT FROM first(c) OVER w THEN 'Duplicate' ELSE 'Conflict' END AS verdict FROM (SELECT *, CASE WHEN Id % 100 < 50 THEN 'same' ELSE Content END AS c FROM O) WINDOW w AS (PARTITION BY IdempotencyKey ORDER BY CreatedAt, Id)""")
