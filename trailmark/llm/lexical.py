@@ -3,11 +3,11 @@
 Documents are put in a new order by recursive graph bisection: a set of documents is halved, and pairs are swapped between the halves as long as that
 lowers the estimated log-gap cost of their terms' posting lists; then each half is halved. The tree is fitted on a bounded sample (:data:`SAMPLE`
 documents, terms hashed to :data:`VOCABULARY` numbers); every document goes down it by the same costs. Its leaves are the clusters of the index: a
-table of postings in the order of cluster, term and new place.
+table of postings in which each file is in the order of cluster and new place, and holds all postings of its documents.
 
 The best score that a cluster could hold for a query is the sum, over the query's terms, of the weight times the greatest impact of the term in the cluster. Each query visits its
 clusters from the highest bound on, and stops before the first one whose bound is below its k-th score; an equal bound is visited, as a smaller doc_id may tie.
-Within a visit, terms whose bounds together stay below the k-th score (the common ones) bring no candidate: they are added up for the candidates of the others.
+The first score to beat is the k-th of what a query's rarest terms alone bring.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ SAMPLE, VOCABULARY, LEVELS, SWEEPS, LEAST = 4096, 1 << 14, 6, 12, 16
 PLACE_BITS = 57
 #: Tables of queries' terms are sent to all tasks up to so many bytes, measured; past that the join shuffles.
 SENT_BYTES = 32 << 20
+#: A query's rarest terms with so many postings together give the first k-th score to beat. Clusters of the first visit; each later one takes so many times more.
+SEED_POSTINGS, FIRST_VISIT, GROWTH = 20_000, 2, 8
+#: Terms that a task's numpy code holds at once.
+TERMS_AT_ONCE = 1 << 19
 
 
 def terms(text: Column) -> Column:
@@ -40,7 +44,8 @@ def terms(text: Column) -> Column:
 
 
 def lowered(term: Column) -> Column:
-    return F.translate(term, UPPER, LOWER)
+    """Only A-Z in lower case; ASCII terms take the fast way."""
+    return F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(F.translate(term, UPPER, LOWER))
 
 
 def _numbers(found: Column) -> Column:
@@ -125,13 +130,18 @@ def cluster_of(found: Column, tree: np.ndarray) -> Column:
 
     @F.arrow_udf("int")
     def walk(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            doc, term = _edges(lists)
-            at = np.zeros(len(lists), np.int64)
-            for _ in range(LEVELS):
-                score = np.bincount(doc, tree[at[doc], term], len(lists))
-                at = 2 * at + 1 + (score <= tree[at, -1])
-            yield pa.array(at - len(tree), pa.int32())
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(ends // TERMS_AT_ONCE, prepend=0))
+            leaves = [np.zeros(0, np.int64)]
+            for a, b in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                doc, term = _edges(batch[a:b])
+                at = np.zeros(b - a, np.int64)
+                for _ in range(LEVELS):
+                    score = np.bincount(doc, tree[at[doc], term], b - a)
+                    at = 2 * at + 1 + (score <= tree[at, -1])
+                leaves.append(at - len(tree))
+            yield pa.array(np.concatenate(leaves), pa.int32())
 
     return walk(_numbers(found))
 
@@ -172,8 +182,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokens = placed.select("cluster", place.alias("place"), "oid", "n", each.alias("term")).withColumn("term", lowered(F.col("term")))
     if wanted is not None:
         tokens = tokens.join(_sent(wanted.withColumn("wanted", F.lit(True)), "term"), "term", "left").where("term IS NULL OR wanted")
-    counted = tokens.groupBy("cluster", "term", "place", "oid", "n").agg(F.count("*").alias("tf"))
-    table = written(counted.repartitionByRange("cluster", "term", "place").sortWithinPartitions("cluster", "term", "place"), "lexical-index")
+    counted = tokens.repartition("place").groupBy("cluster", "place", "oid", "n", "term").agg(F.count("*").alias("tf"))  # dealt once: a document's terms are in one task
+    table = written(counted.sortWithinPartitions("cluster", "place"), "lexical-index")
     documents, occurrences = table.where("term IS NULL AND n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(1))).first()
     m = f"(10L + (90L * n * {documents}L) div {occurrences}L)"
     postings = table.where("term IS NOT NULL").withColumn("impact", F.expr(f"(1000000000L * tf) div (1000L * tf + 8L * {m})")).drop("n", "tf")
@@ -187,19 +197,18 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _visited(index: Index, visits: DataFrame, asked: DataFrame) -> DataFrame:
-    """visits (q, cluster, kth) -> (q, oid, place, score) of all documents there that can be among the best."""
-    cell = Window.partitionBy("q", "cluster")
-    rising = cell.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = visits.join(asked, "q").join(index.lists, ["cluster", "term"]).withColumn("most", F.col("w") * F.col("top"))
-    parts = parts.withColumn("leads", F.sum("most").over(rising) >= F.col("kth")).withColumn("rest", F.sum(F.when(F.col("leads"), 0).otherwise(F.col("most"))).over(cell))
-    parts = written(parts.select("q", "cluster", "term", "w", "kth", "rest", "leads"), "lexical-visits")
-    value = F.sum(F.col("w") * F.col("impact"))
-    found = index.postings.join(_sent(parts.where("leads"), "term"), ["cluster", "term"]).groupBy("q", "cluster", "oid", "place", "kth", "rest").agg(value.alias("score"))
-    found = written(found.where("score + rest >= kth").select("q", "cluster", "oid", "place", "score"), "lexical-candidates")
-    others = written(found.select("q", "cluster", "oid", "place").join(parts.where("NOT leads").select("q", "cluster", "term", "w"), ["q", "cluster"]), "lexical-others")
-    added = index.postings.drop("oid").join(_sent(others, "term"), ["cluster", "term", "place"]).groupBy("q", "oid", "place").agg(value.alias("score"))
-    return found.select("q", "oid", "place", "score").unionByName(added).groupBy("q", "oid", "place").agg(F.sum("score").alias("score"))
+def _scores(index: Index, asked: DataFrame) -> DataFrame:
+    """asked (q, cluster, term, w), or without cluster, a written table -> (q, oid, place, score). A file holds whole documents, so what is shuffled is one row a document and q."""
+    on = [c for c in ("cluster", "term") if c in asked.columns]
+    return index.postings.join(_sent(asked, "term"), on).groupBy("q", "oid", "place").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+
+
+def _first_to_beat(index: Index, asked: DataFrame, k: int) -> DataFrame:
+    """(q, kth): the k-th of the scores that the rarest terms alone bring documents. No k-th best score is below it."""
+    df = index.lists.groupBy("term").agg(F.sum("df").alias("df"))
+    rising = Window.partitionBy("q").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rare = written(asked.join(df, "term").withColumn("postings", F.sum("df").over(rising)).where(F.col("postings") <= SEED_POSTINGS).select("q", "term", "w"), "lexical-rare")
+    return written(_best(_scores(index, rare), k).where(F.col("rank") == k).select("q", F.col("score").alias("kth")), "lexical-first")
 
 
 def search(index: Index, asked: DataFrame, k: int = BEST) -> DataFrame:
@@ -208,19 +217,16 @@ def search(index: Index, asked: DataFrame, k: int = BEST) -> DataFrame:
     bounds = asked.join(index.lists, "term").groupBy("q", "cluster").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
     turn = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "cluster"))
     plan = written(bounds.withColumn("turn", turn), "lexical-plan")
-    best, seen, until = None, 0, 1
+    to_beat, best, seen, until = _first_to_beat(index, asked, k), None, 0, FIRST_VISIT
     while True:
-        left = plan.where(F.col("turn") > seen)
-        if best is not None:
-            left = left.join(best.where(F.col("rank") == k).select("q", F.col("score").alias("kth")), "q", "left")
-        else:
-            left = left.withColumn("kth", F.lit(None).cast("long"))
-        left = left.withColumn("kth", F.coalesce("kth", F.lit(1)).cast("long")).where("bound >= kth")
+        left = plan.where(F.col("turn") > seen).join(to_beat, "q", "left").withColumn("kth", F.coalesce("kth", F.lit(1)).cast("long")).where("bound >= kth")
         if best is not None and not left.head(1):
             return best.select("q", "rank", plain_id("oid").alias("doc_id"), "score")
-        scores = _visited(index, left.where(F.col("turn") <= until).select("q", "cluster", "kth"), asked)
+        scores = _scores(index, written(left.where(F.col("turn") <= until).select("q", "cluster").join(asked, "q"), "lexical-visits"))
         scores = scores if best is None else scores.unionByName(best.select("q", "oid", "place", "score"))
-        best, seen, until = written(_best(scores, k), "lexical-best"), until, until * 4
+        best, seen, until = written(_best(scores, k), "lexical-best"), until, until * GROWTH
+        better = best.where(F.col("rank") == k).select("q", F.col("score").alias("kth"))
+        to_beat = to_beat.unionByName(better).groupBy("q").agg(F.max("kth").alias("kth"))
 
 
 def rank_documents(items: DataFrame, docs: DataFrame, item_id: str = "item_id", item_text: str = "text", id_col: str = "doc_id", text_col: str = "text", k: int = BEST) -> DataFrame:
