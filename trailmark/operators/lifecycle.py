@@ -1,4 +1,4 @@
-"""Retention, purges, anonymisation, archives (C94-C96, F12, F26, S5, S6, S14). Deletions are rewrites: each function gives the rows that stay or go."""
+"""Retention, purges, anonymisation, archives (C94-C96, F12, F26, S5, S6, S14). Functions give the rows that stay or go; those named apply_* delete or change them in a stored table, part by part."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from trailmark import schema
 from trailmark.functions import canonical, text
 from trailmark.functions.dates import cutoff
 from trailmark.operators.search import match_policies, ordered
+from trailmark.sources.stored import Stored
+from trailmark.storage import written
 
 
 def retention_plan(events: DataFrame, policies: DataFrame, now: str) -> DataFrame:
@@ -65,6 +67,32 @@ def governed_anonymize(events: DataFrame, links: DataFrame, work_items: DataFram
     return free.withColumns(cleared | {"User": F.lit(canonical.ANONYMIZED), "EventType": F.lit("Audit.Anonymized")})
 
 
+def apply_retention(table: Stored, policies: DataFrame, now: str) -> tuple[Stored, dict[str, int]]:
+    """Deletes what the policies doom from a stored table of events, and tells how many rows by policy. Only parts with such a row are written anew."""
+    plan = written(retention_plan(table.read(), policies, now), "retention-plan")
+    table, deleted = table.delete_keys(plan.select("EventId"))
+    counts = {r.policy: r.deleted for r in retention_summary(plan).collect()}
+    if sum(counts.values()) != deleted:
+        raise RuntimeError(f"{deleted} rows were deleted, the plan has {sum(counts.values())}")
+    return table, counts
+
+
+def apply_purge(table: Stored, now: str, days: int) -> tuple[Stored, int]:
+    """Deletes the events before the cutoff; with how many."""
+    return table.delete(F.col("InsertedDate") < cutoff(now, days))
+
+
+def apply_archive_purge(table: Stored, now: str, days: int) -> tuple[Stored, int]:
+    """Deletes the archive records before the cutoff but those in progress; with how many."""
+    return table.delete((F.col("CreatedAt") < cutoff(now, days)) & (F.col("Status") != 0))
+
+
+def apply_anonymization(table: Stored, user_id: str, most: int = schema.SUBJECT_MAX) -> tuple[Stored, DataFrame]:
+    """the user's newest events anonymised in the table; with the ids of those, whose hashes no longer hold."""
+    rows = written(anonymize_user(table.read(), user_id, most), "anonymized")
+    return table.upsert(rows), rows.select("EventId")
+
+
 #: JSON times with all their digits.
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
@@ -73,13 +101,13 @@ def _month(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM")
 
 
-def archive_manifest(events: DataFrame) -> DataFrame:
-    """A record for each month: count, range, and a digest that does not depend on the order of rows.
+def archive_manifest(events: DataFrame, unit: str = "yyyy-MM") -> DataFrame:
+    """A record for each month, or other unit: count, range, and a digest that does not depend on the order of rows.
 
     The digest is SHA-256 over the sorted digests of buckets, each over its sorted rows' hashes: a month of any size is never one group.
     """
     line = F.concat_ws(":", "EventId", F.coalesce("EventType", F.lit("")), text.iso_time(F.col("InsertedDate")))
-    rows = events.where("InsertedDate IS NOT NULL").select(_month(F.col("InsertedDate")).alias("archive"), "InsertedDate", F.sha2(F.encode(line, "UTF-8"), 256).alias("h"))
+    rows = events.where("InsertedDate IS NOT NULL").select(F.date_format("InsertedDate", unit).alias("archive"), "InsertedDate", F.sha2(F.encode(line, "UTF-8"), 256).alias("h"))
     part = rows.groupBy("archive", F.substring("h", 1, 3).alias("bucket")).agg(F.count("*").alias("n"), F.min("InsertedDate").alias("a"), F.max("InsertedDate").alias("z"), F.sha2(F.encode(F.array_join(F.sort_array(F.collect_list("h")), "|"), "UTF-8"), 256).alias("h"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "|")
     return part.groupBy("archive").agg(F.sum("n").alias("event_count"), F.min("a").alias("range_start"), F.max("z").alias("range_end"), F.sha2(F.encode(whole, "UTF-8"), 256).alias("digest"))

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.sql import functions as F
+
+from trailmark.operators import archive_files as af
+from trailmark.operators import lifecycle as lc
 from trailmark.operators import wordindex as w
-from trailmark.plans import q_search
+from trailmark.plans import q_governance, q_search
 from trailmark.plans.q_search import COLS, SHOWN
 from trailmark.sources import audit as a
 from trailmark.sources.audit import BASE_SQL as B
+from trailmark.sources.stored import Stored, flip_last_byte
 from trailmark.storage import shared_dir
+from trailmark.streaming import outbox_store as os
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -39,3 +45,74 @@ def _searched(text: str):  # noqa: ANN202
 q("P14_index", _searched('updated "user 7"'), q_search.ORACLE_SQL["q_P14"].removeprefix(B))
 q("F1_index", _searched("login"), q_search.ORACLE_SQL["q_F1"].removeprefix(B))
 q("P14_phrase", _searched('"data.read" "test.com"'), f"""SELECT {COLS} FROM E WHERE EventType = 'Data.Read' AND "User" LIKE '%@test.com'""")
+
+# changes of stored tables, read back
+DAY = "date_format(InsertedDate, 'yyyy-MM-dd')"
+
+
+def events_table(k, d, rows=None) -> Stored:  # noqa: ANN001
+    return Stored.create(a.audit_events(k, d) if rows is None else rows, folder(k, "events"), DAY, "EventId")
+
+
+def _reread(table: Stored):  # noqa: ANN202
+    return Stored.open(table.spark, table.path).read()
+
+
+q("C94_applied", lambda k, d: _reread(lc.apply_retention(events_table(k, d), a.retention_policies(k), a.NOW)[0]).select("EventId"), q_governance.PLAN + "SELECT EventId FROM E WHERE EventId NOT IN (SELECT EventId FROM DE)")
+q("C95_applied", lambda k, d: _reread(lc.apply_purge(events_table(k, d), a.NOW, 12)[0]).select("EventId", "InsertedDate"), f"SELECT EventId, InsertedDate FROM E WHERE InsertedDate IS NULL OR InsertedDate >= TIMESTAMP '{a.NOW}' - INTERVAL 12 DAY")
+q("C96_applied", lambda k, d: _reread(lc.apply_archive_purge(Stored.create(a.archive_records(k, d), folder(k, "records"), "ContainerName", "ArchiveId"), "1997-01-01", 300)[0]).select("ArchiveId", "Status"), "SELECT ArchiveId, Status FROM AR WHERE CreatedAt >= TIMESTAMP '1997-01-01' - INTERVAL 300 DAY OR Status = 0")
+q("F12_applied", lambda k, d: _reread(lc.apply_anonymization(events_table(k, d), q_governance.SUBJECT)[0]).select("EventId", "User", "UserAgent"), f"""SELECT EventId, CASE WHEN UserId = '{q_governance.SUBJECT}' THEN 'ANONYMIZED' ELSE "User" END AS "User", CASE WHEN UserId = '{q_governance.SUBJECT}' THEN 'ANONYMIZED' ELSE UserAgent END AS UserAgent FROM E""")
+
+# outbox: claim and outcome, merged by bucket
+AT = "2024-01-20 00:00:00"
+
+
+def _boxes(k, d):  # noqa: ANN001, ANN202
+    return os.create_box(a.outbox(k, d), folder(k, "outbox")), os.create_handoffs(k, folder(k, "handoffs"))
+
+
+def _outcomes(k, d):  # noqa: ANN001, ANN202
+    """Claims 500 rows; those without a cycle are delivered, the others fail; an outcome for a row that was not claimed is refused."""
+    box, handoffs = _boxes(k, d)
+    box, taken = os.claim(box, "t1", AT, 500)
+    answers = taken.select("Id", F.col("FailureCycleId").isNull().alias("ok"), F.lit("Timeout").alias("reason"))
+    others = box.read().where("Status = 2").select("Id", F.lit(False).alias("ok"), F.lit("late").alias("reason"))
+    box, handoffs, _ = os.apply(box, handoffs, answers.unionByName(others), "t1", "op1", AT)
+    failed = _reread(handoffs).select(F.col("OutboxRowId").alias("Id"), F.col("ReasonCode").alias("handoff"))
+    return _reread(box).join(failed, "Id", "left").select("Id", "Status", "AttemptCount", "NextRetryAt", "LastError", "FailureCycleId", F.col("CompletedAt").isNotNull().alias("completed"), "handoff")
+
+
+q("T5_store", _outcomes, f""", C AS (SELECT Id FROM O WHERE Status = 0 AND (NextRetryAt IS NULL OR NextRetryAt <= TIMESTAMP '{AT}') AND (LeaseExpiresAt IS NULL OR LeaseExpiresAt <= TIMESTAMP '{AT}') ORDER BY CreatedAt, Id LIMIT 500),
+  X AS (SELECT O.*, Id IN (SELECT Id FROM C) AND FailureCycleId IS NULL AS good, Id IN (SELECT Id FROM C) AND FailureCycleId IS NOT NULL AS bad FROM O)
+  SELECT Id, CASE WHEN good THEN 2 WHEN bad AND AttemptCount + 1 < 5 THEN 0 WHEN bad THEN 3 ELSE Status END::INT AS Status, (AttemptCount + bad::INT)::INT AS AttemptCount,
+    CASE WHEN bad AND AttemptCount + 1 < 5 THEN TIMESTAMP '{AT}' + INTERVAL 1 SECOND * ([1, 5, 30])[least(AttemptCount + 1, 3)] WHEN NOT good AND NOT bad THEN NextRetryAt END AS NextRetryAt, CASE WHEN bad THEN 'Timeout' END AS LastError,
+    CASE WHEN bad AND AttemptCount + 1 >= 5 THEN 'op1' WHEN NOT good AND NOT bad THEN FailureCycleId END AS FailureCycleId, good AS completed, CASE WHEN bad AND AttemptCount + 1 >= 5 THEN 'Timeout' END AS handoff FROM X""")
+q("T7_store", lambda k, d: _reread(os.recover(_boxes(k, d)[0], AT)[0]).select("Id", "Status", "LeaseExpiresAt"), f"""SELECT O.Id, CASE WHEN R.Id IS NULL THEN Status ELSE 0 END::INT AS Status, CASE WHEN R.Id IS NULL THEN LeaseExpiresAt END AS LeaseExpiresAt FROM O LEFT JOIN
+  (SELECT Id FROM O WHERE Status = 1 AND LeaseExpiresAt <= TIMESTAMP '{AT}' ORDER BY LeaseExpiresAt, Id LIMIT 1000) R ON O.Id = R.Id""")
+
+# archives as files
+BY_DAY = "yyyy-MM-dd"
+
+
+def _damaged(k, d):  # noqa: ANN001, ANN202
+    """Archives by day; then a bit of a file of the first day is turned over."""
+    path = folder(k, "archive")
+    af.commit_archive(a.audit_events(k, d), path, unit=BY_DAY)
+    top = af.committed_folder(k, path)
+    first = k.read.parquet(f"{top}/files").orderBy("archive", "file").first()
+    flip_last_byte(k, f"{top}/events/archive={first.archive}/{first.file}")
+    return af.validate(k, path)
+
+
+def _restored_files(k, d):  # noqa: ANN001, ANN202
+    """Archives all events, purges most of them from the table, restores them."""
+    path = folder(k, "archive")
+    af.commit_archive(a.audit_events(k, d), path, unit=BY_DAY)
+    table, _ = lc.apply_purge(events_table(k, d), a.NOW, 12)
+    table, _ = af.restore(k, path, table, BY_DAY)
+    return _reread(table).select("EventId", "InsertedDate", "EventType", "JsonData")
+
+
+q("S5_files", lambda k, d: af.commit_archive(a.audit_events(k, d), folder(k, "archive"), unit=BY_DAY).select("archive", "event_count"), "SELECT strftime(InsertedDate, '%Y-%m-%d') AS archive, count(*) AS event_count FROM E WHERE InsertedDate IS NOT NULL GROUP BY 1")
+q("S14_files", _damaged, "SELECT archive, CASE WHEN archive = min(archive) OVER () THEN 'Corrupted' ELSE 'Completed' END AS status, CASE WHEN archive = min(archive) OVER () THEN 'hash' END AS reason FROM (SELECT DISTINCT strftime(InsertedDate, '%Y-%m-%d') AS archive FROM E WHERE InsertedDate IS NOT NULL)")
+q("S6_files", _restored_files, "SELECT EventId, InsertedDate, EventType, JsonData FROM E")

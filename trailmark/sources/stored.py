@@ -50,6 +50,18 @@ def read_file(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def flip_last_byte(spark: SparkSession, path: str) -> None:
+    """Damages a small file, for drills of validation and restore."""
+    fs, make = _fs(spark, path)
+    stream = fs.open(make(path))
+    data = bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    stream.close()
+    data[-1] ^= 1
+    out = fs.create(make(path), True)
+    out.write(data)
+    out.close()
+
+
 def _part(expression: str) -> Column:
     return F.coalesce(F.expr(expression).cast("string"), F.lit(NO_PART)).alias(PART)
 
