@@ -85,7 +85,11 @@ def test_hashes_equal_hashlib(spark):
         ("card 4111 1111 1111 1111", "4111"),
         ("call (555) 123-4567", "555"),
         ("api_key=sk123456", "sk123456"),
-        ("INSERT INTO t VALUES (1, 'x')", "VALUES"),
+        ("INSERT INTO t VALUES (1, 'x')", "'x'"),
+        ("ssn 123456789 there", "123456789"),
+        ("The duplicate key value is ('jane')", "jane"),
+        ("host=db2 database=audit", "db2"),
+        ("conflict on 00000000-0000-4000-8000-000000000001", "00000000"),
     ],
 )
 def test_sanitize(spark, dirty, gone):
@@ -139,7 +143,7 @@ def test_long_chain_over_partitions(spark):
 
 def test_anonymize_json():
     assert canonical.anonymized('{"UserName":"x","k":1,"note":"for u7"}', "u7") == '{"UserName":"ANONYMIZED","k":1,"note":"ANONYMIZED"}'
-    assert canonical.anonymized("not json", "u") == '{"anonymized":true}'
+    assert canonical.anonymized("not json", "u") == '{"_anonymization_error":"Failed to parse JSON for anonymization"}'
     assert canonical.anonymized(None, "u") is None
 
 
@@ -158,7 +162,37 @@ def test_archive_round_trip_and_corruption(spark, sf_dir, tmp_path):
     assert "Corrupted" in {r.status for r in verdict.collect()}
 
 
-def test_tracked_queries_write_an_event(spark, tmp_path):
-    n = capture.tracked(spark.range(7), str(tmp_path / "log"), "Search", "patient=7", "treatment")
+def test_tracked_queries_write_an_event_and_run_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        runs.add(1)
+        return x
+
+    rows = spark.range(7).select(counted("id").alias("id"))
+    out, n = capture.tracked(rows, str(tmp_path / "log"), "PHIAccess", "Security=7", "HIPAA review", lambda df: df.collect())
     row = spark.read.parquet(str(tmp_path / "log")).first()
-    assert (n, row.n_rows, row.sensitive) == (7, 7, True)
+    assert (len(out), n, row.n_rows, runs.value) == (7, 7, 7, 7)
+    assert (row.is_compliance, row.requires_justification, row.is_sensitive) == (True, True, True)
+
+
+def test_redaction_of_names_keys_and_fields(spark):
+    r = one(
+        spark,
+        names=text.redact_names(F.array(F.lit("mrn"), F.lit("UserPassword"), F.lit("PASSWORD"), F.lit("Total"))),
+        number=text.redact_key(F.lit(7)),
+        digits=text.redact_key(F.lit("123456789")),
+        guid_text=text.redact_key(F.lit("00000000-0000-4000-8000-000000000001")),
+        guid=text.redact_key(F.lit("00000000-0000-4000-8000-000000000001"), guid=True),
+        fields=text.redact_fields(F.create_map(*map(F.lit, ("CorrelationId", "c", "status", "s", "TenantId", "t", "_Action", "a", "ErrorMessage", "pwd=x")))),
+        snapshot=text.redact_snapshot(F.lit("{}")),
+    )
+    assert r.names == ["[REDACTED_PROP]", "UserPassword", "[REDACTED_PROP]", "Total"]
+    assert (r.number, r.digits, r.guid_text, r.guid) == ("7", "[REDACTED]", "[REDACTED]", "00000000-0000-4000-8000-000000000001")
+    assert r.fields == {"CorrelationId": "[REDACTED]", "status": "s", "TenantId": "[REDACTED]", "_Action": "a", "ErrorMessage": "[SANITIZED]"} and r.snapshot == '{"_redacted":true}'
+
+
+@pytest.mark.parametrize(("ip", "shown"), [("10.20.30.40", "10.20.XXX.XXX"), ("a.b.c.d", "a.b.XXX.XXX"), ("2001:db8:5::1", "2001:db8:XXXX:XXXX:XXXX"), ("::1", "::XXXX:XXXX:XXXX"), ("a:b", "XXXX:XXXX:XXXX:XXXX"), ("unknown", "ANONYMIZED"), ("", None), (None, None)])
+def test_anonymized_addresses(spark, ip, shown):
+    assert one(spark, x=text.anonymize_ip(F.lit(ip).cast("string"))).x == shown

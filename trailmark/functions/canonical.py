@@ -120,6 +120,8 @@ envelope_fingerprint = _mapped(lambda t: _or_none(fingerprint, t))
 
 
 ANONYMIZED = "ANONYMIZED"
+#: Fixed value: what takes the place of a text that cannot be read.
+NOT_ANONYMIZED = '{"_anonymization_error":"Failed to parse JSON for anonymization"}'
 
 
 def anonymized(text: str | None, user_id: str) -> str | None:
@@ -129,9 +131,9 @@ def anonymized(text: str | None, user_id: str) -> str | None:
     try:
         value = json.loads(text, parse_float=Decimal)
     except ValueError:
-        return '{"anonymized":true}'
+        return NOT_ANONYMIZED
     if not isinstance(value, dict):
-        return '{"anonymized":true}'
+        return NOT_ANONYMIZED
     hide = lambda k, v: re.search("user|email|name", k, re.I) or isinstance(v, str) and user_id and user_id.lower() in v.lower()
     return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{json.dumps(ANONYMIZED) if hide(k, v) else json.dumps(v, ensure_ascii=False, default=float, separators=(',', ':'))}" for k, v in value.items()) + "}"
 

@@ -54,25 +54,25 @@ def chain_hmac(key: bytes, *parts: Column) -> Column:
 
 
 def anonymize_ip(ip: Column) -> Column:
-    """F10"""
-    v4 = F.regexp_extract(ip, r"^(\d{1,3}\.\d{1,3})\.\d{1,3}\.\d{1,3}$", 1)
-    groups = F.split(ip, ":")
-    v6 = F.concat_ws(":", F.element_at(groups, 1), F.element_at(groups, 2), F.lit("XXXX:XXXX:XXXX:XXXX:XXXX:XXXX"))
-    return F.when(ip.isNull(), None).when(v4 != "", F.concat(v4, F.lit(".XXX.XXX"))).when(F.size(groups) > 2, v6).otherwise("ANONYMIZED")
+    """of four parts between dots the first two stay; else what is before the second colon; empty is null."""
+    parts, groups = F.split(ip, r"\.", -1), F.split(ip, ":", -1)
+    v4 = F.concat(F.element_at(parts, 1), F.lit("."), F.element_at(parts, 2), F.lit(".XXX.XXX"))
+    v6 = F.when(F.size(groups) > 2, F.concat(F.element_at(groups, 1), F.lit(":"), F.element_at(groups, 2), F.lit(":XXXX:XXXX:XXXX"))).otherwise("XXXX:XXXX:XXXX:XXXX")
+    return F.when(ip.isNull() | (ip == ""), None).when(F.size(parts) == 4, v4).when(F.size(groups) > 1, v6).otherwise("ANONYMIZED")
 
 
 #: What free text must not carry, in the order in which it is replaced.
 SENSITIVE_PATTERNS = (
-    r"(?i)\b(?:server|data source|initial catalog|user id|uid|password|pwd)\s*=\s*[^;\s]+;?",
-    r"(?i)\bbearer\s+[A-Za-z0-9\-._~+/]+=*",
-    r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*",
-    r"(?i)\b(?:api[_-]?key|token|secret|access[_-]?key)\s*[:=]\s*[\"']?[^\s\"',;]+[\"']?",
-    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    r"""(?i)(server|data source|host|initial catalog|database|uid|pwd|password|user id|integrated security)\s*=\s*[^;"'\s]+""",
+    r"(?i)(bearer|token|api[_\-]?key|authorization)\s*[:=\s]\s*\S+",
+    r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}",
     r"\b\d{3}-\d{2}-\d{4}\b",
-    r"\b(?:\d[ -]?){12,18}\d\b",
-    r"(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b",
-    r"(?i)\binsert\s+into\s+\S+.*?\bvalues\s*\([^)]*\)",
-    r"(?i)\b(?:C:\\|/home/|/var/|/etc/)[^\s\"']+",
+    r"\b(?!000|666|9\d\d)\d{3}(?!00)\d{2}(?!0000)\d{4}\b",
+    r"\b(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6(?:011|5\d{2}))[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{1,4}\b",
+    r"(?<!\d)(?:\+?1[\-.\s]?)?\(?[2-9]\d{2}\)?[\-.\s]\s?[2-9]\d{2}[\-.\s]\d{4}(?!\d)",
+    r"(?i)(?:key\s+value\s+is|values?\s*\()\s*\(?'?[^)]*'?\)",
+    r"(?i)insert\s+into\s+\S+\s*(?:\([^)]*\)\s*)?values\s*\([^)]*\)",
+    r"(?i)(?:key|constraint|violation|duplicate|conflict)[^.]*\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
 )
 
 
@@ -86,26 +86,38 @@ def sanitize(text: Column, longest: int = 512) -> Column:
     return truncate(reduce(lambda acc, p: F.regexp_replace(acc, p, SANITIZED), SENSITIVE_PATTERNS, text), longest, "...[truncated]")
 
 
-#: Fields whose values may be kept.
-ALLOWED_FIELDS = "Action EventType EntityType EntityId CorrelationId RequestMethod RequestPath StatusCode DurationMs Environment MachineName TenantId Operation Outcome Count Version ErrorMessage".split()
-SENSITIVE_NAMES = "password secret token apikey ssn creditcard cvv pin email phone address dateofbirth salary".split()
+#: Fields whose values may be kept, and property names that tell too much. Both are whole names, in any case.
+SAFE_FIELDS = (
+    "EventType OperationType Status Action Environment MachineName AssemblyName CallingMethodName Duration Success RequestMethod "
+    "_FerpaEventType _ConsentRequired _RecordType _serializationError _entityName _action"
+).split()
+SENSITIVE_NAMES = (
+    "SSN SocialSecurityNumber DateOfBirth DOB Diagnosis DiagnosisCode MedicalRecordNumber MRN PatientId InsuranceNumber InsurancePolicyNumber "
+    "Password PasswordHash PasswordSalt Secret SecretKey Token RefreshToken ApiKey AccessToken "
+    "CreditCardNumber AccountNumber RoutingNumber TaxId EIN StudentId GradePointAverage GPA TranscriptId"
+).split()
 
 
 def redact_fields(fields: Column, extra: tuple[str, ...] = ()) -> Column:
-    """a map's values, but those of allowed keys; an error message is sanitised."""
-    allowed = [x.lower() for x in (*ALLOWED_FIELDS, *extra)]
-    return F.transform_values(fields, lambda k, v: F.when(F.lower(k) == "errormessage", sanitize(v)).when(F.lower(k).isin(allowed), v).otherwise(F.when(v.isNotNull(), REDACTED)))
+    """a map's values, but those of safe fields and ``extra`` ones; an error message is sanitised. Ids of correlations, entities and tenants are not safe: they may carry personal data."""
+    safe = [x.lower() for x in (*SAFE_FIELDS, *extra)]
+    return F.transform_values(fields, lambda k, v: F.when(F.lower(k) == "errormessage", sanitize(v)).when(F.lower(k).isin(safe), v).otherwise(F.when(v.isNotNull(), REDACTED)))
 
 
 def redact_names(names: Column) -> Column:
     """an array of property names."""
-    return F.transform(names, lambda n: F.when(reduce(lambda a, b: a | b, (F.contains(F.lower(n), F.lit(s)) for s in SENSITIVE_NAMES)), REDACTED_PROP).otherwise(n))
+    return F.transform(names, lambda n: F.when(F.lower(n).isin([x.lower() for x in SENSITIVE_NAMES]), REDACTED_PROP).otherwise(n))
 
 
-def redact_key(value: Column) -> Column:
-    """numbers and guids stay."""
-    plain = value.rlike(r"^-?\d+$") | value.rlike(r"(?i)^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$")
-    return F.when(value.isNull(), None).when(plain, value).otherwise(REDACTED)
+def redact_key(value: Column, guid: bool = False) -> Column:
+    """a key as a string: numbers stay, and what the caller knows to be typed as a guid; any text is masked, as digits and guids in a text may be a natural key."""
+    number = F.typeof(value).isin("tinyint", "smallint", "int", "bigint", "float", "double") | F.typeof(value).startswith("decimal")
+    return F.when(value.isNull(), None).when(F.lit(guid) | number, value.cast("string")).otherwise(REDACTED)
+
+
+def redact_snapshot(snapshot: Column) -> Column:
+    """the state of a target before or after: only that there is one."""
+    return F.when(snapshot.isNotNull(), F.lit('{"_redacted":true}'))
 
 
 def guarded_details(details: Column, longest: int = 4000) -> Column:
@@ -120,15 +132,17 @@ def masked(value: Column, encrypted: Column, sensitive: Column, pattern: str | N
     return F.when(value.isNull(), None).when(encrypted, "[ENCRYPTED]").when(sensitive, pattern or "***").otherwise(value)
 
 
-#: Words of a query's purpose or parameters, and query types, that make it sensitive.
-SENSITIVE_QUERY = r"(?i)(phi|patient|medical|ssn|financial|legal|investigation|breach)"
-SENSITIVE_TYPES = ("UserDataExport", "SubjectLookup", "PatientAccess")
+#: Words of a purpose that has to do with compliance, words of parameters that are sensitive, query types that need a justification.
+COMPLIANCE_WORDS = "compliance audit regulatory gdpr hipaa sox iso".split()
+SENSITIVE_TERMS = "executive security breach incident violation".split()
+JUSTIFIED_TYPES = "UserActivity PHIAccess SensitiveData SecurityIncident".split()
 
 
-def query_is_sensitive(purpose: Column, params: Column, kind: Column) -> Column:
-    """F21"""
-    hit = lambda c: F.coalesce(c.rlike(SENSITIVE_QUERY), F.lit(False))
-    return hit(purpose) | hit(params) | F.coalesce(kind.isin(*SENSITIVE_TYPES), F.lit(False))
+def query_flags(kind: Column, params: Column, purpose: Column) -> dict[str, Column]:
+    """what a query of the audit log is told to be, by its purpose, type and parameters; any case, null is nothing."""
+    has = lambda c, words: F.coalesce(F.lower(c).rlike("|".join(words)), F.lit(False))
+    justified = F.coalesce(F.lower(kind).isin([x.lower() for x in JUSTIFIED_TYPES]), F.lit(False))
+    return {"is_compliance": has(purpose, COMPLIANCE_WORDS), "requires_justification": justified, "is_sensitive": has(params, SENSITIVE_TERMS)}
 
 
 def governance_name(metadata: Column) -> Column:

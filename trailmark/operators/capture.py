@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trailmark.functions import text
@@ -95,9 +97,11 @@ def user_fields(users: DataFrame) -> DataFrame:
     return users.select("UserName", F.to_json(F.map_from_entries(entries)).alias("custom_fields"))
 
 
-def tracked(result: DataFrame, log_path: str, kind: str, params: str, purpose: str) -> int:
-    """Counts a query's rows and appends the event that says it was asked."""
-    n = result.count()
-    row = [(kind, params, purpose, n)]
-    result.sparkSession.createDataFrame(row, "query_type string, params string, purpose string, n_rows long").withColumn("sensitive", text.query_is_sensitive(F.col("purpose"), F.col("params"), F.col("query_type"))).write.mode("append").parquet(log_path)
-    return n
+def tracked(result: DataFrame, log_path: str, kind: str, params: str, purpose: str, use: Callable[[DataFrame], object]) -> tuple[object, int]:
+    """Hands a query's rows to ``use``, which runs one action on them, and appends the event that says it was asked. The rows are counted as they pass by: the query runs once. Returns what ``use`` returns and the count."""
+    seen = Observation()
+    out = use(result.observe(seen, F.count(F.lit(1)).alias("n")))
+    n = seen.get["n"]
+    row = result.sparkSession.createDataFrame([(kind, params, purpose, n)], "query_type string, params string, purpose string, n_rows long")
+    row.withColumns(text.query_flags(F.col("query_type"), F.col("params"), F.col("purpose"))).write.mode("append").parquet(log_path)
+    return out, n

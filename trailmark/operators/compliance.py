@@ -94,6 +94,8 @@ def _result(rule: Rule, config: dict[str, bool]) -> Column:
     if rule.id == "C69" and not config.get("tamper_detection", True):
         held, failed = held | (F.col("total") == 0), F.lit("Info")
     held_severity = F.lit("Info")
+    if rule.id == "C20":
+        held_severity = F.when(F.col("age_days") >= 2190, "Info").otherwise("Medium")
     if rule.id == "C82":
         groups = reduce(lambda a, b: a + b, (F.when(F.col(f"`group:{k}`") > 0, 1).otherwise(0) for k in EVENT_GROUPS))
         held_severity = F.when(groups >= 4, "Info").otherwise("Medium")

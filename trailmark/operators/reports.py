@@ -182,7 +182,7 @@ def mapped_action(kind: Column) -> Column:
     """the last part of the type, in any case."""
     last = F.lower(F.element_at(F.split(F.coalesce(kind, F.lit("")), r"\."), -1))
     # Spellings of the six actions.
-    spelled = {"Created": ("create", "created", "insert", "add"), "Updated": ("update", "updated", "modify"), "Deleted": ("delete", "deleted", "remove"), "Viewed": ("view", "read"), "Exported": ("export",)}
+    spelled = {"Created": ("created", "insert"), "Updated": ("updated", "update", "modified"), "Deleted": ("deleted", "delete", "removed"), "Viewed": ("viewed", "read", "accessed"), "Exported": ("exported",), "Imported": ("imported",)}
     out = F.lit(UNKNOWN)
     for name, words in spelled.items():
         out = F.when(last.isin(*words), name).otherwise(out)

@@ -108,7 +108,7 @@ C84; STIG; type:Admin,Privileged,Root,Sudo,Elevat | user:admin; High; Privileged
 C85; STIG; type:Account,UserCreate,UserDelete,UserDisable,UserEnable,Registration | account; High; Account Management (V-222534 / AC-2)
 C86; STIG; pass! type:FailedLogin,LoginFailed,AuthenticationFailed,FailedAuthentication,Denied,Lockout,AccountLocked; Medium; Unsuccessful Logon Attempts (V-222542 / AC-7)
 C87; STIG; type:Banner,SystemUse,Consent,TermsAccepted,Disclaimer; High; System Use Notification (V-222543 / AC-8)
-C88; STIG; type:Remote,VPN,SSH,RDP,API | ip; Medium; Remote Access (V-222553 / AC-17)
+C88; STIG; type:Remote,VPN,SSH,RDP,API | ip; High; Remote Access (V-222553 / AC-17)
 C89; STIG; pass! total | pass; Info; Information System Monitoring (SI-4)
 C90; STIG; type:Password,Credential,MFA,Token,Certificate,CAC,PKI; Medium; Authenticator Management (IA-5)
 """

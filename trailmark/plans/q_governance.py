@@ -81,6 +81,8 @@ def _rule_sql(r) -> str:  # noqa: ANN001
     if r.id == "C54":
         failed = "CASE WHEN coalesce((SELECT age FROM C) >= 90, false) THEN 'Medium' ELSE 'High' END"
     info = "'Info'"
+    if r.id == "C20":
+        info = "CASE WHEN (SELECT age FROM C) >= 2190 THEN 'Info' ELSE 'Medium' END"
     if r.id == "C82":
         info = "CASE WHEN " + " + ".join(f"(SELECT (count_if({_group(g)}) > 0)::INT FROM X)" for g in EVENT_GROUPS) + " >= 4 THEN 'Info' ELSE 'Medium' END"
     name = r.name.replace("'", "''")
@@ -158,9 +160,9 @@ def _restored(k, d):  # noqa: ANN001, ANN202
 
 def _tracked(k, d):  # noqa: ANN001, ANN202
     path = f"{shared_dir(k)}/meta-{uuid4().hex}"
-    cap.tracked(a.audit_events(k, d).where("EventType = 'PHI.Access'"), path, "Search", "patient", "treatment review")
+    cap.tracked(a.audit_events(k, d).where("EventType = 'PHI.Access'"), path, "PHIAccess", "type=PHI.Access", "HIPAA review", lambda rows: rows.write.parquet(f"{path}-rows"))
     return k.read.parquet(path)
 
 
 q("S6", _restored, "SELECT EventId, InsertedDate, EventType, Duration FROM E WHERE InsertedDate IS NOT NULL")
-q("G8", _tracked, "SELECT 'Search' AS query_type, 'patient' AS params, 'treatment review' AS purpose, count(*) AS n_rows, true AS sensitive FROM E WHERE EventType = 'PHI.Access'")
+q("G8", _tracked, "SELECT 'PHIAccess' AS query_type, 'type=PHI.Access' AS params, 'HIPAA review' AS purpose, count(*) AS n_rows, true AS is_compliance, true AS requires_justification, false AS is_sensitive FROM E WHERE EventType = 'PHI.Access'")

@@ -79,19 +79,35 @@ q("F6", lambda k, d: a.audit_integrity(k, d).select("EventId", t.chain_hmac(b"ke
   f"SELECT EventId, to_base64(unhex(sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || {CHAINED}))))) AS hmac FROM I")
 e("F7", lambda x: g.verified(x.select("EventId", t.event_hash(*EVENT, F.col("JsonData")).alias("expected_hash"), t.event_hash(*EVENT, F.when(F.col("id") % 250 == 3, F.concat("JsonData", F.lit(" "))).otherwise(F.col("JsonData"))).alias("hash"), F.lit("m").alias("expected_hmac"), F.when(F.col("id") % 300 == 4, "x").otherwise("m").alias("hmac"), F.lit("c").alias("expected_checksum"), F.when(F.col("id") % 350 == 5, None).otherwise("c").alias("checksum"))).where("failed IS NOT NULL").select("EventId", "failed"), "SELECT EventId, CASE WHEN id % 250 = 3 THEN 'hash' WHEN id % 300 = 4 THEN 'hmac' ELSE 'checksum' END AS failed FROM E WHERE id % 250 = 3 OR id % 300 = 4 OR id % 350 = 5")
 e("F8", lambda x: x.select("EventId", c.envelope_fingerprint(F.concat(F.lit('{"subjects":["b","a","b"],'), F.substr("JsonData", F.lit(2)))).alias("fingerprint")), """SELECT EventId, sha256('{"Action":"' || json_extract_string(JsonData, '$.Action') || '","UserName":"' || json_extract_string(JsonData, '$.UserName') || '","k":' || json_extract_string(JsonData, '$.k') || ',"subjects":["a","b"]}') AS fingerprint FROM E""")
-e("F10", lambda x: x.select("EventId", t.anonymize_ip(F.col("IpAddress")).alias("ip")), r"""SELECT EventId, CASE WHEN IpAddress IS NULL THEN NULL WHEN regexp_matches(IpAddress, '^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$') THEN regexp_extract(IpAddress, '^(\d+\.\d+)', 1) || '.XXX.XXX' WHEN len(string_split(IpAddress, ':')) > 2 THEN string_split(IpAddress, ':')[1] || ':' || string_split(IpAddress, ':')[2] || ':XXXX:XXXX:XXXX:XXXX:XXXX:XXXX' ELSE 'ANONYMIZED' END AS ip FROM E""")
+e("F10", lambda x: x.select("EventId", t.anonymize_ip(F.col("IpAddress")).alias("ip")), """SELECT EventId, CASE WHEN IpAddress IS NULL OR IpAddress = '' THEN NULL WHEN len(string_split(IpAddress, '.')) = 4 THEN string_split(IpAddress, '.')[1] || '.' || string_split(IpAddress, '.')[2] || '.XXX.XXX'
+  WHEN len(string_split(IpAddress, ':')) > 2 THEN string_split(IpAddress, ':')[1] || ':' || string_split(IpAddress, ':')[2] || ':XXXX:XXXX:XXXX' WHEN contains(IpAddress, ':') THEN 'XXXX:XXXX:XXXX:XXXX' ELSE 'ANONYMIZED' END AS ip FROM E""")
 e("F11", lambda x: x.select("EventId", c.anonymize_json("JsonData", F.lit("user7")).alias("json")), """SELECT EventId, '{"Action":"' || json_extract_string(JsonData, '$.Action') || '","UserName":"ANONYMIZED","k":' || json_extract_string(JsonData, '$.k') || '}' AS json FROM E""")
+# RE2 has no look-around: the numbers that a social security number may have are spelled out, and what stands around a phone number is kept
 SAFE = "text"
-for _pattern in t.SENSITIVE_PATTERNS:
-    SAFE = "regexp_replace(" + SAFE + ", '" + _pattern.replace("'", "''") + f"', '{t.SANITIZED}', 'g')"
+for _pattern, _kept in (
+    (r"""(?i)(server|data source|host|initial catalog|database|uid|pwd|password|user id|integrated security)\s*=\s*[^;"'\s]+""", "[SANITIZED]"),
+    (r"(?i)(bearer|token|api[_-]?key|authorization)\s*[:=\s]\s*[^\s]+", "[SANITIZED]"),
+    (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[SANITIZED]"),
+    (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "[SANITIZED]"),
+    (r"\b(00[1-9]|0[1-9][0-9]|[1-578][0-9][0-9]|6[0-57-9][0-9]|66[0-57-9])(0[1-9]|[1-9][0-9])(000[1-9]|00[1-9][0-9]|0[1-9][0-9]{2}|[1-9][0-9]{3})\b", "[SANITIZED]"),
+    (r"\b(4[0-9]{3}|5[1-5][0-9]{2}|3[47][0-9]{2}|6011|65[0-9]{2})[\s-]?[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{1,4}\b", "[SANITIZED]"),
+    (r"(^|[^0-9])(\+?1[-.\s]?)?\(?[2-9][0-9]{2}\)?[-.\s]\s?[2-9][0-9]{2}[-.\s][0-9]{4}($|[^0-9])", r"\1[SANITIZED]\3"),
+    (r"(?i)(key\s+value\s+is|values?\s*\()\s*\(?'?[^)]*'?\)", "[SANITIZED]"),
+    (r"(?i)insert\s+into\s+[^\s]+\s*(\([^)]*\)\s*)?values\s*\([^)]*\)", "[SANITIZED]"),
+    (r"(?i)(key|constraint|violation|duplicate|conflict)[^.]*\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "[SANITIZED]"),
+):
+    SAFE = "regexp_replace(" + SAFE + ", '" + _pattern.replace("'", "''") + f"', '{_kept}', 'g')"
 q("F13", lambda k, d: k.read.parquet(f"{d}/documents.parquet").select("doc_id", t.sanitize(F.col("text")).alias("text")), f"SELECT doc_id, CASE WHEN length(s) > 512 THEN left(s, 498) || '...[truncated]' ELSE s END AS text FROM (SELECT doc_id, {SAFE} AS s FROM documents)")
-e("F14", lambda x: x.select("EventId", F.explode(t.redact_fields(F.create_map(F.lit("action"), F.col("Action"), F.lit("UserName"), F.col("User"), F.lit("Note"), F.lit("n")), ("note",)))), """SELECT EventId, unnest(['action', 'UserName', 'Note']) AS key, unnest([Action, CASE WHEN "User" IS NOT NULL THEN '[REDACTED]' END, 'n']) AS value FROM E""")
-e("F15", lambda x: x.select("EventId", t.redact_key(F.col("EventId")).alias("id_key"), t.redact_key(F.col("EntityId")).alias("entity_key"), F.array_join(t.redact_names(F.array(F.lit("Total"), F.lit("UserPassword"), F.col("EntityType"))), ",").alias("names")), "SELECT EventId, EventId AS id_key, '[REDACTED]' AS entity_key, 'Total,[REDACTED_PROP],' || EntityType AS names FROM E")
+e("F14", lambda x: x.select("EventId", F.explode(t.redact_fields(F.create_map(F.lit("action"), F.col("Action"), F.lit("UserName"), F.col("User"), F.lit("Note"), F.lit("n"), F.lit("CorrelationId"), F.col("CorrelationId"), F.lit("machinename"), F.col("MachineName"), F.lit("EntityId"), F.col("EntityId")), ("note",)))), """SELECT EventId, unnest(['action', 'UserName', 'Note', 'CorrelationId', 'machinename', 'EntityId']) AS key, unnest([Action, CASE WHEN "User" IS NOT NULL THEN '[REDACTED]' END, 'n', CASE WHEN CorrelationId IS NOT NULL THEN '[REDACTED]' END, MachineName, '[REDACTED]']) AS value FROM E""")
+e("F15", lambda x: x.select("EventId", t.redact_key(F.col("id")).alias("number"), t.redact_key(F.col("EventId"), guid=True).alias("guid"), t.redact_key(F.col("EventId")).alias("text"), t.redact_snapshot(F.col("Action")).alias("old"), F.array_join(t.redact_names(F.array(F.lit("Total"), F.lit("mrn"), F.lit("UserPassword"), F.lit("PatientId"), F.col("EntityType"))), ",").alias("names")),
+  """SELECT EventId, id::VARCHAR AS number, EventId AS guid, '[REDACTED]' AS text, CASE WHEN Action IS NOT NULL THEN '{"_redacted":true}' END AS old, 'Total,[REDACTED_PROP],UserPassword,[REDACTED_PROP],' || EntityType AS names FROM E""")
 q("F16", lambda k, d: k.read.parquet(f"{d}/documents.parquet").select("doc_id", t.truncate(F.col("text"), 100, "...").alias("text")), "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END AS text FROM documents")
 e("F18", lambda x: x.select("EventId", t.read_event_json(F.when(F.col("id") % 100 == 9, "{bad").otherwise(F.when(F.col("id") % 2 == 0, F.replace("JsonData", F.lit("UserName"), F.lit("user_name"))).otherwise(F.col("JsonData")))).alias("j")).select("EventId", "j.action", "j.user_name", "j.k", "j.error"), """SELECT EventId, CASE WHEN id % 100 <> 9 THEN json_extract_string(JsonData, '$.Action') END AS action, CASE WHEN id % 100 <> 9 THEN json_extract_string(JsonData, '$.UserName') END AS user_name, CASE WHEN id % 100 <> 9 THEN json_extract_string(JsonData, '$.k')::BIGINT END AS k, CASE WHEN id % 100 = 9 THEN 'invalid JSON' END AS error FROM E""")
 q("F19", lambda k, d: a.security_events(k, d).select("Id", t.truncate(F.col("Message"), 10).alias("message"), t.guarded_details(F.col("Details")).alias("details")), """SELECT Id, left(Message, 10) AS message, CASE WHEN length(Details) > 4000 THEN '{"_truncated":true,"_originalLength":' || length(Details) || ',"_keyCount":2,"_keys":["n","pad"]}' ELSE Details END AS details FROM SE""")
 e("F20", lambda x: x.select("EventId", t.masked(F.col("User"), F.col("id") % 4 == 0, F.col("id") % 4 == 1).alias("shown")), """SELECT EventId, CASE WHEN "User" IS NULL THEN NULL WHEN id % 4 = 0 THEN '[ENCRYPTED]' WHEN id % 4 = 1 THEN '***' ELSE "User" END AS shown FROM E""")
-e("F21", lambda x: x.where(t.query_is_sensitive(F.col("EventType"), F.col("EntityType"), F.col("Action"))).select("EventId"), "SELECT EventId FROM E WHERE coalesce(regexp_matches(EventType, '(?i)(phi|patient|medical|ssn|financial|legal|investigation|breach)'), false) OR coalesce(regexp_matches(EntityType, '(?i)(phi|patient|medical|ssn|financial|legal|investigation|breach)'), false)")
+e("F21", lambda x: x.select("EventId", *(c.alias(n) for n, c in t.query_flags(F.replace("EventType", F.lit("."), F.lit("")), F.col("EventType"), F.col("RequestPath")).items())), """SELECT EventId, regexp_matches(lower(RequestPath), 'compliance|audit|regulatory|gdpr|hipaa|sox|iso') AS is_compliance,
+  coalesce(lower(replace(EventType, '.', '')) IN ('useractivity', 'phiaccess', 'sensitivedata', 'securityincident'), false) AS requires_justification,
+  coalesce(contains(lower(EventType), 'executive') OR contains(lower(EventType), 'security') OR contains(lower(EventType), 'breach') OR contains(lower(EventType), 'incident') OR contains(lower(EventType), 'violation'), false) AS is_sensitive FROM E""")
 e("F22", lambda x: x.select("EventId", t.governance_name(F.when(F.col("id") % 3 > 0, F.concat(F.lit('{"identity":"g'), F.col("id").cast("string"), F.lit('"}')))).alias("identity")), "SELECT EventId, CASE WHEN id % 3 > 0 THEN 'g' || id END AS identity FROM E")
 e("F24", lambda x: x.select("EventId", t.composite_key(F.col("id"), F.col("EntityId")).alias("key")), """SELECT EventId, '["' || id || '","' || EntityId || '"]' AS key FROM E""")
 q("J9", lambda k, d: table_sizes(k, d))

@@ -85,9 +85,8 @@ q("A28", lambda k, d: r.dead_letter_stats(a.dead_letters(k, d)), """, T AS (SELE
 q("A29", lambda k, d: r.queue_depth(a.outbox(k, d), a.NOW), f"SELECT count_if(Status = 0) AS pending, count_if(Status = 1) AS in_flight, greatest(0, epoch(TIMESTAMP '{a.NOW}')::BIGINT - floor(epoch(min(CreatedAt) FILTER (WHERE Status = 0)))::BIGINT) AS oldest_pending_s FROM O")
 e("A33", lambda x: r.integrity_health(x, a.NOW), f"""SELECT count_if(IntegrityStatus = 3) AS failed, count_if(IntegrityStatus = 1) AS pending, count_if(IntegrityStatus = 1 AND InsertedDate < TIMESTAMP '{a.NOW}' - INTERVAL 5 MINUTE) AS stale,
   CASE WHEN count_if(IntegrityStatus = 3) > 0 THEN 'Unhealthy' ELSE 'Healthy' END AS health FROM E""")
-MAPPED = """CASE WHEN lower(list_last(string_split(coalesce(EventType, ''), '.'))) IN ('create','created','insert','add') THEN 'Created' WHEN lower(list_last(string_split(coalesce(EventType, ''), '.'))) IN ('update','updated','modify') THEN 'Updated'
-  WHEN lower(list_last(string_split(coalesce(EventType, ''), '.'))) IN ('delete','deleted','remove') THEN 'Deleted' WHEN lower(list_last(string_split(coalesce(EventType, ''), '.'))) IN ('view','read') THEN 'Viewed'
-  WHEN lower(list_last(string_split(coalesce(EventType, ''), '.'))) = 'export' THEN 'Exported' ELSE 'Unknown' END"""
+MAPPED = """CASE lower(list_last(string_split(coalesce(EventType, ''), '.'))) WHEN 'created' THEN 'Created' WHEN 'insert' THEN 'Created' WHEN 'updated' THEN 'Updated' WHEN 'update' THEN 'Updated' WHEN 'modified' THEN 'Updated'
+  WHEN 'deleted' THEN 'Deleted' WHEN 'delete' THEN 'Deleted' WHEN 'removed' THEN 'Deleted' WHEN 'viewed' THEN 'Viewed' WHEN 'read' THEN 'Viewed' WHEN 'accessed' THEN 'Viewed' WHEN 'exported' THEN 'Exported' WHEN 'imported' THEN 'Imported' ELSE 'Unknown' END"""
 e("A30", lambda x: r.grouped_trail(s.newest(x, *s.by(EntityType="Card"), limit=1000)), f"SELECT {MAPPED} AS action, count(*) AS n, string_agg(EventId, ',' ORDER BY EventId DESC) AS ids FROM (SELECT * FROM E WHERE EntityType = 'Card' ORDER BY InsertedDate DESC NULLS LAST, EventId DESC LIMIT 1000) GROUP BY 1")
 e("A31", lambda x: x.groupBy("EntityType").agg(F.count("*").alias("total"), F.count_if(F.col("IntegrityStatus") == 3).alias("failed")).select("EntityType", r.pass_percentage(F.col("total"), F.col("failed")).alias("passed")), "SELECT EntityType, round_even((count(*) - count_if(IntegrityStatus = 3)) * 100.0 / count(*), 2)::DOUBLE AS passed FROM E GROUP BY 1")
 e("F17", lambda x: x.select("EventId", r.mapped_action(F.col("EventType")).alias("action")), f"SELECT EventId, {MAPPED} AS action FROM E")
