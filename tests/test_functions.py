@@ -79,11 +79,11 @@ def test_hashes_equal_hashlib(spark):
     ("dirty", "gone"),
     [
         ("Server=db1;Password=hunter2;", "hunter2"),
-        ("Authorization: Bearer abc.def-123", "abc.def"),
+        ("sent with Bearer abc.def-123", "abc.def"),
         ("mail to jane@example.org now", "jane@"),
         ("ssn 123-45-6789", "123-45"),
         ("card 4111 1111 1111 1111", "4111"),
-        ("call (555) 123-4567", "555"),
+        ("call (555) 234-5678", "555"),
         ("api_key=sk123456", "sk123456"),
         ("INSERT INTO t VALUES (1, 'x')", "'x'"),
         ("ssn 123456789 there", "123456789"),

@@ -38,3 +38,13 @@ def test_batch_is_numbered_over_partitions(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted((int(r.EventId), r.SequenceNumber, r.PreviousEventHash) for r in got) == [(k, 101 + k, f"h{k - 1}" if k else "last") for k in range(LINKS)]
     assert none == []
+
+
+def test_sequence_summary_by_bitmaps_and_by_numbers(spark):
+    for numbers in ([], [5], [-(2**63), -(2**63) + 1, -(2**63) + 2], [2**63 - 2, 2**63 - 1], list(range(-40_000, 40_000)), [*range(70_000), 32_768], [*range(32_768), *range(32_769, 65_536)], [-(2**63), 2**63 - 1], [1, 10**15], [None, 1, 2]):
+        found = integrity.sequence_summary(spark.createDataFrame([(n,) for n in numbers], "SequenceNumber long").repartition(3)).first()
+        given = [n for n in numbers if n is not None]
+        want = (len(given), len(set(given)), min(given, default=None), max(given, default=None), not given or len(given) == len(set(given)) == max(given) - min(given) + 1)
+        assert (found.n or 0, found.n_distinct or 0, found.first, found.last, found.valid) == want
+    plan = integrity.sequence_summary(spark.range(1000).withColumnRenamed("id", "SequenceNumber"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan and "count(distinct" not in plan.lower()

@@ -77,7 +77,13 @@ _pad = lambda n: "unhex('" + bytes(x ^ n for x in b"key".ljust(64, b"\0")).hex()
 CHAINED = " || ".join(map(_part, ("EventHash", "coalesce(PreviousEventHash, '')", "SequenceNumber::VARCHAR", "coalesce(strftime(TrustedTimestamp, '%Y-%m-%dT%H:%M:%S.%f') || '0Z', '')")))
 q("F6", lambda k, d: a.audit_integrity(k, d).select("EventId", t.chain_hmac(b"key", F.col("EventHash"), F.col("PreviousEventHash"), F.col("SequenceNumber").cast("string"), t.iso_time(F.col("TrustedTimestamp"))).alias("hmac")),
   f"SELECT EventId, to_base64(unhex(sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || {CHAINED}))))) AS hmac FROM I")
-e("F7", lambda x: g.verified(x.select("EventId", t.event_hash(*EVENT, F.col("JsonData")).alias("expected_hash"), t.event_hash(*EVENT, F.when(F.col("id") % 250 == 3, F.concat("JsonData", F.lit(" "))).otherwise(F.col("JsonData"))).alias("hash"), F.lit("m").alias("expected_hmac"), F.when(F.col("id") % 300 == 4, "x").otherwise("m").alias("hmac"), F.lit("c").alias("expected_checksum"), F.when(F.col("id") % 350 == 5, None).otherwise("c").alias("checksum"))).where("failed IS NOT NULL").select("EventId", "failed"), "SELECT EventId, CASE WHEN id % 250 = 3 THEN 'hash' WHEN id % 300 = 4 THEN 'hmac' ELSE 'checksum' END AS failed FROM E WHERE id % 250 = 3 OR id % 300 = 4 OR id % 350 = 5")
+q("F7", lambda k, d: g.verify_events(a.sealed_links(k, d), a.tampered_events(k, d), a.LINK_KEY).where("failed IS NOT NULL").select("EventId", "failed"),
+  """SELECT EventId, CASE WHEN Duration IN (11, 12) THEN 'hash' WHEN Duration = 14 THEN 'checksum' ELSE 'hmac' END AS failed FROM I JOIN E USING (EventId) WHERE Duration IN (11, 12, 13) OR (Duration = 14 AND NOT ends_with(UserId, 'a00000000000')) OR (Duration = 17 AND PreviousEventHash IS NOT NULL)""")
+q("W3_events", lambda k, d: g.verify_chain(a.sealed_links(k, d), a.tampered_events(k, d), a.LINK_KEY), """, S AS (SELECT I.EventId, SequenceNumber, EventHash, Duration, UserId, CASE WHEN Duration = 17 AND PreviousEventHash IS NOT NULL THEN 'other' ELSE PreviousEventHash END AS previous FROM I JOIN E USING (EventId)),
+  X AS (SELECT *, lag(EventHash) OVER (ORDER BY SequenceNumber) AS hash_before, lag(SequenceNumber) OVER (ORDER BY SequenceNumber) AS number_before FROM S)
+  SELECT EventId, SequenceNumber, 'ChainBroken' AS finding FROM X WHERE previous <> hash_before OR (number_before IS NOT NULL AND previous IS NULL)
+  UNION ALL SELECT EventId, SequenceNumber, 'EventMissing' FROM X WHERE Duration = 18
+  UNION ALL SELECT EventId, SequenceNumber, 'IntegrityFailed' FROM X WHERE Duration IN (11, 12, 13) OR (Duration = 14 AND NOT ends_with(UserId, 'a00000000000')) OR (Duration = 17 AND previous IS NOT NULL)""")
 e("F8", lambda x: x.select("EventId", c.envelope_fingerprint(F.concat(F.lit('{"subjects":["b","a","b"],'), F.substr("JsonData", F.lit(2)))).alias("fingerprint")), """SELECT EventId, sha256('{"Action":"' || json_extract_string(JsonData, '$.Action') || '","UserName":"' || json_extract_string(JsonData, '$.UserName') || '","k":' || json_extract_string(JsonData, '$.k') || ',"subjects":["a","b"]}') AS fingerprint FROM E""")
 e("F10", lambda x: x.select("EventId", t.anonymize_ip(F.col("IpAddress")).alias("ip")), """SELECT EventId, CASE WHEN IpAddress IS NULL OR IpAddress = '' THEN NULL WHEN len(string_split(IpAddress, '.')) = 4 THEN string_split(IpAddress, '.')[1] || '.' || string_split(IpAddress, '.')[2] || '.XXX.XXX'
   WHEN len(string_split(IpAddress, ':')) > 2 THEN string_split(IpAddress, ':')[1] || ':' || string_split(IpAddress, ':')[2] || ':XXXX:XXXX:XXXX' WHEN contains(IpAddress, ':') THEN 'XXXX:XXXX:XXXX:XXXX' ELSE 'ANONYMIZED' END AS ip FROM E""")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.functions import canonical, text
+
 #: Event types that the views deal out by event_id; they carry the words that compliance rules look for.
 EVENT_TYPES = (
     "User.Login User.Logout User.LoginFailed Data.Update Data.Read Data.Export PHI.Access User.ConsentGranted Security.Alert Patient.RecordView "
@@ -83,6 +85,34 @@ def audit_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Key of the test tables' links.
+LINK_KEY = b"trailmark-test-key"
+
+
+def sealed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links with hash, HMAC and checksum of their events. Links of events of duration 17 name another predecessor than they were sealed with; those of 13 carry another HMAC, those of 16 none."""
+    sealed = audit_events(spark, sf_dir).select("EventId", "Duration", text.event_hash(F.col("EventId"), F.col("EventType"), F.col("User"), F.col("InsertedDate"), canonical.canonical_json("JsonData")).alias("EventHash"), text.checksum(F.col("EventId"), F.col("EventType"), F.col("UserId")).alias("Checksum"))
+    links = audit_integrity(spark, sf_dir).withColumnRenamed("EventHash", "token")
+    names = links.select(F.col("token").alias("PreviousEventHash"), F.col("EventId").alias("before"))
+    hashes = sealed.select(F.col("EventId").alias("before"), F.col("EventHash").alias("hash_before"))
+    rows = links.join(sealed, "EventId").join(names, "PreviousEventHash", "left").join(hashes, "before", "left")
+    previous = F.coalesce("hash_before", "PreviousEventHash")
+    hmac = text.chain_hmac(LINK_KEY, F.col("EventHash"), F.col("Previous"), F.col("SequenceNumber").cast("string"), text.iso_time(F.col("TrustedTimestamp")))
+    rows = rows.withColumn("Previous", previous).withColumn("hmac", hmac)
+    return rows.select(
+        "EventId", "SequenceNumber", "TrustedTimestamp", "EventHash", "Checksum",
+        F.when((F.col("Duration") == 17) & F.col("Previous").isNotNull(), "other").otherwise(F.col("Previous")).alias("PreviousEventHash"),
+        F.when(F.col("Duration") == 13, F.base64(F.encode("EventId", "UTF-8"))).when(F.col("Duration") != 16, F.col("hmac")).alias("HmacSignature"),
+    )
+
+
+def tampered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events after someone was at them, by duration: other JSON (11), broken JSON (12), another user id (14), white space that means nothing (15), gone (18)."""
+    e, d = audit_events(spark, sf_dir), F.col("Duration")
+    json = F.when(d == 11, F.replace("JsonData", F.lit('"k":'), F.lit('"k":9'))).when(d == 12, F.concat(F.lit("{"), "JsonData")).when(d == 15, F.replace("JsonData", F.lit(":"), F.lit(" : "))).otherwise(F.col("JsonData"))
+    return e.where((d != 18) | d.isNull()).withColumns({"JsonData": json, "UserId": F.when(d == 14, guid(F.lit(0), "a")).otherwise(F.col("UserId"))})
+
+
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = _read(spark, sf_dir, "events").where("event_type = 'error'"), F.col("event_id")
     return e.select(
