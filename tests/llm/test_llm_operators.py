@@ -4,6 +4,7 @@ import base64
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -37,9 +38,9 @@ CLASHING = ("size", "shard", "slot", "count", "fp", "oid", "rid", "a", "b", "hi"
 
 
 @pytest.fixture(scope="module")
-def edge(spark):
+def edge(spark, tmp_path_factory):
     df = spark.createDataFrame(EDGE, COLUMNS)
-    df.write.mode("overwrite").parquet(path := "/tmp/trailmark-edge.parquet")
+    df.write.parquet(path := str(tmp_path_factory.mktemp("edge") / "t"))
     return spark.read.parquet(path).withColumns({c: F.lit("clash") for c in CLASHING})
 
 
@@ -391,8 +392,9 @@ def test_partner_decides_plain_lines_outside_an_article(spark):
     text = "Title {0}\nLead {0}\nBody {0}"
     found = _texts(spark, *(page.format(k) for k in (0, 1, 2, 2, 4)))
     assert found == {k: text.format(min(k, 2) if k < 4 else k) for k in range(5)}
-    assert _texts(spark, page.format(7)) == {0: "Body 7"}  # no partner: the marked article alone
-    assert _texts(spark, page.format(7), page.format(7)) == {0: "Body 7", 1: "Body 7"}
+    alone = "Site\n" + text.format(7) + "\nContact"  # no partner, so nobody shares a line
+    assert _texts(spark, page.format(7)) == {0: alone}
+    assert _texts(spark, page.format(7), page.format(7)) == {0: alone, 1: alone}
 
 
 def test_long_shared_boilerplate_is_deleted(spark):
@@ -402,21 +404,56 @@ def test_long_shared_boilerplate_is_deleted(spark):
     assert _texts(spark, *(site.format(f"Short {k}") for k in range(2))) == {k: f"Short {k}" for k in range(2)}
 
 
-def test_copies_are_told_from_siblings_by_the_other_neighbour():
-    def goes(own, partner, other, chrome=()):
-        return [k for k, gone in zip(own, pages.shared_lines(own, [0 if k in chrome else 10 for k in own], partner, other, False), strict=True) if gone]
+def test_copies_are_told_by_hash():
+    def goes(own, partner, chrome=(), marked=False):
+        return [k for k, gone in zip(own, pages.shared_lines(own, [0 if k in chrome else 10 for k in own], partner, marked), strict=True) if gone]
 
-    assert goes([1, 5, 6, 7, 2], [1, 5, 6, 7, 2], [1, 8, 9, 2]) == [1, 2]  # a copy beside a sibling
-    assert goes([1, 5, 6, 7, 2], [1, 5, 6, 77, 2], [1, 8, 9, 2]) == [1, 2]  # a copy with an edit
-    assert goes([1, 5, 6], [1, 5, 6], [1, 5, 6]) == goes([1, 5, 6], [1, 5, 6], None) == []
-    assert goes([1, 3, 5, 2], [1, 3, 8, 2], None) == [1, 3, 2]
-    assert goes([1, 3, 4, 5, 6], [1, 3, 4, 5, 6], None, chrome=(1, 3, 4)) == []
+    assert goes([1, 5, 6, 7, 2], [1, 8, 9, 2]) == [1, 2] and goes([1, 5], None) == []
+    assert goes([1, 5, 6], [1, 5, 6]) == [] and goes([1, 5, 6], [1, 5, 6], marked=True) == [1, 5, 6]
+    assert goes([1, 3, 4, 5, 6], [1, 3, 4, 5, 6], chrome=(1, 3, 4)) == [1, 3, 4]
+    sibling = {"path": "/n/1", "hashes": [1, 8], "article": 8}
+    copy = {"path": "/n/2", "hashes": [1, 5], "article": 5}
+    assert pages._partner("/n/22", 5, sibling, copy) == [1, 8] and pages._partner("/n/22", 5, None, copy) is None and pages._partner("/n/22", 6, sibling, copy) == [1, 5]
+
+
+def test_differencing_takes_lines_of_given_pages(spark, sf_dir, monkeypatch):
+    """Lines that go as a partner shares them, on the given pages (few: most chrome there is of each page's own); without differencing other texts come out."""
+    rows = QUERIES["op9_main_text"](spark, sf_dir).collect()
+    assert sum(r.n_shared for r in rows) > 0 < sum(r.n_unshared for r in rows)
+    site = "<div>Site</div><p>{0}</p><div>Contact</div>"
+    assert _texts(spark, *(site.format(f"s{k}") for k in range(3))) == {k: f"s{k}" for k in range(3)}
+    monkeypatch.setattr(pages, "_verdicts", lambda p: p.select("rid", F.array().cast("array<boolean>").alias("shared")))
+    assert _texts(spark, *(site.format(f"s{k}") for k in range(3))) == {k: f"Site\ns{k}\nContact" for k in range(3)}
+
+
+MB = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a "' * (MB // 4), '<a "' * (MB // 4) + ">", "<a href='x\">" * (MB // 12), "<a b='" * (MB // 6), "<!--" * (MB // 4), "<script>" * (MB // 8), "<" * MB, "</div " * (MB // 6), "<div>" * (MB // 5), "<div>" * (MB // 10) + "</p></div>" * (MB // 10), "<b><i>" * (MB // 12) + "</u>" * (MB // 8), "<p>a<p>b" * (MB // 8), "&amp" * (MB // 4), " " * MB],
+    ids=range(14),
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    pages.lines(page)
+    assert time.process_time() - began < 4
+
+
+def test_repetitive_pages_are_aligned_in_time():
+    rng = np.random.default_rng(2)
+    began = time.process_time()
+    for a, b in (([1, 2] * 40_000, [2, 1, 1] * 30_000), ([5] * 80_000, [5, 6] * 40_000), (rng.integers(0, 9, 80_000).tolist(), rng.integers(0, 9, 80_000).tolist()), (list(range(80_000)), list(range(80_000, 0, -1)))):
+        chain = sorted(pages._common(a, b))
+        rest = iter(b)
+        assert all(any(x == y for y in rest) for x in (a[k] for k in chain))  # it is a common subsequence
+    assert time.process_time() - began < 8
 
 
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        ("<article><p>a<p>b<script>x('</p>')</script></article><p>c", "a\nb"),
+        ("<article><p>a<p>b<script>x('</p>')</script></article><p>c", "a\nb\nc"),
         ("<article><header><h1>T</h1></header><p class='ad'>no</p><p>yes</article>", "T\nyes"),
         ("<main><form><p>f</p></form><ul><li>i<li>j</ul></main><footer>z", "i\nj"),
         ("<article>x<!-- <p>no</p> -->y<style>p{}</style></article>", "xy"),
