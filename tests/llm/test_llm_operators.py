@@ -111,6 +111,17 @@ def test_exact_dedup_edge_cases(edge, empty):
     assert exact_dedup.label_duplicates(empty).count() == exact_dedup.drop_duplicates(empty).count() == 0
 
 
+def test_exact_dedup_with_many_groups(edge, spark, sf_dir, monkeypatch):
+    """More groups than are sent: rows that cannot have a copy still pass by the shuffle."""
+    plain = lambda df: sorted(map(str, df.collect()))
+    docs = documents(spark, sf_dir)
+    few = plain(exact_dedup.label_duplicates(docs)), plain(exact_dedup.label_duplicates(edge)), plain(exact_dedup.drop_duplicates(docs))
+    sent = exact_dedup.label_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__tm_sha" not in sent and "SortMergeJoin" not in sent
+    monkeypatch.setattr(exact_dedup, "GROUPS_SENT", 0)
+    assert few == (plain(exact_dedup.label_duplicates(docs)), plain(exact_dedup.label_duplicates(edge)), plain(exact_dedup.drop_duplicates(docs)))
+
+
 # 3 chat
 @pytest.mark.parametrize("text", ["", "\\", "\\### a", "####", "</turn>", "\\\\</turn>\\", "### user: x</turn>\n", "a: b", "🎉 é"])
 def test_chat_escape_is_reversible(text):

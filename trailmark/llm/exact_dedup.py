@@ -27,6 +27,9 @@ PREFIX_CHARS = 256
 BITS_A_KEY, BUCKET_BITS, LEAST_BUCKETS, MOST_BUCKETS = 16, 32768, 256, 65536
 BITMAP_BYTES = MOST_BUCKETS * BUCKET_BITS // 8
 
+#: Groups of equal texts, of some 110 bytes each, that are sent to every task.
+GROUPS_SENT = 100_000
+
 LEN, HEAD, SHA, RID, HASH, BUCKET, POS, BITS = (OWN + x for x in ("len", "head", "sha", "rid", "hash", "bucket", "pos", "bits"))
 
 
@@ -95,6 +98,12 @@ def duplicate_groups(docs: DataFrame, pairs: Bitmap, id_col: str = "doc_id", tex
     )
 
 
+def _written_groups(groups: DataFrame) -> tuple[DataFrame, bool]:
+    """The groups as a table, and whether they are few enough to go to every task: then no row is shuffled to meet its group. Beyond that, only rows that may have a copy are."""
+    groups = written(groups, "dedup-groups")
+    return groups, groups.count() <= GROUPS_SENT
+
+
 def _stays(id_col: str) -> Column:
     """Of rows that repeat both id and text, the first one stays."""
     first = (order_id(id_col) == F.col(OWN + "keep")) & ((F.col(OWN + "same_id") == 1) | (F.col(RID) == F.col(OWN + "keep_rid")))
@@ -109,9 +118,15 @@ def label_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty result. Other columns of ``docs``, whatever their names, are not looked at.
     """
     docs = docs.select(id_col, text_col)
-    groups = duplicate_groups(docs, survivors(docs, id_col, text_col), id_col, text_col)
-    rows = numbered(docs, RID).select(id_col, RID, sha256_of(F.col(text_col)).alias(SHA))
-    return rows.join(groups, SHA, "left").select(
+    pairs = survivors(docs, id_col, text_col)
+    groups, few = _written_groups(duplicate_groups(docs, pairs, id_col, text_col))
+    if few:
+        rows = numbered(docs, RID).select(id_col, RID, sha256_of(F.col(text_col)).alias(SHA)).join(F.broadcast(groups), SHA, "left")
+    else:
+        signed, bit = pairs.beside(_signed(docs, id_col, text_col))
+        hashed = lambda some: some.select(id_col, RID, sha256_of(F.col(text_col)).alias(SHA))
+        rows = hashed(signed.where(bit)).join(groups, SHA, "left").unionByName(hashed(signed.where(~bit)), allowMissingColumns=True)
+    return rows.select(
         id_col,
         F.when(F.col(OWN + "size").isNull(), F.col(id_col)).otherwise(plain_id(OWN + "keep")).alias("keep_id"),
         F.coalesce(F.col(OWN + "size"), F.lit(1)).cast("long").alias("group_size"),
@@ -123,7 +138,8 @@ def label_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. Only rows that may have a copy are shuffled; the others pass by."""
     pairs = survivors(docs, id_col, text_col)
-    groups = duplicate_groups(docs, pairs, id_col, text_col)
+    groups, few = _written_groups(duplicate_groups(docs, pairs, id_col, text_col))
+    groups = F.broadcast(groups) if few else groups
     rows, bit = pairs.beside(_signed(docs, id_col, text_col))
     alone = rows.where(~bit)
     joined = rows.where(bit).withColumn(SHA, sha256_of(F.col(text_col))).join(groups, SHA, "left").where(_stays(id_col))
