@@ -210,6 +210,21 @@ def test_bpe_edge_cases(edge, empty):
     assert edge.select(bpe.checked(F.col("text")).alias("x")).where("NOT x.round_trip").count() == 0
 
 
+def test_split_tokens_are_told_by_offsets(spark):
+    texts = ["", None, "plain text", "日本語 текст émigré 🎉🎉 end", "é" * 50, "🎉", "a🎉b"]
+    rows = bpe.round_trip(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        ids, data = bpe.encode_text(text), text.encode()
+        ends = np.cumsum([len(bpe.decode_bytes([k])) for k in ids]).tolist()
+        spans = list(zip([0, *ends], ends))
+        whole = lambda k: k == len(data) or data[k] & 0xC0 != 0x80
+        assert r.n_split == sum(not (whole(a) and whole(b)) for a, b in spans)
+        offsets = bpe.token_offsets(text, ids)
+        assert all(text.encode()[a:b] in text[x:y].encode() for (a, b), (x, y) in zip(spans, offsets, strict=True))
+    assert sum(r.n_split for r in rows) > 0
+
+
 # 6 licenses
 def _contains(text, template):
     words = [w for w in re.findall(r"[^\W_]+", text.lower())]

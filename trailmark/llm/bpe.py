@@ -172,17 +172,29 @@ def encode_documents(docs: DataFrame, text_col: str = "text", vocabulary: str =
     return docs.withColumn("input_ids", encoded(F.col(text_col), vocabulary))
 
 
+def split_tokens(data: bytes, ends: np.ndarray) -> int:
+    """How many tokens, of those that end at these places of a text's bytes, begin or end inside a character."""
+    inside = np.append(np.frombuffer(data, np.uint8)[ends[:-1]] & 0xC0 == 0x80, False)
+    return int((inside | np.concatenate([[False], inside[:-1]])).sum())
+
+
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per document: id, n_tokens, ids_sha256 (of the decimal ids, one space between), decoded_sha256 (of the decoded bytes). The ids are encoded, decoded and digested in one pass and do not leave the task."""
+    """One row per document: id, n_tokens, ids_sha256 (of the decimal ids, one space between), decoded_sha256 (of the decoded bytes), n_split (tokens that hold a part of a character only, told by their offsets). The ids are encoded, decoded and digested in one pass and do not leave the task."""
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         _, pieces, table = _loaded(vocabulary)
-        decimal = [str(k).encode() for k in range(len(table))]
+        decimal, sizes = [str(k).encode() for k in range(len(table))], np.array([len(x) for x in table])
         sha = lambda data: hashlib.sha256(data).hexdigest()
+
+        def row(ids: bytes) -> tuple[int, str, str, int]:
+            data = _joined(table, ids)
+            split = 0 if data.isascii() else split_tokens(data, np.cumsum(sizes[np.frombuffer(ids, np.int32)]))
+            return len(ids) // 4, sha(_joined(decimal, ids, b" ")), sha(data), split
+
         for batch in batches:
-            rows = [(len(r) // 4, sha(_joined(decimal, r, b" ")), sha(_joined(table, r))) for texts in _some(x.as_py() for x in batch) for r in pieces.encode(texts)]
-            count, ids, data = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.StructArray.from_arrays([pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = [row(r) for texts in _some(x.as_py() for x in batch) for r in pieces.encode(texts)]
+            count, ids, data, split = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.StructArray.from_arrays([pa.array(count, pa.int64()), pa.array(ids, pa.string()), pa.array(data, pa.string()), pa.array(split, pa.int64())], ["n_tokens", "ids_sha256", "decoded_sha256", "n_split"])
 
     return docs.select(id_col, digest(F.col(text_col)).alias("d")).select(id_col, "d.*")
