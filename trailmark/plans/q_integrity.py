@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailmark.functions import canonical as c
 from trailmark.functions import crypto
 from trailmark.functions import text as t
+from trailmark.functions.event_json import read_event
 from trailmark.operators import integrity as g
 from trailmark.operators import search as s
 from trailmark.plans import q_search
@@ -109,6 +110,22 @@ e("F15", lambda x: x.select("EventId", t.redact_key(F.col("id")).alias("number")
   """SELECT EventId, id::VARCHAR AS number, EventId AS guid, '[REDACTED]' AS text, CASE WHEN Action IS NOT NULL THEN '{"_redacted":true}' END AS old, 'Total,[REDACTED_PROP],UserPassword,[REDACTED_PROP],' || EntityType AS names FROM E""")
 q("F16", lambda k, d: k.read.parquet(f"{d}/documents.parquet").select("doc_id", t.truncate(F.col("text"), 100, "...").alias("text")), "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 97) || '...' ELSE text END AS text FROM documents")
 e("F18", lambda x: x.select("EventId", t.read_event_json(F.when(F.col("id") % 100 == 9, "{bad").otherwise(F.when(F.col("id") % 2 == 0, F.replace("JsonData", F.lit("UserName"), F.lit("user_name"))).otherwise(F.col("JsonData")))).alias("j")).select("EventId", "j.action", "j.user_name", "j.k", "j.error"), """SELECT EventId, CASE WHEN id % 100 <> 9 THEN json_extract_string(JsonData, '$.Action') END AS action, CASE WHEN id % 100 <> 9 THEN json_extract_string(JsonData, '$.UserName') END AS user_name, CASE WHEN id % 100 <> 9 THEN json_extract_string(JsonData, '$.k')::BIGINT END AS k, CASE WHEN id % 100 = 9 THEN 'invalid JSON' END AS error FROM E""")
+
+
+def _event_texts(x):  # noqa: ANN001, ANN202
+    """JSON of events: names in the other spelling for cards, long durations as texts, broken where there is no machine."""
+    name = lambda a, b: F.when(F.col("EntityType") == "Card", b).otherwise(a)
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    pair = lambda a, b, value: F.concat(F.lit('"'), name(a, b), F.lit('":'), value)
+    duration = F.col("Duration").cast("string")
+    environment = F.concat(F.lit("{"), pair("MachineName", "machine_name", quoted(F.col("MachineName"))), F.lit("}"))
+    custom = F.concat(F.lit("{"), pair("EntityType", "entity_type", quoted(F.col("EntityType"))), F.lit(',"n":'), duration, F.lit("}"))
+    parts = (pair("EventId", "event_id", quoted(F.col("EventId"))), pair("EventType", "event_type", quoted(F.col("EventType"))), pair("Duration", "duration", F.when(F.col("Duration") > 90, quoted(duration)).otherwise(duration)), pair("Environment", "environment", environment), pair("CustomFields", "custom_fields", custom))
+    return F.concat(F.when(F.col("MachineName").isNull(), "{{").otherwise("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+e("F18_event", lambda x: x.select("EventId", read_event(_event_texts(x)).alias("e")).select("EventId", "e.event_id", "e.event_type", "e.duration", "e.error_message", F.col("e.environment.machine_name").alias("machine"), F.col("e.entity_changes.entity_type").alias("entity_type"), F.element_at("e.custom_fields", "n").alias("n")), """SELECT EventId, CASE WHEN MachineName IS NOT NULL THEN EventId END AS event_id, CASE WHEN MachineName IS NOT NULL THEN EventType END AS event_type,
+  CASE WHEN MachineName IS NOT NULL AND Duration <= 90 THEN Duration END AS duration, CASE WHEN MachineName IS NULL THEN 'Failed to parse audit data: Malformed JSON' END AS error_message, MachineName AS machine, CASE WHEN MachineName IS NOT NULL THEN EntityType END AS entity_type, CASE WHEN MachineName IS NOT NULL THEN Duration::VARCHAR END AS n FROM E""")
 q("F19", lambda k, d: a.security_events(k, d).select("Id", t.truncate(F.col("Message"), 10).alias("message"), t.guarded_details(F.col("Details")).alias("details")), """SELECT Id, left(Message, 10) AS message, CASE WHEN length(Details) > 4000 THEN '{"_truncated":true,"_originalLength":' || length(Details) || ',"_keyCount":2,"_keys":["n","pad"]}' ELSE Details END AS details FROM SE""")
 e("F20", lambda x: x.select("EventId", t.masked(F.col("User"), F.col("id") % 4 == 0, F.col("id") % 4 == 1).alias("shown")), """SELECT EventId, CASE WHEN "User" IS NULL THEN NULL WHEN id % 4 = 0 THEN '[ENCRYPTED]' WHEN id % 4 = 1 THEN '***' ELSE "User" END AS shown FROM E""")
 e("F21", lambda x: x.select("EventId", *(c.alias(n) for n, c in t.query_flags(F.replace("EventType", F.lit("."), F.lit("")), F.col("EventType"), F.col("RequestPath")).items())), """SELECT EventId, regexp_matches(lower(RequestPath), 'compliance|audit|regulatory|gdpr|hipaa|sox|iso') AS is_compliance,
