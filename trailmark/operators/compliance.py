@@ -165,3 +165,11 @@ def consented(requests: DataFrame, consents: DataFrame, now: str) -> DataFrame:
     """Requests (user, entity, scope) with a consent that has not expired."""
     live = consents.where(F.col("expires").isNull() | (F.col("expires") > F.lit(now).cast("timestamp")))
     return requests.join(live, ["user", "entity", "scope"], "left_semi")
+
+
+def marked_fields(df: DataFrame, entity: str) -> DataFrame:
+    """A row for each column whose metadata name a marker: entity, field, marker, and how many rows hold a value."""
+    marks = [(f.name, f.metadata["marker"]) for f in df.schema.fields if "marker" in f.metadata]
+    counts = df.agg(*(F.count(F.col(name)).alias(name) for name, _ in marks))
+    rows = F.array(*(F.struct(F.lit(entity).alias("entity"), F.lit(name).alias("field"), F.lit(marker).alias("marker"), F.col(name).alias("n")) for name, marker in marks))
+    return counts.select(F.explode(rows).alias("r")).select("r.*")

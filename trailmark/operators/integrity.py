@@ -174,8 +174,10 @@ def tamper_report(links: DataFrame, events: DataFrame) -> DataFrame:
     return gap.unionByName(found)
 
 
-def reconciliation(events: DataFrame, links: DataFrame, now: str, limit: int = 100, minutes: int = 5) -> DataFrame:
-    """Pending events older than some minutes, oldest first: Reconciled if their link exists, else Failed."""
-    due = events.where((F.col("IntegrityStatus") == 1) & (F.col("InsertedDate") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(minutes)} MINUTES")))
-    head = ordered(due, "InsertedDate", "EventId").limit(limit)
-    return head.join(links.select("EventId", F.lit(True).alias("linked")), "EventId", "left").select("EventId", F.when(F.col("linked"), "Reconciled").otherwise("Failed").alias("outcome"))
+def reconciliation(items: DataFrame, links: DataFrame, now: str, limit: int = 100, minutes: int = 5, most_attempts: int = 5) -> DataFrame:
+    """Pending work items (EventId, Status, AttemptCount, CreatedAt) older than some minutes, oldest first, and what becomes of each: Failed for good, with an alert, after the last attempt; Reconciled if its link exists; else the link is Created anew."""
+    due = items.where((F.col("Status") == 1) & (F.col("CreatedAt") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(minutes)} MINUTES")))
+    head = ordered(due, "CreatedAt", "EventId").limit(limit)
+    tried = F.col("AttemptCount") >= most_attempts
+    outcome = F.when(tried, "Failed").when(F.col("linked"), "Reconciled").otherwise("Created")
+    return head.join(links.select("EventId", F.lit(True).alias("linked")), "EventId", "left").select("EventId", outcome.alias("outcome"), F.when(tried, "High").alias("alert"))

@@ -24,6 +24,11 @@ def clamp(limit: int) -> int:
     return schema.PAGE_DEFAULT if limit <= 0 else min(limit, schema.PAGE_MAX)
 
 
+def clamped(limit: Column) -> Column:
+    """L7 for limits in a table; null is the default page."""
+    return F.when(F.coalesce(limit, F.lit(0)) <= 0, schema.PAGE_DEFAULT).otherwise(F.least(limit, F.lit(schema.PAGE_MAX)))
+
+
 def newest(df: DataFrame, *conditions: Column, limit: int = 1000) -> DataFrame:
     """The newest rows that meet all conditions; ids break ties."""
     return ordered(df.where(reduce(and_, conditions, F.lit(True))), "-InsertedDate", "-EventId").limit(limit)
@@ -72,6 +77,14 @@ def search_terms(text: str, longest: int = 512) -> list[str]:
     return terms
 
 
+def terms_of(text: Column, longest: int = 512) -> Column:
+    """P15 for texts in a table, as searches that were logged: array of terms; null where :func:`search_terms` raises."""
+    found = F.regexp_extract_all(text, F.lit(r'"[^"]*"|[^\s"]+'), 0)
+    terms = F.transform(found, lambda x: F.trim(F.regexp_replace(F.replace(x, F.lit('"'), F.lit("")), r"\s+", " ")))
+    good = (F.length(F.trim(text)) <= longest) & ~F.contains(text, F.lit("*")) & (F.regexp_count(text, F.lit('"')) % 2 == 0) & F.forall(terms, lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    return F.when(good, terms)
+
+
 def word_pattern(term: str) -> str:
     """a pattern that Java's and RE2's syntax read alike."""
     return r"(?i)(^|[^\p{L}\p{N}])" + re.sub(r"([\\.^$|?*+()\[\]{}\-])", r"\\\1", term) + r"([^\p{L}\p{N}]|$)"

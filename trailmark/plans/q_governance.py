@@ -114,7 +114,7 @@ q("C97", lambda k, d: co.consented(
     a.audit_events(k, d).select(F.col("UserId").alias("user"), F.col("EntityId").alias("entity"), F.col("EntityType").alias("scope"), "EventId"),
     a.audit_events(k, d).where("EventType = 'User.ConsentGranted'").select(F.col("UserId").alias("user"), F.col("EntityId").alias("entity"), F.col("EntityType").alias("scope"), F.when(F.col("id") % 2 == 0, F.col("InsertedDate")).alias("expires")), "2024-01-15").select("EventId"),
   "SELECT EventId FROM E WHERE EXISTS (SELECT 1 FROM E c WHERE c.EventType = 'User.ConsentGranted' AND c.UserId = E.UserId AND c.EntityId = E.EntityId AND c.EntityType = E.EntityType AND (CASE WHEN c.id % 2 = 0 THEN c.InsertedDate END IS NULL OR c.InsertedDate > '2024-01-15'))")
-q("C98", lambda k, d: k.createDataFrame([("Student", "Grade", "FERPA"), ("Patient", "Record", "HIPAA")], "entity string, field string, marker string"), "SELECT * FROM (VALUES ('Student', 'Grade', 'FERPA'), ('Patient', 'Record', 'HIPAA')) v(entity, field, marker)")
+q("C98", lambda k, d: co.marked_fields(a.audit_events(k, d).withMetadata("UserFullName", {"marker": "FERPA"}).withMetadata("IpAddress", {"marker": "GDPR"}).withMetadata("JsonData", {"marker": "HIPAA"}), "AuditEvent"), """SELECT 'AuditEvent' AS entity, unnest(['UserFullName', 'IpAddress', 'JsonData']) AS field, unnest(['FERPA', 'GDPR', 'HIPAA']) AS marker, unnest([count(UserFullName), count(IpAddress), count(JsonData)]) AS n FROM E""")
 q("F12", lambda k, d: lc.anonymize_user(a.audit_events(k, d), SUBJECT).select("EventId", "User", "UserFullName", "UserAgent", "JsonData"), f"""SELECT EventId, 'ANONYMIZED' AS "User", 'ANONYMIZED' AS UserFullName, 'ANONYMIZED' AS UserAgent, '{{"Action":"' || json_extract_string(JsonData, '$.Action') || '","UserName":"ANONYMIZED","k":' || json_extract_string(JsonData, '$.k') || '}}' AS JsonData FROM E WHERE UserId = '{SUBJECT}'""")
 q("F26", lambda k, d: lc.governed_anonymize(a.audit_events(k, d), a.audit_integrity(k, d).where("AlgorithmVersion = 1"), a.audit_events(k, d).where("IntegrityStatus = 2"), TENANT, SUBJECT).select("EventId", "User", "EventType", "JsonData"), f"""SELECT EventId, 'ANONYMIZED' AS "User", 'Audit.Anonymized' AS EventType, NULL::VARCHAR AS JsonData FROM E WHERE TenantId = '{TENANT}' AND UserId = '{SUBJECT}' AND EventId NOT IN (SELECT EventId FROM I WHERE AlgorithmVersion = 1) AND IntegrityStatus <> 2""")
 ROWS = """, H AS (SELECT strftime(InsertedDate, '%Y-%m') AS archive, InsertedDate, sha256(EventId || ':' || coalesce(EventType, '') || ':' || strftime(InsertedDate, '%Y-%m-%dT%H:%M:%S.%f') || '0Z') AS h FROM E WHERE InsertedDate IS NOT NULL),

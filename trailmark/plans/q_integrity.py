@@ -61,7 +61,7 @@ ei("W4", lambda e, i: g.latest_link(i), "SELECT SequenceNumber, EventHash, Event
 ei("W5", lambda e, i: g.append_batch(i.select("EventId", "EventHash"), 5000, "last"), "SELECT EventId, EventHash, 5000 + row_number() OVER (ORDER BY EventId) AS SequenceNumber, coalesce(lag(EventHash) OVER (ORDER BY EventId), 'last') AS PreviousEventHash FROM I")
 q("W6", lambda k, d: a.archive_records(k, d).agg(F.max_by("ArchiveId", F.struct("CreatedAt", "ArchiveId")).alias("ArchiveId")), "SELECT ArchiveId FROM AR ORDER BY CreatedAt DESC, ArchiveId DESC LIMIT 1")
 q("W7", lambda k, d: g.first_per_key(a.subject_links(k, d), ["SubjectId", "Relationship"], "OccurredAt", "AuditLogId"), "SELECT * FROM LK QUALIFY row_number() OVER (PARTITION BY SubjectId, Relationship ORDER BY OccurredAt, AuditLogId) = 1")
-ei("T13", lambda e, i: g.reconciliation(e, i, a.NOW), f"""SELECT EventId, CASE WHEN I.EventId IS NULL THEN 'Failed' ELSE 'Reconciled' END AS outcome FROM (SELECT * FROM E WHERE IntegrityStatus = 1 AND InsertedDate < TIMESTAMP '{a.NOW}' - INTERVAL 5 MINUTE ORDER BY InsertedDate, EventId LIMIT 100) LEFT JOIN I USING (EventId)""")
+q("T13", lambda k, d: g.reconciliation(a.work_items(k, d), a.audit_integrity(k, d), a.NOW), f"""SELECT EventId, CASE WHEN Duration >= 75 THEN 'Failed' WHEN I.EventId IS NULL THEN 'Created' ELSE 'Reconciled' END AS outcome, CASE WHEN Duration >= 75 THEN 'High' END AS alert FROM (SELECT * FROM E WHERE IntegrityStatus = 1 AND InsertedDate < TIMESTAMP '{a.NOW}' - INTERVAL 5 MINUTE ORDER BY InsertedDate, EventId LIMIT 100) LEFT JOIN I USING (EventId)""")
 q("S11", lambda k, d: a.audit_integrity(k, d).where("SequenceNumber = 42").select(F.to_json(F.struct("EventId", "EventHash", "SequenceNumber")).alias("json")), """SELECT '{"EventId":"' || EventId || '","EventHash":"' || EventHash || '","SequenceNumber":' || SequenceNumber || '}' AS json FROM I WHERE SequenceNumber = 42""")
 
 EVENT = ("EventId", "EventType", "User", "InsertedDate")

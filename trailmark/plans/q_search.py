@@ -53,7 +53,7 @@ def _words(*terms: str) -> str:
 
 events("P14", lambda e: e.where(s.word_search('updated "user 7"')), f"SELECT {COLS} FROM E WHERE {_words('updated', 'user 7')}")
 events("F1", lambda e: e.where(s.word_search("login")), f"SELECT {COLS} FROM E WHERE {_words('login')}")
-q("P15", lambda k, d: k.createDataFrame([(t,) for t in s.search_terms('  alpha "two words" OR b-c ')], "term string"), "SELECT * FROM (VALUES ('alpha'), ('two words'), ('OR'), ('b-c')) v(term)")
+q("P15", lambda k, d: a.audit_events(k, d).select("EventId", s.terms_of(F.concat(F.lit('  "'), "UserFullName", F.lit('" OR '), F.coalesce("EventType", F.lit("a*")), F.when(F.col("EntityType") == "Card", '"').otherwise(""))).alias("t")).select("EventId", F.array_join("t", "|").alias("terms")), """SELECT EventId, CASE WHEN EntityType <> 'Card' AND EventType IS NOT NULL THEN UserFullName || '|OR' || CASE WHEN EventType <> '' THEN '|' || EventType ELSE '' END END AS terms FROM E""")
 events("P16", lambda e: s.search(e, limit=0, offset=-3, event_type="Data.Export")[1], f"SELECT {COLS} FROM E WHERE EventType = 'Data.Export' {NEWEST} LIMIT 50")
 q("P16_total", lambda k, d: s.page_info(s.search(a.audit_events(k, d), event_type="Data.Export")[0], 50, 100), "SELECT count(*) AS total, ceil(count(*) / 50)::BIGINT AS total_pages, 3::BIGINT AS current_page FROM E WHERE EventType = 'Data.Export'")
 events("P17", lambda e: s.newest(e, *s.by(EntityType="Student"), limit=s.clamp(5000)), f"SELECT {COLS} FROM E WHERE EntityType = 'Student' {NEWEST} LIMIT 1000")
@@ -87,7 +87,7 @@ q("L4", lambda k, d: s.cursor_page(s.subject_records(a.audit_events(k, d), a.aud
   P AS (SELECT * FROM R WHERE ("at", store, record) > (TIMESTAMP '2024-01-05', 2, '') ORDER BY "at", store, record LIMIT 11)
   SELECT *, (SELECT count(*) > 10 FROM P) AS has_more FROM P ORDER BY "at", store, record LIMIT 10""")
 events("L6", lambda e: s.newest(e, limit=10), f"SELECT {COLS} FROM E {NEWEST} LIMIT 10")
-q("L7", lambda k, d: k.createDataFrame([(n, s.clamp(n)) for n in (-1, 0, 1, 50, 1000, 5000)], "asked long, given long"), "SELECT n AS asked, CASE WHEN n <= 0 THEN 50 ELSE least(n, 1000) END AS given FROM (VALUES (-1::BIGINT), (0), (1), (50), (1000), (5000)) v(n)")
+q("L7", lambda k, d: a.audit_events(k, d).select("EventId", s.clamped(F.when(F.col("Environment").isNotNull(), (F.col("Duration") - 20) * 20)).cast("int").alias("size")), "SELECT EventId, (CASE WHEN Environment IS NULL OR Duration <= 20 THEN 50 ELSE least((Duration - 20) * 20, 1000) END)::INT AS size FROM E")
 events("L8", lambda e: s.page(e, 25, 25, "-Duration", "EventId"), f"SELECT {COLS} FROM E ORDER BY Duration DESC, EventId LIMIT 25 OFFSET 25")
 events("L9", lambda e: s.page(e, 100, 300, "-InsertedDate", "-EventId"), f"SELECT {COLS} FROM E {NEWEST} LIMIT 100 OFFSET 300")
 q("L10", lambda k, d: s.page(a.archive_records(k, d).where("Status = 1"), 10, 5, "-CreatedAt", "ArchiveId"), "SELECT * FROM AR WHERE Status = 1 ORDER BY CreatedAt DESC, ArchiveId LIMIT 10 OFFSET 5")

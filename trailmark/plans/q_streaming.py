@@ -54,6 +54,21 @@ def drained(table: str):  # noqa: ANN201
     return run
 
 
+def metered(k, d):  # noqa: ANN001, ANN201
+    """What a listener counts while all envelopes are worked off, a few files a batch."""
+    top, metrics = f"{shared_dir(k)}/metered-{uuid4().hex}", ingest.Metrics()
+    envelopes(k, d).repartition(4).write.json(f"{top}/in")
+    k.streams.addListener(metrics)
+    try:
+        query = ingest.drain(k, f"{top}/in", f"{top}/out", f"{top}/offsets", 2)
+        query.awaitTermination()
+        found = metrics.of(query)
+    finally:
+        k.streams.removeListener(metrics)
+    stored = k.read.parquet(f"{top}/out/verdicts")
+    return stored.agg(F.count("*").alias("stored"), F.count_if(F.col("verdict") == "New").alias("known")).select(F.lit(found["batches"]).cast("long").alias("batches"), F.lit(found["rows"]).cast("long").alias("received"), F.lit(found["state_rows"]).cast("long").alias("in_state"), "stored", "known")
+
+
 def judged_twice(k, d):  # noqa: ANN001, ANN201
     """The stream's verdicts in two runs: the envelopes of most actions; then all, some of them changed. Those of one action are stored before, without a receipt."""
     top = f"{shared_dir(k)}/judged-{uuid4().hex}"
@@ -106,6 +121,7 @@ q("T14", lambda k, d: reports.dead_letter_stats(o.purge_letters(a.dead_letters(k
 box("T15", lambda x: x.select("Id", o.backoff_ms(F.col("AttemptCount") + 1, 250).alias("ms")), "SELECT Id, 250.0 * pow(2, AttemptCount) AS ms FROM O")
 box("T16", lambda x: o.handoffs(x, NOW), f"SELECT Id, CreatedAt, least(3600, 5 * pow(2, least(AttemptCount, 10)))::INT AS delay_s FROM O WHERE (Status = 0 OR (Status = 1 AND LeaseExpiresAt < {T})) AND (NextRetryAt IS NULL OR NextRetryAt <= {T})")
 q("T18", lambda k, d: reports.queue_depth(a.outbox(k, d), NOW), f"SELECT count_if(Status = 0) AS pending, count_if(Status = 1) AS in_flight, greatest(0, epoch({T})::BIGINT - floor(epoch(min(CreatedAt) FILTER (WHERE Status = 0)))::BIGINT) AS oldest_pending_s FROM O")
+q("T18_stream", metered, ENV + "SELECT 2::BIGINT AS batches, (SELECT count(*) FROM events) AS received, count(*) AS in_state, (SELECT count(*) FROM events) AS stored, count(*) AS known FROM V")
 q("T19", lambda k, d: o.expired_letters(a.dead_letters(k, d), NOW, 7).select("Id"), f"SELECT Id FROM DL WHERE FailedAt >= {T} - INTERVAL 7 DAY")
 for _name, _replay in (("T20", True), ("T20_skip", False)):
     box(_name, lambda x, r=_replay: o.resolve(x, TENANT, "cycle-2", r), f"SELECT Id, {0 if _replay else 3} AS Status, {'0' if _replay else 'AttemptCount'} AS AttemptCount, '{'Replay' if _replay else 'Skip'}' AS resolution FROM O WHERE Status = 3 AND TenantId = '{TENANT}' AND FailureCycleId = 'cycle-2' AND ResolutionId IS NULL")

@@ -113,6 +113,11 @@ def tampered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where((d != 18) | d.isNull()).withColumns({"JsonData": json, "UserId": F.when(d == 14, guid(F.lit(0), "a")).otherwise(F.col("UserId"))})
 
 
+def work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One for each event; the longer it took, the more often its link was tried."""
+    return audit_events(spark, sf_dir).select("EventId", F.col("IntegrityStatus").alias("Status"), F.floor(F.col("Duration") / 15).cast("int").alias("AttemptCount"), F.col("InsertedDate").alias("CreatedAt"))
+
+
 def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, n = _read(spark, sf_dir, "events").where("event_type = 'error'"), F.col("event_id")
     return e.select(

@@ -11,6 +11,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from trailmark.functions.text import iso_time
@@ -87,6 +88,38 @@ def until_idle(query: StreamingQuery, batches: int = 3, seconds: float = 600) ->
     raise failed or TimeoutError(f"the query was busy for {seconds} s")
 
 
+class Metrics(StreamingQueryListener):
+    """What the session's streams have worked off: batches, rows, seconds of the longest batch and rows in state, by query. Register it with ``spark.streams.addListener``."""
+
+    def __init__(self) -> None:
+        self.totals: dict[str, dict[str, float]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        self.totals.setdefault(str(event.runId), {"batches": 0, "rows": 0, "longest_s": 0.0, "state_rows": 0})
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        p = event.progress
+        t = self.totals[str(p.runId)]
+        t["batches"] += p.numInputRows > 0
+        t["rows"] += p.numInputRows
+        t["longest_s"] = max(t["longest_s"], p.durationMs.get("triggerExecution", 0) / 1000)
+        t["state_rows"] = sum(s.numRowsTotal for s in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        self.ended.add(str(event.runId))
+
+    def of(self, query: StreamingQuery, seconds: float = 30) -> dict[str, float]:
+        """The totals of a query that has ended; events come a little later than the end."""
+        end = time.monotonic() + seconds
+        while str(query.runId) not in self.ended and time.monotonic() < end:
+            time.sleep(0.05)
+        return self.totals[str(query.runId)]
+
+
 def progress(query: StreamingQuery) -> list[dict]:
     """Rows and rate of the last batches."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p.get("processedRowsPerSecond")} for p in query.recentProgress]
