@@ -111,6 +111,21 @@ def test_search_terms():
         search.page(None, 0, 0, "id")
 
 
+@pytest.mark.parametrize("asked", ['one "two words" AND', "a*", '"open', "--", "x" * 600, "", '  b-c   "x  y" ', '"" a'])
+def test_terms_in_a_table_are_those_of_the_driver(spark, asked):
+    try:
+        want = search.search_terms(asked)
+    except ValueError:
+        want = None
+    assert one(spark, t=search.terms_of(F.lit(asked))).t == want
+
+
+def test_work_items_fail_after_the_last_attempt(spark):
+    items = spark.createDataFrame([("a", 1, 5), ("b", 1, 4), ("c", 1, 0), ("d", 2, 9), ("e", 1, 0)], "EventId string, Status int, AttemptCount int").withColumn("CreatedAt", F.when(F.col("EventId") != "e", F.lit("2024-01-01")).otherwise(F.lit("2024-02-01")).cast("timestamp"))
+    found = integrity.reconciliation(items, spark.createDataFrame([("a",), ("b",)], "EventId string"), "2024-02-01 00:04:00").collect()
+    assert sorted(map(tuple, found), key=str) == [("a", "Failed", "High"), ("b", "Reconciled", None), ("c", "Created", None)]
+
+
 def test_word_match_needs_whole_words(spark):
     df = spark.createDataFrame([("User.Login",), ("Logins",), ("pre-login-post",), (None,)], "t string")
     found = [r.t for r in df.where(search.word_search("login", ("t",))).collect()]

@@ -1,11 +1,12 @@
 """The staged ingest stores each envelope once, over repeated files, repeated runs and a repeated batch."""
 
 import json
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from trailmark.plans import q_streaming
-from trailmark.streaming import ingest
+from trailmark.streaming import ingest, letter_files
 
 
 def envelope(k, kind=0, changes=()):
@@ -78,3 +79,21 @@ def test_the_whole_table_is_ingested(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     new = q_streaming.drained("verdicts")(spark, str(tmp_path)).where("verdict = 'New'").collect()
     assert sorted(int(r.envelope_id[-12:]) for r in new) == [k for k in range(2500) if k % 40 != 39]
+
+
+def test_dead_letters_are_taken_up_once_and_purged(spark, tmp_path):
+    folder, out, offsets = str(tmp_path / "letters"), str(tmp_path / "out"), str(tmp_path / "offsets")
+    letters = spark.range(10).select(F.col("id").cast("string").alias("Id"), F.timestamp_seconds("id").alias("FailedAt"), F.lit("Timeout").alias("FailureReason"), F.lit(0).alias("RetryCount"), F.lit(False).alias("IsProcessed"), F.lit("A").alias("EventType"), F.lit("left out").alias("Other"))
+    assert letter_files.waiting(spark, folder).count() == 0 and letter_files.purge_processed(spark, folder, datetime(2030, 1, 1)) == 0
+    letter_files.put(letters.where("id < 7"), folder)
+    assert letter_files.queue_state(spark, folder, 5, 8).first().asDict() == {"n": 7, "state": "Warn"}
+    letter_files.take_up(spark, folder, out, offsets, 1).awaitTermination()
+    letter_files.put(letters.where("id >= 7"), folder)
+    letter_files.take_up(spark, folder, out, offsets, 1).awaitTermination()
+    assert letter_files.waiting(spark, folder).count() == 0
+    assert sorted(int(r.Id) for r in spark.read.parquet(out).collect()) == list(range(10))
+    assert letter_files.purge_processed(spark, folder, datetime.now() - timedelta(days=2)) == 0
+    assert letter_files.purge_processed(spark, folder, datetime.now() + timedelta(days=2)) > 0
+    batch = letters.limit(2).drop("Other").withColumn("file", F.lit(f"{folder}/waiting/gone.json"))
+    letter_files.store_batch(batch, 99, folder, out)  # a batch that is done again, after its files went aside
+    assert spark.read.parquet(out).where("batch = 99").count() == 2

@@ -15,6 +15,7 @@ from trailmark.sources import audit as a
 from trailmark.sources.audit import BASE_SQL as B
 from trailmark.sources.stored import Stored, flip_last_byte
 from trailmark.storage import shared_dir
+from trailmark.streaming import letter_files as lf
 from trailmark.streaming import outbox_store as os
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -116,3 +117,21 @@ def _restored_files(k, d):  # noqa: ANN001, ANN202
 q("S5_files", lambda k, d: af.commit_archive(a.audit_events(k, d), folder(k, "archive"), unit=BY_DAY).select("archive", "event_count"), "SELECT strftime(InsertedDate, '%Y-%m-%d') AS archive, count(*) AS event_count FROM E WHERE InsertedDate IS NOT NULL GROUP BY 1")
 q("S14_files", _damaged, "SELECT archive, CASE WHEN archive = min(archive) OVER () THEN 'Corrupted' ELSE 'Completed' END AS status, CASE WHEN archive = min(archive) OVER () THEN 'hash' END AS reason FROM (SELECT DISTINCT strftime(InsertedDate, '%Y-%m-%d') AS archive FROM E WHERE InsertedDate IS NOT NULL)")
 q("S6_files", _restored_files, "SELECT EventId, InsertedDate, EventType, JsonData FROM E")
+
+
+# dead letters as files
+def _taken_up(k, d):  # noqa: ANN001, ANN202
+    """Open letters are put down, taken up in two runs and moved aside; what waits is told before and after."""
+    top = folder(k, "letters")
+    letters = a.dead_letters(k, d).where("NOT IsProcessed")
+    for part in ("RetryCount < 2", "RetryCount >= 2"):
+        lf.put(letters.where(part), top)
+        waited = lf.queue_state(k, top).first().n
+        lf.take_up(k, top, f"{top}/stored", f"{top}/offsets", 2).awaitTermination()
+    after = lf.queue_state(k, top).first()
+    stored = k.read.schema(lf.LETTER).parquet(f"{top}/stored")
+    sums = stored.groupBy("FailureReason").agg(F.count("*").alias("n"), F.max("FailedAt").alias("latest"))
+    return sums.withColumns({"waited": F.lit(waited).cast("long"), "waits": F.lit(after.n).cast("long"), "state": F.lit(after.state)})
+
+
+q("T22_files", _taken_up, "SELECT FailureReason, count(*) AS n, max(FailedAt) AS latest, (SELECT count(*) FROM DL WHERE NOT IsProcessed AND RetryCount >= 2) AS waited, 0::BIGINT AS waits, 'Accept' AS state FROM DL WHERE NOT IsProcessed GROUP BY 1")

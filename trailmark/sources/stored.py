@@ -23,7 +23,8 @@ PART = "part"
 NO_PART = "none"
 
 
-def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """The file system of a path, and what makes paths for it."""
     jvm = spark._jvm
     make = jvm.org.apache.hadoop.fs.Path
     return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
@@ -31,7 +32,7 @@ def _fs(spark: SparkSession, path: str):  # noqa: ANN202
 
 def publish(spark: SparkSession, content: str, path: str) -> None:
     """Writes a small file by one rename. Raises if there is one of that name."""
-    fs, make = _fs(spark, path)
+    fs, make = file_system(spark, path)
     staged = make(f"{path}.{uuid4().hex}.staged")
     out = fs.create(staged, False)
     out.write(bytearray(content.encode()))
@@ -42,7 +43,7 @@ def publish(spark: SparkSession, content: str, path: str) -> None:
 
 
 def read_file(spark: SparkSession, path: str) -> str:
-    fs, make = _fs(spark, path)
+    fs, make = file_system(spark, path)
     stream = fs.open(make(path))
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -52,7 +53,7 @@ def read_file(spark: SparkSession, path: str) -> str:
 
 def flip_last_byte(spark: SparkSession, path: str) -> None:
     """Damages a small file, for drills of validation and restore."""
-    fs, make = _fs(spark, path)
+    fs, make = file_system(spark, path)
     stream = fs.open(make(path))
     data = bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     stream.close()
@@ -96,7 +97,7 @@ class Stored:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Stored:
-        fs, make = _fs(spark, path)
+        fs, make = file_system(spark, path)
         names = [s.getPath().getName() for s in fs.globStatus(make(f"{path}/manifest-*.json"))]
         m = json.loads(read_file(spark, f"{path}/{max(names)}"))
         return cls(spark, path, m["number"], StructType.fromJson(m["schema"]), m["part"], tuple(m["keys"]), m["parts"])
@@ -155,7 +156,7 @@ class Stored:
 
     def vacuum(self) -> int:
         """Removes the folders and manifests that this version, the newest, does not name; returns how many folders. Call it when nobody reads older ones."""
-        fs, make = _fs(self.spark, self.path)
+        fs, make = file_system(self.spark, self.path)
         named = {v["folder"] for v in self.parts.values()}
         gone = [s.getPath() for s in fs.globStatus(make(f"{self.path}/data-*")) if s.getPath().getName() not in named]
         old = [s.getPath() for s in fs.globStatus(make(f"{self.path}/manifest-*.json")) if s.getPath().getName() < f"manifest-{self.number:09d}.json"]
