@@ -7,11 +7,14 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from trailmark.operators import archive_files as af
+from trailmark.operators import integrity as g
 from trailmark.operators import lifecycle as lc
+from trailmark.operators import search as s
 from trailmark.operators import wordindex as w
-from trailmark.plans import q_governance, q_search
+from trailmark.plans import q_governance, q_integrity, q_search
 from trailmark.plans.q_search import COLS, SHOWN
 from trailmark.sources import audit as a
+from trailmark.sources import layout
 from trailmark.sources.audit import BASE_SQL as B
 from trailmark.sources.stored import Stored, flip_last_byte
 from trailmark.storage import shared_dir
@@ -135,3 +138,21 @@ def _taken_up(k, d):  # noqa: ANN001, ANN202
 
 
 q("T22_files", _taken_up, "SELECT FailureReason, count(*) AS n, max(FailedAt) AS latest, (SELECT count(*) FROM DL WHERE NOT IsProcessed AND RetryCount >= 2) AS waited, 0::BIGINT AS waits, 'Accept' AS state FROM DL WHERE NOT IsProcessed GROUP BY 1")
+
+
+# events and links in buckets
+def laid(name: str, run, like: str) -> None:  # noqa: ANN001
+    """The query of a join, over tables that are bucketed by EventId."""
+
+    def over(k, d):  # noqa: ANN001, ANN202
+        tables = (("events", a.audit_events(k, d)), ("links", a.audit_integrity(k, d)))
+        return run(*(layout.lay_out(rows, f"{kind}_{uuid4().hex}", folder(k, kind), BUCKETS) for kind, rows in tables))
+
+    q(name, over, q_integrity.ORACLE_SQL[f"q_{like}"].removeprefix(B))
+
+
+BUCKETS = 16
+laid("J1_laid", lambda e, i: q_integrity.shown(g.with_integrity(e.where("Duration > 40"), i)), "J1")
+laid("J4_laid", lambda e, i: q_integrity.shown(g.with_events(s.keyset_page(i, "SequenceNumber", 2000, 150), e)), "J4")
+laid("J6_laid", lambda e, i: g.unprotected(e, i).select("EventId"), "J6")
+laid("A17_laid", g.coverage, "A17")

@@ -167,7 +167,7 @@ def audit_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subject_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n, u = _read(spark, sf_dir, "events").where("event_id % 4 = 0"), F.col("event_id"), F.col("user_id")
+    e, n, u = _read(spark, sf_dir, "events").where("event_type IN ('purchase', 'signup')"), F.col("event_id"), F.col("user_id")
     return e.select(guid(n, "d").alias("AuditLogId"), guid(u % 3, "b").alias("TenantId"), guid(u, "a").alias("SubjectId"), F.lit("owner").alias("Relationship"), F.col("ts").cast("timestamp").alias("OccurredAt"))
 
 
@@ -191,7 +191,7 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = _read(spark, sf_dir, "events").where("event_id % 6 = 0"), F.col("event_id")
+    e, n = _read(spark, sf_dir, "events").where("event_type = 'error'"), F.col("event_id")
     return e.select(
         guid(n, "9").alias("Id"),
         F.col("ts").cast("timestamp").alias("FailedAt"),
@@ -262,7 +262,7 @@ L AS (
   FROM events
 ),
 LK AS (
-  SELECT {_guid_sql("event_id", "d")} AS AuditLogId, {_guid_sql("user_id % 3", "b")} AS TenantId, {_guid_sql("user_id", "a")} AS SubjectId, 'owner' AS Relationship, ts AS OccurredAt FROM events WHERE event_id % 4 = 0
+  SELECT {_guid_sql("event_id", "d")} AS AuditLogId, {_guid_sql("user_id % 3", "b")} AS TenantId, {_guid_sql("user_id", "a")} AS SubjectId, 'owner' AS Relationship, ts AS OccurredAt FROM events WHERE event_type IN ('purchase', 'signup')
 ),
 O AS (
   SELECT event_id AS Id, 'key-' || (CASE WHEN event_id % 50 = 49 THEN event_id - 1 ELSE event_id END) AS IdempotencyKey, (event_id % 4)::INT AS Status, (event_id % 6)::INT AS AttemptCount, ts AS CreatedAt,
@@ -273,7 +273,7 @@ O AS (
 DL AS (
   SELECT {_guid_sql("event_id", "9")} AS Id, ts AS FailedAt, {_pick_sql(["Timeout", "Conflict", "Storage"], "event_id // 6")} AS FailureReason, (event_id % 5)::INT AS RetryCount, event_id % 7 = 0 AS IsProcessed,
     CASE WHEN event_id % 7 = 0 THEN ts + INTERVAL 6 HOUR END AS ProcessedAt, CASE WHEN event_id % 30 = 0 THEN 'Audit.Projection' ELSE {_pick_sql(EVENT_TYPES, "event_id")} END AS EventType
-  FROM events WHERE event_id % 6 = 0
+  FROM events WHERE event_type = 'error'
 ),
 RP AS (SELECT * FROM (VALUES ('User.*', 10, 5, true), ('*.Update', 5, 9, true), ('phi.access', 3, 7, true), ('Data.Read', 15, 1, true), ('*', 28, 0, true), ('Security.*', 2, 8, false)) v(EventType, RetentionDays, Priority, IsActive))
 """
