@@ -6,12 +6,13 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from trailmark.functions import text as t
 from trailmark.operators import archive_files as af
 from trailmark.operators import integrity as g
 from trailmark.operators import lifecycle as lc
 from trailmark.operators import search as s
 from trailmark.operators import wordindex as w
-from trailmark.plans import q_governance, q_integrity, q_search
+from trailmark.plans import q_governance, q_integrity, q_search, q_streaming
 from trailmark.plans.q_search import COLS, SHOWN
 from trailmark.sources import audit as a
 from trailmark.sources import layout
@@ -20,6 +21,7 @@ from trailmark.sources.stored import Stored, flip_last_byte
 from trailmark.storage import shared_dir
 from trailmark.streaming import letter_files as lf
 from trailmark.streaming import outbox_store as os
+from trailmark.streaming import writes as ws
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -156,3 +158,89 @@ laid("J1_laid", lambda e, i: q_integrity.shown(g.with_integrity(e.where("Duratio
 laid("J4_laid", lambda e, i: q_integrity.shown(g.with_events(s.keyset_page(i, "SequenceNumber", 2000, 150), e)), "J4")
 laid("J6_laid", lambda e, i: g.unprotected(e, i).select("EventId"), "J6")
 laid("A17_laid", g.coverage, "A17")
+
+
+# batches with an outcome for each envelope
+def _content():  # noqa: ANN202
+    return F.sha2(F.encode(F.to_json(F.struct("kind", "entity_name", "action", "payload")), "UTF-8"), 256)
+
+
+def _envelopes(k, d):  # noqa: ANN001, ANN202
+    """The earliest envelope of each id."""
+    rows = q_streaming.envelopes(k, d).groupBy("envelope_id").agg(F.min(F.struct("occurred_at", "kind", "entity_name", "action", "payload")).alias("e"))
+    return rows.select("envelope_id", "e.*")
+
+
+def _published(k, d):  # noqa: ANN001, ANN202
+    """Publishes the envelopes of most actions; then all, some of them with other content."""
+    rows = _envelopes(k, d)
+    empty = rows.limit(0).withColumn("fingerprint", F.lit(""))
+    entities, events = (Stored.create(empty, folder(k, name), "pmod(xxhash64(envelope_id), 16)", "envelope_id") for name in ("entities", "explicit"))
+    entities, events, _ = ws.publish(rows.where("action < 10"), entities, events, _content())
+    changed = rows.withColumn("payload", F.when(F.col("action").isin(3, 4), "changed").otherwise(F.col("payload")))
+    entities, events, said = ws.publish(changed, entities, events, _content())
+    stored = _reread(entities).select("envelope_id", "payload", F.lit("entity").alias("stored_as")).unionByName(_reread(events).select("envelope_id", "payload", F.lit("event").alias("stored_as")))
+    return said.join(stored, "envelope_id", "left")
+
+
+def _rows_told(k, d):  # noqa: ANN001, ANN202
+    """Claimed rows and what two writers answer: one of them raised. Some rows are of a kind that nobody writes."""
+    rows = _envelopes(k, d).select(F.substring("envelope_id", 25, 12).cast("long").alias("row_id"), "envelope_id", F.when(F.col("action") == 12, 7).otherwise(F.col("kind")).alias("kind"), F.col("occurred_at").alias("created"), "action")
+    a_, no = F.col("action"), F.lit(False)
+    answered = rows.where("kind = 1").select("envelope_id", "kind", (a_ < 6).alias("succeeded"), (a_ < 3).alias("duplicate"), (a_ == 9).alias("conflict"), a_.between(6, 8).alias("retryable"), F.when(a_.between(6, 9), F.concat(F.lit("error "), a_.cast("string"))).alias("error"))
+    return rows, ws.row_outcomes(rows, answered.unionByName(ws.retry_all(rows.where("kind = 0"), "writer raised")))
+
+
+FIRST = f""", V AS (SELECT '{a.GUID}' || lpad((event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END)::VARCHAR, 12, '0') AS envelope_id, (event_id % 2)::INT AS kind, event_id % 12 + 1 AS action, props, ts,
+  event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END AS n FROM events QUALIFY row_number() OVER (PARTITION BY event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END ORDER BY ts, event_id % 2) = 1),
+  RT AS (SELECT n AS row_id, CASE WHEN action = 12 THEN 7 ELSE kind END::INT AS kind, ts, action FROM V),
+  RS AS (SELECT *, CASE WHEN kind = 7 THEN 'Failed' WHEN kind = 0 THEN 'RetryLater' WHEN action < 3 THEN 'Duplicate' WHEN action < 6 THEN 'Succeeded' WHEN action < 9 THEN 'RetryLater' ELSE 'Failed' END AS status,
+    CASE WHEN kind = 7 THEN 'Unhandled AuditEnvelopeKind: 7' WHEN kind = 0 THEN 'writer raised' WHEN action < 6 THEN NULL WHEN action <= 9 THEN 'error ' || action ELSE 'Unknown error' END AS error FROM RT) """
+q("T1_store", _published, FIRST + """SELECT envelope_id, kind, action NOT IN (3, 4) AS succeeded, action < 10 AND action NOT IN (3, 4) AS duplicate, action IN (3, 4) AS conflict, false AS retryable, CASE WHEN action IN (3, 4) THEN 'audit_identity_conflict' END AS error,
+  props AS payload, CASE kind WHEN 0 THEN 'entity' ELSE 'event' END AS stored_as FROM V""")
+q("T11_rows", lambda k, d: _rows_told(k, d)[1], FIRST + "SELECT row_id, status, error FROM RS")
+q("T11_metrics", lambda k, d: ws.batch_metrics(*_rows_told(k, d), AT), FIRST + f"""SELECT kind, count(*) AS n, count_if(status = 'Succeeded') AS succeeded, count_if(status = 'Duplicate') AS duplicate, count_if(status = 'RetryLater') AS retrylater, count_if(status = 'Failed') AS failed,
+  max(epoch(TIMESTAMP '{AT}' - ts)) FILTER (WHERE ts <= TIMESTAMP '{AT}') AS oldest_s FROM RS GROUP BY kind""")
+
+
+# batches that are tried again
+def _tried(k, d):  # noqa: ANN001, ANN202
+    """A batch for each type of entity. Incidents are written at once, patients at the third attempt (the second fails half done), students never, and those without a type cannot even be put down; cards are known already, users in conflict."""
+    top, events = folder(k, "tried"), a.audit_events(k, d).select("EventId", "EventType", "EntityType", "User")
+    ends = []
+    for kind in ("Incident", "Patient", "User", "Card", "Student", ""):
+        tries = []
+
+        def write(batch, kind=kind, tries=tries):  # noqa: ANN001, ANN202
+            tries.append(kind)
+            if kind == "User":
+                raise ws.ConflictError("stored with other content")
+            if kind == "Card":
+                raise ws.DuplicateError("stored")
+            if kind in ("Student", "") or (kind == "Patient" and len(tries) == 1):
+                raise RuntimeError("no store")
+            batch.write.mode("overwrite").parquet(f"{top}/stored/batch={kind}")
+            if kind == "Patient" and len(tries) == 2:
+                raise RuntimeError("no answer")
+
+        def put_down(batch, reason, kind=kind):  # noqa: ANN001, ANN202
+            if not kind:
+                raise OSError("no letters")
+            lf.put(ws.letters_of(batch, reason, AT), f"{top}/letters")
+
+        batch = events.where(F.col("EntityType") == kind)
+        try:
+            end = ws.persistently(batch, write, put_down, lambda b: ws.emergency_file(b, f"{top}/emergency", {"User": t.redact_key(F.col("User"))}), sleep=lambda s: None).outcome
+        except ws.ConflictError:
+            end = "conflict"
+        ends.append((kind, end, len(tries)))
+    stored = k.read.schema(events.schema).parquet(f"{top}/stored").select("EventId", F.lit("stored").alias("place"), "User", F.lit(None).cast("string").alias("reason"))
+    letters = lf.waiting(k, f"{top}/letters").select(F.col("Id").alias("EventId"), F.lit("letters").alias("place"), F.lit(None).cast("string").alias("User"), F.col("FailureReason").alias("reason"))
+    emergency = k.read.schema(events.schema).json(f"{top}/emergency/*").select("EventId", F.lit("emergency").alias("place"), "User", F.lit(None).cast("string").alias("reason"))
+    told = k.createDataFrame(ends, "EntityType string, outcome string, attempts int")
+    return events.select("EventId", "EntityType").join(stored.unionByName(letters).unionByName(emergency), "EventId", "left").join(told, "EntityType", "left")
+
+
+q("T15_attempts", _tried, """SELECT EntityType, EventId, CASE EntityType WHEN 'Incident' THEN 'stored' WHEN 'Patient' THEN 'stored' WHEN 'Student' THEN 'letters' WHEN '' THEN 'emergency' END AS place,
+  CASE WHEN EntityType IN ('Incident', 'Patient') THEN "User" WHEN EntityType = '' AND "User" IS NOT NULL THEN '[REDACTED]' END AS "User", CASE EntityType WHEN 'Student' THEN 'Batch failed after 4 attempts' END AS reason,
+  CASE EntityType WHEN 'Student' THEN 'dead letters' WHEN '' THEN 'emergency' WHEN 'User' THEN 'conflict' WHEN 'Card' THEN 'duplicate' ELSE 'success' END AS outcome, CASE EntityType WHEN 'Patient' THEN 3 WHEN 'Student' THEN 4 WHEN '' THEN 4 ELSE 1 END::INT AS attempts FROM E""")

@@ -99,7 +99,7 @@ def chained_stream(k, d):  # noqa: ANN001, ANN201
 
 
 ENV = f""", V AS (SELECT '{a.GUID}' || lpad((event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END)::VARCHAR, 12, '0') AS envelope_id, event_id AS n, ts, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END ORDER BY event_id) = 1) """
-q("T1", lambda k, d: ingest.event_rows(envelopes(k, d).where("kind = 1 AND action <> 4")).select("envelope_id", "action"), f"SELECT '{a.GUID}' || lpad((event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END)::VARCHAR, 12, '0') AS envelope_id, (event_id % 12 + 1)::INT AS action FROM events WHERE event_id % 2 = 1 AND event_id % 12 <> 3")
+q("T1", lambda k, d: ingest.event_rows(envelopes(k, d)).select("envelope_id", "action"), f"SELECT '{a.GUID}' || lpad((event_id - CASE WHEN event_id % 40 = 39 THEN 1 ELSE 0 END)::VARCHAR, 12, '0') AS envelope_id, (event_id % 12 + 1)::INT AS action FROM events WHERE event_id % 2 = 1")
 box("T2", lambda x: o.stage(x.where("Status <> 2"), x.where("Status = 2")).select("Id", "IdempotencyKey"), "SELECT Id, IdempotencyKey FROM (SELECT * FROM O WHERE Status <> 2 QUALIFY row_number() OVER (PARTITION BY IdempotencyKey ORDER BY CreatedAt, Id) = 1) WHERE IdempotencyKey NOT IN (SELECT IdempotencyKey FROM O WHERE Status = 2)")
 q("T3", lambda k, d: drained("verdicts")(k, d).where("verdict = 'New'").select("envelope_id"), ENV + "SELECT envelope_id FROM V")
 box("T4", lambda x: o.claimable(x, NOW).select("Id"), f"SELECT Id FROM O WHERE Status = 0 AND (NextRetryAt IS NULL OR NextRetryAt <= {T}) AND (LeaseExpiresAt IS NULL OR LeaseExpiresAt <= {T}) ORDER BY CreatedAt, Id LIMIT 128")
