@@ -180,6 +180,14 @@ def match_policies(kinds: DataFrame, policies: DataFrame, kind: str = "EventType
     return kinds.withColumn("pattern", F.explode(policy_keys(F.col(kind)))).join(policies.withColumn("pattern", F.lower(policy)), "pattern").drop("pattern")
 
 
+def policy_events(events: DataFrame, policies: DataFrame) -> DataFrame:
+    """Each policy with the events whose type its pattern matches, active or not: how many, and the oldest. Events are counted by type first, so patterns meet distinct types only."""
+    kinds = events.groupBy("EventType").agg(F.count("*").alias("n"), F.min("InsertedDate").alias("oldest"))
+    found = match_policies(kinds.withColumnRenamed("EventType", "kind"), policies.select(F.col("EventType").alias("policy")).distinct(), "kind")
+    sums = found.groupBy("policy").agg(F.sum("n").alias("n"), F.min("oldest").alias("oldest"))
+    return policies.select(F.col("EventType").alias("policy"), "Priority").join(sums, "policy", "left").select("policy", "Priority", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "oldest")
+
+
 def log_view(events: DataFrame) -> DataFrame:
     """The listing form of an event, with defaults for what is missing."""
     return events.select(

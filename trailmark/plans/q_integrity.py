@@ -10,7 +10,6 @@ from trailmark.functions import text as t
 from trailmark.functions.event_json import read_event
 from trailmark.operators import integrity as g
 from trailmark.operators import search as s
-from trailmark.plans import q_search
 from trailmark.sources import audit as a
 from trailmark.sources.audit import BASE_SQL as B
 from trailmark.sources.files import table_sizes
@@ -39,7 +38,8 @@ q("J5", lambda k, d: g.with_related(a.security_events(k, d), a.audit_events(k, d
 ei("J6", lambda e, i: g.unprotected(e, i).select("EventId"), "SELECT EventId FROM E WHERE EventId NOT IN (SELECT EventId FROM I)")
 ei("J7", lambda e, i: s.by_ids(e, i).select("EventId", "EventType"), "SELECT EventId, EventType FROM E SEMI JOIN I USING (EventId)")
 q("J8", lambda k, d: a.outbox(k, d).join(a.outbox(k, d).where("Status = 2").select("IdempotencyKey"), "IdempotencyKey", "left_anti").select("Id", "IdempotencyKey"), "SELECT Id, IdempotencyKey FROM O WHERE IdempotencyKey NOT IN (SELECT IdempotencyKey FROM O WHERE Status = 2)")
-QUERIES["q_J10"], ORACLE_SQL["q_J10"] = q_search.QUERIES["q_P32"], q_search.ORACLE_SQL["q_P32"]
+q("J10", lambda k, d: s.policy_events(a.audit_events(k, d), a.retention_policies(k)), """SELECT RP.EventType AS policy, RP.Priority, count(E.EventId) AS n, min(InsertedDate) AS oldest FROM RP LEFT JOIN E ON RP.EventType = '*' OR lower(E.EventType) = lower(RP.EventType)
+  OR (RP.EventType LIKE '%.*' AND starts_with(lower(E.EventType), lower(replace(RP.EventType, '*', '')))) OR (RP.EventType LIKE '*.%' AND ends_with(lower(E.EventType), lower(replace(RP.EventType, '*', '')))) GROUP BY ALL""")
 ei("A17", g.coverage, "SELECT count(*) AS total, count(*) - count(I.EventId) AS unprotected FROM E LEFT JOIN I USING (EventId)")
 SUMMARY = "count(SequenceNumber) AS n, count(DISTINCT SequenceNumber) AS n_distinct, min(SequenceNumber) AS first, max(SequenceNumber) AS last, coalesce(count(SequenceNumber) = count(DISTINCT SequenceNumber) AND max(SequenceNumber)::HUGEINT - min(SequenceNumber) + 1 = count(SequenceNumber), count(*) = 0) AS valid"
 ei("A18", lambda e, i: g.sequence_summary(i), f"SELECT {SUMMARY} FROM I")
