@@ -349,17 +349,29 @@ def test_simhash_equals_brute_force(spark):
     assert kept == set(want.values())
 
 
-def test_simhash_pairs_are_complete(spark):
+@pytest.mark.parametrize("fine", [False, True])
+def test_simhash_pairs_are_complete(spark, fine):
     rng = np.random.default_rng(2)
-    base = rng.integers(-(2**63), 2**63, 60)
-    near = [int(np.int64(x) ^ np.int64(sum(1 << int(b) if b < 63 else -(1 << 63) for b in rng.choice(64, k, replace=False)))) for x in base for k in (1, 2, 3, 4)]
+    base = [*rng.integers(-(2**63), 2**63, 60), *(np.int64(x) for x in (0, -1, 0x5555555555555555, -0x5555555555555556))]
+    near = [int(np.int64(x) ^ np.int64(sum(1 << int(b) if b < 63 else -(1 << 63) for b in rng.choice(64, k, replace=False)))) for x in base for k in (1, 2, 3, 3, 3, 4)]
     fps = sorted({*map(int, base), *near})
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = {tuple(sorted((r.a, r.b))) for r in simhash.near_pairs(df, "fp").collect()}
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.near_pairs(df, "fp", fine).collect()}
     want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert got == want
 
 
+def test_simhash_quarters_give_the_same_components_from_fewer_pairs(spark, monkeypatch):
+    fps = spark.range(30_000).select(F.xxhash64("id").alias("fp"))
+    met = [simhash.candidates(fps, "fp", fine).count() for fine in (False, True)]
+    assert met[1] * 50 < met[0]
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(words[: 30 + k % 7])) for k in range(30)] + [(99, None)], "doc_id long, text string")
+    found = simhash.near_duplicates(docs).collect()
+    monkeypatch.setattr(simhash, "FINE_FROM", 0)
+    assert sorted(simhash.near_duplicates(docs).collect()) == sorted(found)
+
+
 def test_simhash_edge_cases(edge, empty):
     rows = simhash.near_duplicates(edge).collect()
     assert len(rows) == len(EDGE) and {r.component_id for r in rows if r.fingerprint == "0" * 16} == {11}
