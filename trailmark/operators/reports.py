@@ -153,11 +153,12 @@ def summary(events: DataFrame, start: str | None = None, end: str | None = None,
 
 
 def dead_letter_stats(letters: DataFrame) -> DataFrame:
-    """(section, key, n) totals, by type, by reason; size as 1 KiB a row."""
+    """(section, key, n) totals, by type, by reason; size as 1 KiB a row, times as seconds rounded to the nearest (a half to the even one)."""
     pending = ~F.col("IsProcessed")
+    seconds = lambda at: F.rint(F.unix_micros(at) / 1_000_000).cast("long")
     totals = letters.agg(
         F.count("*").alias("total"), F.count_if(pending & (F.col("RetryCount") == 0)).alias("pending"), F.count_if(pending & (F.col("RetryCount") > 0)).alias("failed"), (F.count("*") * 1024).alias("bytes"),
-        F.unix_seconds(F.min("FailedAt")).alias("oldest"), F.unix_seconds(F.max("FailedAt")).alias("newest"),
+        seconds(F.min("FailedAt")).alias("oldest"), seconds(F.max("FailedAt")).alias("newest"),
     )
     wide = totals.select(F.explode(F.create_map(*(x for c in totals.columns for x in (F.lit(c), F.col(c).cast("long"))))).alias("key", "n")).select(F.lit("total").alias("section"), "key", "n")
     part = lambda c, name: letters.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "key", "n")
