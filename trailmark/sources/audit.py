@@ -5,7 +5,7 @@ Each view is stated once in Spark and once, for the oracle, in SQL (``BASE_SQL``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions import canonical, text
@@ -35,14 +35,17 @@ def _pick(values: list[str], n: Column) -> Column:
     return F.element_at(F.lit(values), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
 
 
-def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n, u = _read(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id")
-    ts = F.col("ts").cast("timestamp")
+def _json() -> Column:
+    n, u = F.col("event_id"), F.col("user_id")
+    return F.concat(F.lit('{"Action":"'), _pick(ACTIONS, n), F.lit('","UserName":"user'), u.cast("string"), F.lit('","k":'), F.regexp_extract("props", r"(\d+)", 1), F.lit("}"))
+
+
+def _event_columns() -> list[Column]:
+    n, u, ts = F.col("event_id"), F.col("user_id"), F.col("ts").cast("timestamp")
     user = F.when(n % 17 == 0, None).when(n % 17 == 1, "").otherwise(F.concat(F.lit("user"), u.cast("string"), F.lit("@test.com")))
     kind = F.when(n % 19 == 0, None).when(n % 19 == 1, "").otherwise(_pick(EVENT_TYPES, n * 7 + u))
     ip = F.when(n % 13 == 0, None).when(n % 13 == 1, F.concat(F.lit("2001:db8:"), (n % 500).cast("string"), F.lit("::1"))).when(n % 13 == 2, "unknown").otherwise(F.concat_ws(".", F.lit("10"), (n % 200).cast("string"), (u % 250).cast("string"), F.lit("7")))
-    json = F.concat(F.lit('{"Action":"'), _pick(ACTIONS, n), F.lit('","UserName":"user'), u.cast("string"), F.lit('","k":'), F.regexp_extract("props", r"(\d+)", 1), F.lit("}"))
-    return e.select(
+    return [
         n.alias("id"),
         guid(n).alias("EventId"),
         F.when(n % 97 == 0, None).otherwise(ts).alias("InsertedDate"),
@@ -55,7 +58,7 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("subject-"), (n % 50).cast("string")).alias("EntityId"),
         F.when(n % 7 == 6, None).otherwise(_pick(ACTIONS, n)).alias("Action"),
         F.floor("value").cast("int").alias("Duration"),
-        json.alias("JsonData"),
+        _json().alias("JsonData"),
         F.when(n % 29 == 0, None).otherwise(_pick(["Production", "Staging"], u)).alias("Environment"),
         F.when(n % 31 == 0, None).otherwise(F.concat(F.lit("host-"), (u % 9).cast("string"))).alias("MachineName"),
         F.when(n % 37 == 0, None).otherwise(F.lit("App.Core")).alias("AssemblyName"),
@@ -65,40 +68,64 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/api/"), F.col("event_type")).alias("RequestPath"),
         guid(u % 3, "b").alias("TenantId"),
         (n % 4 + 1).cast("int").alias("IntegrityStatus"),
-    )
+    ]
 
 
-def audit_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link for each event but every 41st; one broken link, one changed hash and one missing number are put in."""
-    e = _read(spark, sf_dir, "events").where(F.col("event_id") % 41 != 40)
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select(*_event_columns())
+
+
+def _linked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").where(F.col("event_id") % 41 != 40)
+
+
+def _link_columns() -> list[Column]:
     n = F.col("event_id")
     digest = lambda x: F.base64(F.unhex(F.sha2(F.encode(F.concat(F.lit("event-"), x.cast("string")), "UTF-8"), 256)))
     rank = n - F.floor((n + 1) / 41)
     before = F.when(n % 41 == 0, n - 2).otherwise(n - 1)
-    return e.select(
+    return [
         guid(n).alias("EventId"),
         digest(n).alias("EventHash"),
         F.when(n == 0, None).when(n == 777, "broken").otherwise(digest(before)).alias("PreviousEventHash"),
         F.when(n == 900, rank + 1_000_000).otherwise(rank + 1).cast("long").alias("SequenceNumber"),
         F.col("ts").cast("timestamp").alias("TrustedTimestamp"),
         (n % 3 + 1).cast("int").alias("AlgorithmVersion"),
-    )
+    ]
+
+
+def audit_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A link for each event but every 41st; one broken link, one changed hash and one missing number are put in."""
+    return _linked_events(spark, sf_dir).select(*_link_columns())
 
 
 #: Key of the test tables' links.
 LINK_KEY = b"trailmark-test-key"
 
 
+#: Neighbouring event ids of one group, within which a link finds the one before it.
+NEIGHBOURS = 1 << 13
+
+
 def sealed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links with hash, HMAC and checksum of their events. Links of events of duration 17 name another predecessor than they were sealed with; those of 13 carry another HMAC, those of 16 none."""
-    sealed = audit_events(spark, sf_dir).select("EventId", "Duration", text.event_hash(F.col("EventId"), F.col("EventType"), F.col("User"), F.col("InsertedDate"), canonical.canonical_json("JsonData")).alias("EventHash"), text.checksum(F.col("EventId"), F.col("EventType"), F.col("UserId")).alias("Checksum"))
-    links = audit_integrity(spark, sf_dir).withColumnRenamed("EventHash", "token")
-    names = links.select(F.col("token").alias("PreviousEventHash"), F.col("EventId").alias("before"))
-    hashes = sealed.select(F.col("EventId").alias("before"), F.col("EventHash").alias("hash_before"))
-    rows = links.join(sealed, "EventId").join(names, "PreviousEventHash", "left").join(hashes, "before", "left")
-    previous = F.coalesce("hash_before", "PreviousEventHash")
-    hmac = text.chain_hmac(LINK_KEY, F.col("EventHash"), F.col("Previous"), F.col("SequenceNumber").cast("string"), text.iso_time(F.col("TrustedTimestamp")))
-    rows = rows.withColumn("Previous", previous).withColumn("hmac", hmac)
+    """The links with hash, HMAC and checksum of their events. Links of events of duration 17 name another predecessor than they were sealed with; those of 13 carry another HMAC, those of 16 none.
+
+    A link and its event are one row of the event table, and ids follow one another, so the only exchange is one of that table's own narrow rows, with their canonical JSON, by groups of ids; the
+    last row of a group goes to the next one too. Hashes are made after it. Ids are unique.
+    """
+    n = F.col("event_id")
+    group, after = F.floor(n / NEIGHBOURS), F.floor((n + F.when(n % 41 == 39, 2).otherwise(1)) / NEIGHBOURS)
+    near = _linked_events(spark, sf_dir).withColumn("canonical", canonical.canonical_json(_json())).withColumn("group", F.explode(F.array_distinct(F.array(group, after)))).repartition("group")
+    event = near.select("group", "event_id", "canonical", *(c.alias(f"_{k}") for k, c in enumerate(_link_columns()[1:])), *_event_columns())
+    links = event.select(
+        "group", "event_id", "EventId", "Duration", F.col("_1").alias("token"), F.col("_2").alias("SequenceNumber"), F.col("_3").alias("TrustedTimestamp"),
+        text.event_hash(F.col("EventId"), F.col("EventType"), F.col("User"), F.col("InsertedDate"), F.col("canonical")).alias("EventHash"), text.checksum(F.col("EventId"), F.col("EventType"), F.col("UserId")).alias("Checksum"),
+    )
+    w = Window.partitionBy("group").orderBy("event_id")
+    named = n - F.when(n % 41 == 0, 2).otherwise(1)
+    follows = (F.lag("event_id").over(w) == named) & (F.col("token") != "broken")
+    rows = links.withColumn("Previous", F.when(follows, F.lag("EventHash").over(w)).otherwise(F.col("token"))).where(F.col("group") == group)
+    rows = rows.withColumn("hmac", text.chain_hmac(LINK_KEY, F.col("EventHash"), F.col("Previous"), F.col("SequenceNumber").cast("string"), text.iso_time(F.col("TrustedTimestamp"))))
     return rows.select(
         "EventId", "SequenceNumber", "TrustedTimestamp", "EventHash", "Checksum",
         F.when((F.col("Duration") == 17) & F.col("Previous").isNotNull(), "other").otherwise(F.col("Previous")).alias("PreviousEventHash"),
