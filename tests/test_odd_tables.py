@@ -4,8 +4,9 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from trailmark.operators import integrity
+from trailmark.operators import integrity, wordindex
 from trailmark.plans.catalog import ORACLE_SQL, QUERIES
 from trailmark.sources import audit
 
@@ -77,3 +78,13 @@ def test_verified_links_shuffle_neither_hmac_nor_what_it_is_made_of(spark):
     plan = integrity.verify_events(links, events, b"k")._jdf.queryExecution().executedPlan().toString()
     above = plan[: plan.index("Exchange")]
     assert "SortMergeJoin" in above and "Broadcast" not in plan and not any(c in above for c in ("HmacSignature", "PreviousEventHash", "TrustedTimestamp"))
+
+
+def test_a_task_of_the_word_index_sorts_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wordindex, "ROWS_A_TASK", 500)
+    events = spark.range(2000).selectExpr("string(id) AS EventId", "'one two two' AS a", "if(id % 3 = 0, NULL, 'three') AS b")
+    wordindex.add_to_index(events, str(tmp_path / "words"), ("a", "b"))
+    rows = wordindex.open_index(spark, str(tmp_path / "words"))
+    sizes = [r[1] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 2000 * 3 + 1333 and max(sizes) <= 1500
+    assert wordindex.look_up(rows, "two three").count() == 0 and wordindex.look_up(rows, "one two two").count() == 2000

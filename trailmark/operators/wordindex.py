@@ -8,16 +8,19 @@ between words are not in the index: the answer is that of the scan, but only the
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 from zlib import crc32
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.operators.search import WORD_COLUMNS, search_terms, word_search
 
 BUCKETS = 64
+#: Occurrences that a task sorts, some 150 bytes each in memory.
+ROWS_A_TASK = 1 << 20
 _WORD = r"[\p{L}\p{N}]+"
 #: The same for one term on the driver.
 _RUN = re.compile(r"[^\W_]+")
@@ -35,9 +38,15 @@ def occurrences(events: DataFrame, columns: tuple[str, ...] = WORD_COLUMNS) -> D
     return word.select((F.crc32(F.encode("word", "UTF-8")) % BUCKETS).cast("int").alias("bucket"), "word", "column", "EventId", "position")
 
 
+def _tasks(events: DataFrame, columns: tuple[str, ...]) -> int:
+    words = (F.coalesce(F.greatest(F.size(F.regexp_extract_all(F.col(c), F.lit(_WORD), 0)), F.lit(0)), F.lit(0)) for c in columns)
+    total = events.agg(F.sum(reduce(Column.__add__, words).cast("long"))).first()[0] or 0
+    return max(1, math.ceil(total / ROWS_A_TASK))
+
+
 def add_to_index(events: DataFrame, path: str, columns: tuple[str, ...] = WORD_COLUMNS) -> None:
-    """Indexes events, to which later ones can be added. An event is added once; those that are deleted may stay in the index."""
-    rows = occurrences(events, columns).repartitionByRange("bucket", "word", "EventId").sortWithinPartitions("bucket", "word", "EventId")
+    """Indexes events, to which later ones can be added. An event is added once; those that are deleted may stay in the index. Words are counted first, so that what a task sorts is bounded, however many events there are."""
+    rows = occurrences(events, columns).repartitionByRange(_tasks(events, columns), "bucket", "word", "EventId").sortWithinPartitions("bucket", "word", "EventId")
     rows.write.mode("append").partitionBy("bucket").parquet(path)
 
 
