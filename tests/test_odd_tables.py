@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trailmark.operators import integrity, wordindex
 from trailmark.plans.catalog import ORACLE_SQL, QUERIES
 from trailmark.sources import audit
+from trailmark.streaming import ledger
 
 
 def _equal(spark, folder, name, **tables):
@@ -88,3 +89,11 @@ def test_a_task_of_the_word_index_sorts_a_bounded_number_of_rows(spark, tmp_path
     sizes = [r[1] for r in rows.groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 2000 * 3 + 1333 and max(sizes) <= 1500
     assert wordindex.look_up(rows, "two three").count() == 0 and wordindex.look_up(rows, "one two two").count() == 2000
+
+
+def test_chains_keep_no_state_for_events_that_have_a_link(spark):
+    """What is kept of earlier events lies with the events, over all tasks, and not with their chain."""
+    events = spark.readStream.format("rate").load().selectExpr("'a' AS chain", "string(value) AS EventId", "string(timestamp) AS at", "string(value) AS EventHash")
+    links = spark.createDataFrame([("a", "1", 1, "h"), ("a", "2", None, None)], "chain string, EventId string, number long, hash string")
+    plan = ledger.chained(events, links=links)._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate [chain" in plan and "LeftAnti" in plan

@@ -82,7 +82,7 @@ def verdicts(envelopes: DataFrame, sources: DataFrame | None = None) -> DataFram
 class Chain(StatefulProcessor):
     """Keyed by chain; events (EventId, at, EventHash) -> their links, as many at once as a batch holds, or what is there when the interval is over.
 
-    An event that is linked is passed by. Within a call events are taken in the order of at and EventId.
+    Events that have a link, and repeated ones, do not come here (:func:`chained`). Within a call events are taken in the order of at and EventId.
     """
 
     def __init__(self, size: int, interval_ms: int) -> None:
@@ -92,18 +92,13 @@ class Chain(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "EventId string, EventHash string")
         self.head = handle.getValueState("head", "number long, hash string, flushes long")
-        self.linked = handle.getMapState("linked", "EventId string", "seen boolean")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: ANN001, N802, N803
-        """Links (EventId, number, hash) that there are; the chain goes on from the one of highest number."""
-        for k in initialState["EventId"]:
-            self.linked.updateValue((k,), (True,))
-        numbered = initialState.dropna(subset=["number"])
-        if len(numbered):
-            last = numbered.loc[numbered["number"].idxmax()]
+        """The link (number, hash) of highest number; the chain goes on from it."""
+        for last in initialState.itertuples():
             number, text, flushes = self._at_head()
-            if last["number"] > number:
-                self.head.update((int(last["number"]), last["hash"], flushes))
+            if last.number > number:
+                self.head.update((int(last.number), last.hash, flushes))
 
     def _at_head(self) -> tuple[int, str | None, int]:
         return tuple(self.head.get()) if self.head.exists() else (0, None, 0)
@@ -118,10 +113,7 @@ class Chain(StatefulProcessor):
         batch = pd.concat(rows).sort_values(["at", "EventId"], kind="stable")
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         before = len(held)
-        for k, h in zip(batch["EventId"], batch["EventHash"], strict=True):
-            if self.linked.getValue((k,)) is None:
-                self.linked.updateValue((k,), (True,))
-                held.append((k, h))
+        held += zip(batch["EventId"], batch["EventHash"], strict=True)
         full = len(held) - len(held) % self.size
         for at in range(0, full, self.size):
             yield self._flush(key[0], held[at : at + self.size], "count")
@@ -149,8 +141,15 @@ LINKS = "chain string, EventId string, EventHash string, SequenceNumber long, Pr
 def chained(events: DataFrame, size: int = 100, interval_ms: int = 1000, links: DataFrame | None = None) -> DataFrame:
     """A stream (chain, EventId, at, EventHash) -> :data:`LINKS`. ``links`` (chain, EventId, number, hash) are those that there are when the stream first starts; number and hash may be null where the chain does not go on from them.
 
-    A chain is a sequence, so its events are numbered one after another: how much a batch holds is bounded by the source's options, and chains are worked off side by side.
+    Whether an event has a link or came before is found by event, over all tasks: by a join with ``links``, to be given again when the stream goes on, and by the ids in state. Of an event's repeats in
+    one batch any may stay. Only new events come to their chain, which is a sequence, so they are numbered one after another: how much a batch holds is bounded by the source's options, and chains are
+    worked off side by side.
     """
     rows = events.select("chain", "EventId", F.coalesce("at", F.lit("~")).alias("at"), "EventHash")
-    before = None if links is None else links.select("chain", "EventId", F.col("number").cast("double").alias("number"), "hash").groupBy("chain")
-    return rows.groupBy("chain").transformWithStateInPandas(Chain(size, interval_ms), LINKS, "Append", "ProcessingTime", initialState=before)
+    before = None
+    if links is not None:
+        rows = rows.join(links.select("chain", "EventId"), ["chain", "EventId"], "left_anti")
+        last = links.where("number IS NOT NULL").groupBy("chain").agg(F.max_by(F.struct(F.col("number").cast("long").alias("number"), "hash"), "number").alias("last"))
+        before = last.select("chain", "last.number", "last.hash").groupBy("chain")
+    fresh = rows.dropDuplicates(["chain", "EventId"])
+    return fresh.groupBy("chain").transformWithStateInPandas(Chain(size, interval_ms), LINKS, "Append", "ProcessingTime", initialState=before)
