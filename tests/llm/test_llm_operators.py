@@ -526,6 +526,24 @@ def test_common_subsequence_is_longest():
         assert len(pages._common(a, b)) == table[len(a), len(b)]
 
 
+def test_common_subsequence_is_the_same_and_longest_however_often_lines_repeat(monkeypatch):
+    rng = np.random.default_rng(9)
+    pairs = [tuple(rng.integers(0, kinds, rng.integers(0, 60)).tolist() for _ in range(2)) for kinds in (1, 2, 3, 9, 40) for _ in range(60)]
+    pairs += [([1, 2] * 300, [2, 1, 1] * 200), (rng.integers(0, 3, 700).tolist(), rng.integers(0, 3, 500).tolist())]
+    for a, b in pairs:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        found = []
+        for limit in (0, 32, 10**9):
+            monkeypatch.setattr(pages, "PAIRS_A_LINE", limit)
+            found.append(pages._common(a, b))
+        assert len(found[0]) == row[-1]
+        assert found[0] == found[1] == found[2]
+
+
 # 10 embeddings
 def _clusters(rng, n, dim, spread):
     centres = rng.standard_normal((n, dim))

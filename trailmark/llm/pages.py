@@ -11,7 +11,7 @@ a site puts on its pages is not the article. Structure corrects the method where
 - lines inside navigation, headers, footers, forms, asides, adverts, notices and comments go even if no partner has them, as on a host with one page. ``n_shared``
   tells how many lines went as a partner shares them, ``n_unshared`` how many went by this rule alone.
 
-A page is scanned once from its beginning to its end, whatever its markup; lines that repeat very often are aligned in their order (:func:`_common`).
+A page is scanned once from its beginning to its end, whatever its markup; lines that repeat very often are aligned as exactly as others, by bits (:func:`_by_bits`).
 
 Only hashes of the lines that are up for deletion are sorted and compared; texts are shuffled once, to meet the verdict.
 """
@@ -23,7 +23,9 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
+from math import isqrt
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -55,8 +57,10 @@ _JOINT = re.compile(r"[-_\d]+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Kinds of a line.
 PLAIN, IN_ARTICLE, IN_CHROME = 0, 1, 2
-#: Pairs of equal lines, for each line of the two pages, up to which the alignment is a longest one.
+#: Pairs of equal lines, for each line of the two pages, up to which they are gone through one by one; beyond, the same alignment is found by bits.
 PAIRS_A_LINE = 32
+#: Bytes of masks (where a line occurs) that are kept while two pages are aligned by bits.
+MASK_BYTES = 32 << 20
 
 
 def _is_chrome_token(token: str) -> bool:
@@ -174,36 +178,8 @@ def lines(page: str | None) -> list[tuple[str, int]]:
     return found
 
 
-def _in_order(a: list[int], b: list[int]) -> tuple[list, list]:
-    """The lines with their number among equal ones: of lines that repeat, the first of a meets the first of b and so on."""
-    out = []
-    for lines_of in (a, b):
-        seen: Counter[int] = Counter()
-        numbered_lines = []
-        for x in lines_of:
-            numbered_lines.append((x, seen[x]))
-            seen[x] += 1
-        out.append(numbered_lines)
-    return out[0], out[1]
-
-
-def _common(a: list, b: list) -> set[int]:
-    """Indices of ``a`` in a longest common subsequence of a and b: a longest rising chain of the places in b where a's lines occur (each line's places falling, so that a chain takes one at most).
-
-    Where equal lines make more than PAIRS_A_LINE pairs a line, each line may meet the one of the same number among its equals alone; the common subsequence may then be shorter than the longest, and
-    the time stays in proportion to the lines, but for a logarithm.
-    """
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    end = len(a) - tail
-    left, right = a[head:end], b[head : len(b) - tail]
-    counts = Counter(right)
-    if sum(counts[x] for x in left) > PAIRS_A_LINE * (len(left) + len(right)):
-        left, right = _in_order(left, right)
+def _by_pairs(left: list, right: list) -> list[int]:
+    """A longest rising chain of the places in ``right`` where the lines of ``left`` occur (each line's places falling, so that a chain takes one at most): places in ``left``, last first."""
     places: dict = {}
     for k, x in enumerate(right):
         places.setdefault(x, []).append(k)
@@ -214,13 +190,75 @@ def _common(a: list, b: list) -> set[int]:
             at = bisect_left(tails, p)
             node = (k, ends[at - 1] if at else None)
             tails[at : at + 1], ends[at : at + 1] = [p], [node]
-    chain, node = {*range(head), *range(end, len(a))}, ends[-1] if ends else None
+    chain, node = [], ends[-1] if ends else None
     while node:
-        chain.add(head + node[0])
+        chain.append(node[0])
         node = node[1]
     return chain
 
 
+def _by_bits(left: list, right: list) -> list[int]:
+    """The chain that :func:`_by_pairs` finds, by one number a line of ``left``: its bit p is 0 where a line more of ``right``, up to p, makes the common subsequence with ``left`` up to there longer.
+
+    These zeros are ``tails``. The chain is found from its end: of a link at p the line is the last one that equals right[p], and the link before it is the highest zero below p before that line. Numbers
+    are kept for one line in about sqrt(lines), and the others are worked out again from these: pairs cost a 64th or so of a step each and no memory.
+    """
+    both = set(left) & set(right)
+    kept = [k for k, x in enumerate(left) if x in both]
+    right = [x for x in right if x in both]
+    places: dict = {}
+    for k, x in enumerate(right):
+        places.setdefault(x, []).append(k)
+    size = len(right) // 8 + 1
+
+    @lru_cache(maxsize=MASK_BYTES // size + 1)
+    def mask(x: int) -> int:
+        bits = bytearray(size)
+        for p in places[x]:
+            bits[p >> 3] |= 1 << (p & 7)
+        return int.from_bytes(bits, "little")
+
+    full = (1 << len(right)) - 1
+    stride = isqrt(len(kept)) + 1
+    row, starts = full, []
+    for n, k in enumerate(kept):
+        if n % stride == 0:
+            starts.append(row)
+        hit = row & mask(left[k])
+        row = ((row + hit) | (row ^ hit)) & full
+    chain: list[int] = []
+    p = (row ^ full).bit_length() - 1
+    for block in reversed(range(len(starts))):
+        row, rows = starts[block], []
+        lines_of = kept[block * stride : (block + 1) * stride]
+        for k in lines_of:
+            rows.append(row)
+            hit = row & mask(left[k])
+            row = ((row + hit) | (row ^ hit)) & full
+        for k, row in zip(reversed(lines_of), reversed(rows), strict=True):
+            if p < 0:
+                return chain
+            if left[k] == right[p]:
+                chain.append(k)
+                p = (~row & ((1 << p) - 1)).bit_length() - 1
+    return chain
+
+
+def _common(a: list, b: list) -> set[int]:
+    """Indices of ``a`` in a longest common subsequence of a and b, always the same one: by pairs of equal lines or, where these are more than PAIRS_A_LINE a line, by bits, which finds the same chain."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    end = len(a) - tail
+    left, right = a[head:end], b[head : len(b) - tail]
+    counts = Counter(right)
+    many = sum(counts[x] for x in left) > PAIRS_A_LINE * (len(left) + len(right))
+    return {*range(head), *range(end, len(a)), *(head + k for k in (_by_bits if many else _by_pairs)(left, right))}
+
+
 def shared_lines(own: list[int], lengths: list[int], partner: list[int] | None, marked: bool) -> list[bool]:
     """Which of a page's lines outside an article (hashes, with their lengths, 0 for those in chrome) its partner shares. If those are all plain lines of a page without a marked article, they are its text."""
     common = _common(own, partner) if partner else set()
