@@ -89,7 +89,7 @@ def until_idle(query: StreamingQuery, batches: int = 3, seconds: float = 600) ->
 
 
 class Metrics(StreamingQueryListener):
-    """What the session's streams have worked off: batches, rows, seconds of the longest batch and rows in state, by query. Register it with ``spark.streams.addListener``."""
+    """What the session's streams have worked off: batches, rows, seconds of the longest batch and rows in state (of receipts: pages, see :func:`trailmark.streaming.ledger.receipts_held`), by query. Register it with ``spark.streams.addListener``."""
 
     def __init__(self) -> None:
         self.totals: dict[str, dict[str, float]] = {}

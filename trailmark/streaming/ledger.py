@@ -1,13 +1,18 @@
 """Verdicts on envelopes in the stream, and the chain of integrity links, by keyed state.
 
-Both are stateful processors: what is kept of earlier envelopes and events lies in the state store, entry by entry, and a batch looks up its own keys only, however
-long the history is. The store must be RocksDB, which holds it on disk and logs its changes to the checkpoint; :func:`keyed_state` sees to that for one query.
+Both are stateful processors: what is kept of earlier envelopes and events lies in the state store, and a batch looks up what its own keys need only, however long the
+history is. Receipts lie there in pages, as each look-up is a call from Python to the store, which costs some hundred times what a receipt does: a page takes one call to read and one to write,
+however many of its ids a batch holds. The store must be RocksDB, which holds it on disk and logs its changes to the checkpoint; :func:`keyed_state` sees to that for one query.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Envelopes are looked up by hash buckets of their ids: one call a bucket and batch instead of one an envelope. Part of a checkpoint, so not to be changed for one.
 LEDGER_BUCKETS = 256
+#: Receipts a page, on average, beyond which a bucket doubles its pages: some 12 kB.
+PAGE_RECEIPTS = 100
 #: Version of the fingerprint; a receipt of another one proves nothing.
 CONTENT_VERSION = 1
 SOURCE_ONLY = ""
@@ -38,34 +45,74 @@ def bucket_of(key: Column) -> Column:
     return (F.crc32(F.encode(F.coalesce(key, F.lit("")), "UTF-8")) % LEDGER_BUCKETS).cast("int")
 
 
+def _page_of(key: str, pages: int) -> int:
+    """The page within its bucket, by the bits of the checksum that do not tell the bucket."""
+    return zlib.crc32(key.encode()) // LEDGER_BUCKETS % pages
+
+
 class Ledger(StatefulProcessor):
     """Keyed by bucket; rows (id, place, receipt, body) -> (id, verdict, body), in the order of place and receipt.
 
     New: the first of its id. Replay: it equals the receipt. Conflict: it differs. Unverified: a stored source has no receipt, or one of another version.
+
+    A bucket's pages double as its receipts do, so a page stays as small however many there are, and a receipt is moved once or twice in all.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.receipts = handle.getMapState("receipts", "id string", "receipt string")
+        self.size = handle.getValueState("size", "pages int, receipts long")
+        self.pages = handle.getMapState("receipts", "page int", "receipts string")
+
+    def _page(self, page: int) -> dict[str, str]:
+        stored = self.pages.getValue((page,))
+        return json.loads(stored[0]) if stored else {}
+
+    def _put(self, page: int, receipts: dict[str, str]) -> None:
+        self.pages.updateValue((page,), (json.dumps(receipts, separators=(",", ":")),))
+
+    def _sized(self, coming: int) -> tuple[int, int]:
+        """Pages and receipts of the bucket, after its pages are doubled as often as its receipts, or the first ones that come, need it."""
+        before, held = tuple(self.size.get()) if self.size.exists() else (1, 0)
+        pages = before
+        while (held or coming) > pages * PAGE_RECEIPTS:
+            pages *= 2
+        for page in range(before if held and pages > before else 0):
+            parts: defaultdict[int, dict[str, str]] = defaultdict(dict)
+            for k, receipt in self._page(page).items():
+                parts[_page_of(k, pages)][k] = receipt
+            for at in {page, *parts}:
+                self._put(at, parts[at])
+        return pages, held
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: ANN001, N802, N803
         """Stored sources without a receipt."""
-        for k in initialState["id"]:
-            self.receipts.updateValue((k,), (SOURCE_ONLY,))
+        pages, held = self._sized(len(initialState))
+        for page, ids in initialState.assign(page=[_page_of(k, pages) for k in initialState["id"]]).groupby("page")["id"]:
+            known = self._page(page)
+            held -= len(known)
+            known |= dict.fromkeys(ids, SOURCE_ONLY)
+            held += len(known)
+            self._put(page, known)
+        self.size.update((pages, held))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        batch = pd.concat(rows).sort_values(["place", "receipt"], kind="stable")
-        known: dict[str, str] = {}
+        batch = pd.concat(rows)
+        pages, held = self._sized(len(batch))
+        batch = batch.assign(page=[_page_of(k, pages) for k in batch["id"]]).sort_values(["page", "place", "receipt"], kind="stable")
         verdicts = []
-        for k, receipt in zip(batch["id"], batch["receipt"], strict=True):
-            if k not in known:
-                stored = self.receipts.getValue((k,))
+        for page, lines in groupby(zip(batch["page"].tolist(), batch["id"], batch["receipt"], strict=True), lambda x: x[0]):
+            known = self._page(page)
+            before = len(known)
+            for _, k, receipt in lines:
+                stored = known.get(k)
                 if stored is None:
-                    self.receipts.updateValue((k,), (receipt,))
                     known[k] = receipt
                     verdicts.append("New")
-                    continue
-                known[k] = stored[0]
-            verdicts.append("Unverified" if known[k].split(":")[0] != receipt.split(":")[0] else "Replay" if known[k] == receipt else "Conflict")
+                else:
+                    verdicts.append("Unverified" if stored.split(":")[0] != receipt.split(":")[0] else "Replay" if stored == receipt else "Conflict")
+            if len(known) > before:
+                self._put(page, known)
+                held += len(known) - before
+        self.size.update((pages, held))
         yield pd.DataFrame({"id": batch["id"], "verdict": verdicts, "body": batch["body"]})
 
     def close(self) -> None:
@@ -74,11 +121,18 @@ class Ledger(StatefulProcessor):
 
 def verdicts(envelopes: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """A stream (id, place, fingerprint, body) -> (id, verdict, body). ``place`` orders the versions of an id in one batch; ``sources`` (id), looked at when the stream first starts, are stored without a receipt."""
-    rows = envelopes.select(bucket_of(F.col("id")).alias("bucket"), F.coalesce("id", F.lit("")).alias("id"), F.coalesce("place", F.lit("")).alias("place"), F.concat(F.lit(f"{CONTENT_VERSION}:"), "fingerprint").alias("receipt"), "body")
-    stored = None if sources is None else sources.select(bucket_of(F.col("id")).alias("bucket"), "id").groupBy("bucket")
+    at = (bucket_of(F.col("id")).alias("bucket"), F.coalesce("id", F.lit("")).alias("id"))
+    rows = envelopes.select(*at, F.coalesce("place", F.lit("")).alias("place"), F.concat(F.lit(f"{CONTENT_VERSION}:"), "fingerprint").alias("receipt"), "body")
+    stored = None if sources is None else sources.select(*at).groupBy("bucket")
     return rows.groupBy("bucket").transformWithStateInPandas(Ledger(), "id string, verdict string, body string", "Append", "None", initialState=stored)
 
 
+def receipts_held(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(page, id) of each receipt in the state that a query of :func:`verdicts` has left at its checkpoint."""
+    pages = spark.read.format("statestore").option("stateVarName", "receipts").load(checkpoint)
+    return pages.select(F.col("user_map_key.page").alias("page"), F.explode(F.json_object_keys("user_map_value.receipts")).alias("id"))
+
+
 class Chain(StatefulProcessor):
     """Keyed by chain; events (EventId, at, EventHash) -> their links, as many at once as a batch holds, or what is there when the interval is over.
 
