@@ -1,7 +1,7 @@
 """Verdicts on envelopes in the stream, and the chain of integrity links, by keyed state.
 
 Both are stateful processors: what is kept of earlier envelopes and events lies in the state store, and a batch looks up what its own keys need only, however long the
-history is. Receipts lie there in pages, as each look-up is a call from Python to the store, which costs some hundred times what a receipt does: a page takes one call to read and one to write,
+history is. Receipts lie there in pages, as each look-up is a call from Python to the store: a page takes one call to read and one to write,
 however many of its ids a batch holds. The store must be RocksDB, which holds it on disk and logs its changes to the checkpoint; :func:`keyed_state` sees to that for one query.
 """
 
